@@ -68,7 +68,81 @@ FROM a
 
 _NOT_REL = "NOT contains(rel, 'nofollow') AND NOT contains(rel, 'sponsored') AND NOT contains(rel, 'ugc')"
 
+# customer pages: the values each rendered element carries (see sources/render.py)
+_CUST = """
+WITH c AS (
+  SELECT c_custkey AS page_id, c_custkey AS k, c_name AS name, c_mktsegment AS seg,
+         CAST(c_nationkey AS VARCHAR) AS nat,
+         ['nofollow', 'sponsored', 'ugc noopener', ''][CAST(c_custkey % 4 AS INTEGER) + 1] AS rel,
+         ['facebook', 'twitter', 'x', 'linkedin', 'instagram', 'youtube', 'tiktok', 'pinterest'][CAST(c_custkey % 8 AS INTEGER) + 1] AS social,
+         lower(regexp_replace(c_mktsegment, '[^A-Za-z]', '', 'g')) || '.example.com' AS host
+  FROM customer),
+l AS (
+  SELECT page_id, 1 AS pos, name AS text, 'https://' || host || '/c/' || k AS href, name AS title, rel, '_blank' AS target FROM c
+  UNION ALL SELECT page_id, 2, seg, '/n/' || nat || '/' || k, '', '', '' FROM c
+  UNION ALL SELECT page_id, 3, name, 'https://www.' || social || '.com/' || k, '', '', '' FROM c
+  UNION ALL SELECT page_id, 4, name, '#top', '', '', '' FROM c)
+"""
+
+
+def _cust_links(where: str, cols: str) -> str:
+    return _CUST + f"""
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INTEGER) AS original_index, {cols}
+FROM l WHERE {where}"""
+
+
+_LINK5 = f"{_empty('text', 'href', 'title', 'rel', 'target')} AS is_empty, text AS anchor_text, href AS url, title, rel, target"
+
+_PARTS = """
+WITH p AS (SELECT *, CAST(floor(p_partkey / 50) AS BIGINT) AS page_id,
+                  row_number() OVER (PARTITION BY floor(p_partkey / 50) ORDER BY p_partkey) - 1 AS ri
+           FROM part)
+"""
+
 ORACLES: dict[str, str] = {
+    "rt_nofollow_links": _cust_links("contains(rel, 'nofollow')", _LINK5),
+    "rt_sponsored_links": _cust_links("contains(rel, 'sponsored')", _LINK5),
+    "rt_ugc_links": _cust_links("contains(rel, 'ugc')", _LINK5),
+    "rt_dofollow_links": _cust_links(_NOT_REL, _LINK5),
+    "rt_internal_links": _cust_links(
+        "starts_with(href, '/') OR starts_with(href, '#') OR starts_with(href, '?')",
+        f"{_empty('text', 'href', 'rel', 'target')} AS is_empty, text AS anchor_text, href AS url, rel, target",
+    ),
+    "rt_external_links": _cust_links(
+        "starts_with(href, 'http')",
+        f"{_empty('text', 'href', 'rel', 'target')} AS is_empty, text AS anchor_text, href AS url, "
+        "split_part(split_part(href, '://', 2), '/', 1) AS host, rel, target",
+    ),
+    "rt_social_links": _cust_links(
+        "regexp_matches(href, 'facebook\\.com|twitter\\.com|x\\.com|linkedin\\.com|instagram\\.com|youtube\\.com|tiktok\\.com|pinterest\\.com')",
+        "false AS is_empty, replace(replace(split_part(split_part(href, '://', 2), '.com', 1), 'w', ''), '.', '') AS platform, "
+        "href AS url, text AS anchor_text, rel, regexp_extract(href, '://(?:www\\.)?([^/]*?)\\.com', 1) AS platform_clean",
+    ),
+    "rt_images": _CUST + """
+SELECT page_id, 0 AS original_index, false AS is_empty, '/img/' || k || '.png' AS source, name AS alt_text,
+       '' AS title, nat AS width, '' AS height, 'lazy' AS loading FROM c""",
+    "rt_forms": _CUST + """
+SELECT page_id, 0 AS original_index, false AS is_empty, '/buy/' || k AS action, 'post' AS method,
+       'f' || k AS id, seg AS class, '3' AS input_count FROM c""",
+    "rt_buttons": _CUST + """
+SELECT page_id, 0 AS original_index, false AS is_empty, 'input' AS element_type, '' AS text_value,
+       'Buy ' || nat AS value_attr, 'submit' AS type, '' AS class, '' AS href FROM c
+UNION ALL SELECT page_id, 1, false, 'button', seg, '', 'button', 'btn', '' FROM c
+UNION ALL SELECT page_id, 2, false, 'a', name, '', '', 'cta', '#top' FROM c""",
+    "rt_demo_table": _PARTS + """
+SELECT page_id, CAST(ri - 1 AS INTEGER) AS original_index, false AS is_empty, CAST(p_partkey AS VARCHAR) AS rank,
+       trim(p_name) AS country_territory, trim(p_brand) AS population, CAST(p_size AS VARCHAR) AS percentage,
+       CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS VARCHAR) AS date
+FROM p WHERE ri BETWEEN 1 AND 10""",
+    "part_tables": _PARTS + """
+SELECT page_id, 1 AS table_index, CAST(ri AS INTEGER) AS original_index, v.col_index, v.column_name, v.value
+FROM p, LATERAL (VALUES (1, 'Key', CAST(p_partkey AS VARCHAR)), (2, 'Name', trim(p_name)), (3, 'Brand', trim(p_brand)),
+                        (4, 'Size', CAST(p_size AS VARCHAR)),
+                        (5, 'Price', CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS VARCHAR))) v(col_index, column_name, value)""",
+    "part_table_configs": """
+SELECT DISTINCT CAST(floor(p_partkey / 50) AS BIGINT) AS page_id, 1 AS table_index, '(//table)[1]//tr[td]' AS main_selector,
+       v.col_pos, v.name, '*[' || (v.col_pos + 1) || ']' AS selector, 'col' || (v.col_pos + 1) AS key
+FROM part, (VALUES (0, 'Key'), (1, 'Name'), (2, 'Brand'), (3, 'Size'), (4, 'Price')) v(col_pos, name)""",
     "internal_links": _links(
         "starts_with(href, '/') OR starts_with(href, '#') OR starts_with(href, '?')",
         f"{_empty('text', 'href', 'rel', 'target')} AS is_empty, text AS anchor_text, href AS url, rel, target",

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from gleaner.operators import extract as X
 from gleaner.plans import presets as P
+from gleaner.operators import infer as G
+from gleaner.sources import render as R
 from gleaner.sources.dom import parse_dom
 
 _DOM_CACHE: dict[tuple[int, str], DataFrame] = {}
@@ -30,6 +32,20 @@ def pages_dom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _DOM_CACHE[key]
 
 
+def derived_dom(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Pages rendered from a relational table (``customer`` or ``part``), parsed and kept."""
+    from pyspark import StorageLevel
+
+    key = (id(spark), f"{sf_dir}#{kind}")
+    if key not in _DOM_CACHE:
+        if kind == "customer":
+            pages = R.customer_pages(table(spark, sf_dir, "customer"))
+        else:
+            pages = R.part_table_pages(table(spark, sf_dir, "part"))
+        _DOM_CACHE[key] = parse_dom(pages).persist(StorageLevel.MEMORY_AND_DISK)
+    return _DOM_CACHE[key]
+
+
 def snake(name: str) -> str:
     return re.sub(r"[^a-z0-9]+", "_", name.lower()).strip("_")
 
@@ -104,7 +120,48 @@ def nav_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snake_columns(X.extract(pages_dom(spark, sf_dir), cfg))
 
 
+def _rt_preset_q(pid: str, kind: str = "customer"):
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return snake_columns(P.preset(derived_dom(spark, sf_dir, kind), pid))
+
+    q.__name__ = "rt_" + pid.replace("-", "_")
+    return q
+
+
+def rt_social_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q9 plus the cleaned platform column (the bug-compatible one is kept)."""
+    return snake_columns(P.with_platform_clean(P.preset(derived_dom(spark, sf_dir, "customer"), "sys-social-media-links")))
+
+
+def part_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every table cell of the part pages with its guessed header."""
+    return G.extract_tables(derived_dom(spark, sf_dir, "part"))
+
+
+def part_table_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The guessed row config of each table, one row per column."""
+    cfg = G.table_config(derived_dom(spark, sf_dir, "part"))
+    return cfg.select(
+        "page_id", F.col("table_index").cast("int"), "main_selector",
+        F.posexplode("columns").alias("col_pos", "c"),
+    ).select("page_id", "table_index", "main_selector", F.col("col_pos").cast("int"),
+             F.col("c.name").alias("name"), F.col("c.selector").alias("selector"), F.col("c.key").alias("key"))
+
+
 QUERIES = {
+    "rt_nofollow_links": _rt_preset_q("sys-nofollow-links"),
+    "rt_sponsored_links": _rt_preset_q("sys-sponsored-links"),
+    "rt_ugc_links": _rt_preset_q("sys-ugc-links"),
+    "rt_dofollow_links": _rt_preset_q("sys-dofollow-links"),
+    "rt_images": _rt_preset_q("sys-images"),
+    "rt_external_links": _rt_preset_q("sys-external-links"),
+    "rt_internal_links": _rt_preset_q("sys-internal-links"),
+    "rt_social_links": rt_social_links,
+    "rt_forms": _rt_preset_q("sys-forms"),
+    "rt_buttons": _rt_preset_q("sys-buttons-cta"),
+    "rt_demo_table": _rt_preset_q("demo-table", "part"),
+    "part_tables": part_tables,
+    "part_table_configs": part_table_configs,
     "internal_links": internal_links,
     "dofollow_links": dofollow_links,
     "headings": headings,
