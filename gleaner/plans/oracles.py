@@ -221,3 +221,87 @@ LEFT JOIN a b ON b.page_id = a.page_id AND b.i = a.i + 1
 WHERE a.i BETWEEN 2 AND 4 AND a.i <= n.cnt
 """,
 }
+
+
+# ---- view / events / urls / sessions ------------------------------------------------------
+_BOLD = f"""
+WITH x AS (SELECT page_id, regexp_extract_all(html, '<p>(?:<b>([^<]*))?', 1) AS bv FROM pages),
+a AS (SELECT page_id, unnest(generate_series(1, len(bv))) AS i, bv FROM x),
+b AS (SELECT page_id, i, trim({dec('bv[i]')}) AS bold FROM a)
+"""
+
+
+def _url_oracle() -> str:
+    from gleaner.operators.urls import BLOCKED_PATTERNS, BLOCKED_PREFIXES, CONTEXTS
+
+    pre = " OR ".join(f"starts_with(url, '{p}')" for p in BLOCKED_PREFIXES)
+    pat = " OR ".join(f"regexp_matches(url, '{p}')" for p in BLOCKED_PATTERNS)
+    rej = " ".join(f"WHEN starts_with(url, '{p}') THEN '{p}'" for p in BLOCKED_PREFIXES)
+    rej += " " + " ".join(f"WHEN regexp_matches(url, '{p}') THEN '{p}'" for p in BLOCKED_PATTERNS)
+    path = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+    ctx = " ".join(f"WHEN starts_with(url, 'chrome-extension:') AND contains({path}, '{n}') THEN '{c}'" for n, c in CONTEXTS)
+    return f"""
+SELECT page_id, url,
+       coalesce(url <> '' AND NOT ({pre} OR {pat}), false) AS scrapable,
+       CASE WHEN url IS NULL OR url = '' THEN NULL {rej} ELSE NULL END AS rejection,
+       coalesce(regexp_matches(url, '^https?://'), false) AS is_http,
+       CASE {ctx} ELSE 'unknown' END AS context
+FROM pages"""
+
+
+ORACLES.update({
+    "paragraph_row_counts": """
+SELECT page_id, CAST(len(regexp_extract_all(html, '<p[\\s>]')) AS BIGINT) AS rows,
+       CAST(len(regexp_extract_all(html, '<p[\\s>]')) - len(regexp_extract_all(html, '<p><b>')) AS BIGINT) AS empty_rows,
+       CAST(len(regexp_extract_all(html, '<p><b>')) AS BIGINT) AS non_empty_rows
+FROM pages WHERE len(regexp_extract_all(html, '<p[\\s>]')) > 0""",
+    "paragraph_display_index": _BOLD + """
+SELECT page_id, CAST(i - 1 AS INTEGER) AS original_index,
+       CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) AS INTEGER) AS display_index, bold
+FROM b WHERE bold <> ''""",
+    "paragraph_widths": _BOLD + """, d AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS rn FROM b WHERE bold <> '')
+SELECT page_id, 'Bold' AS "column", CAST(greatest(max(length(bold)), 4) AS INTEGER) AS max_len,
+       CAST(least(greatest(greatest(max(length(bold)), 4) * 7 + 20, 80), 300) AS INTEGER) AS width
+FROM d WHERE rn <= 50 GROUP BY page_id""",
+    "link_search": _links(
+        "(contains(lower(text), 'th') OR contains(lower(href), 'th')) AND NOT " + _empty('text', 'href', 'rel', 'target'),
+        f"{_empty('text', 'href', 'rel', 'target')} AS is_empty, text AS anchor_text, href AS url, rel, target",
+    ).replace("CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER)", "CAST(i - 1 AS INTEGER)"),
+    "link_page_slice": _ANCHORS + f""", m AS (SELECT *, {attr('attrs', 'href')} AS href, trim({dec('txt')}) AS text FROM a),
+r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS rn, count(*) OVER (PARTITION BY page_id) AS n FROM m),
+s AS (SELECT *, least(1, greatest(1, ceil(n / 2.0)) - 1) AS idx FROM r)
+SELECT page_id, CAST(i - 1 AS INTEGER) AS original_index, {_empty('text', 'href')} AS is_empty, text AS anchor_text,
+       href AS url, '' AS rel, '' AS target, CAST(rn AS INTEGER) AS display_index
+FROM s WHERE rn > idx * 2 AND rn <= idx * 2 + 2""",
+    "customer_search": """
+SELECT * FROM customer
+WHERE contains(lower(concat_ws(chr(1), c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment)), 'furniture')""",
+    "orders_sorted_page": """
+SELECT o_orderkey, o_orderpriority, o_totalprice, o_orderstatus FROM orders
+ORDER BY lower(o_orderpriority), o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 60""",
+    "recent_event_types": """
+WITH l AS (SELECT user_id, trim(event_type) AS selector, max(ts) AS last_used FROM events
+           WHERE trim(event_type) <> '' GROUP BY 1, 2)
+SELECT user_id, selector, last_used, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last_used DESC, selector) AS rank FROM l)
+WHERE rank <= 5""",
+    "event_queue": """
+SELECT event_id, user_id, event_type AS name, ts
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+WHERE rn <= 1000""",
+    "events_enriched": """
+SELECT event_id, event_type AS name, 'production' AS environment, 'background' AS extension_context,
+       '1.0.0' AS extension_version, json_extract_string(props, '$.k') AS k,
+       CAST(len(json_keys(props)) + 3 AS INTEGER) AS n_props
+FROM events WHERE event_type <> ''""",
+    "events_routed": """
+WITH l AS (SELECT user_id, arg_max(event_type, ts) AS last FROM events GROUP BY user_id),
+c AS (SELECT user_id, CASE last WHEN 'signup' THEN true WHEN 'error' THEN false ELSE NULL END AS consent FROM l)
+SELECT e.event_id, e.user_id, c.consent,
+       CASE WHEN c.consent IS NULL THEN 'queue' WHEN c.consent THEN 'deliver' ELSE 'drop' END AS route
+FROM events e LEFT JOIN c USING (user_id)""",
+    "page_url_rules": _url_oracle(),
+    "tab_sessions": """
+SELECT user_id AS tab_id, event_type AS field, arg_max(props, event_id) AS value_json, max(event_id) AS seq
+FROM events GROUP BY 1, 2""",
+})

@@ -176,3 +176,127 @@ QUERIES = {
     "page_titles": page_titles,
     "nav_items": nav_items,
 }
+
+
+# ---- view, aggregates, windows (V*, L*, A*, W*) ------------------------------------------
+from gleaner.operators import events as E  # noqa: E402
+from gleaner.operators import urls as U  # noqa: E402
+from gleaner.operators import view as V  # noqa: E402
+from gleaner.streaming import sessions as S  # noqa: E402
+
+
+def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Article paragraphs with their bold lead-in (blank for most, so rows can be empty)."""
+    cfg = X.ScrapeConfig.of("//article/p", [("Bold", "b")])
+    return X.extract(pages_dom(spark, sf_dir), cfg)
+
+
+def paragraph_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1/A2: rows, empty rows and non-empty rows per page."""
+    return V.row_counts(_paragraphs(spark, sf_dir))
+
+
+def paragraph_display_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1 + W2: the 1-based '#' shown for each non-empty row."""
+    return V.with_display_index(_paragraphs(spark, sf_dir)).select("page_id", "original_index", "display_index", F.col("Bold").alias("bold"))
+
+
+def paragraph_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6 + F22: panel column widths (first 50 shown rows, 7 px/char, pad 20, 80..300)."""
+    return V.column_widths(_paragraphs(spark, sf_dir), sample=50, char_px=7, pad=20, lo=80, hi=300)
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snake_columns(P.preset(pages_dom(spark, sf_dir), "demo-links"))
+
+
+def link_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2/V4: global case-insensitive search over the data columns (empties hidden)."""
+    return V.search(_links(spark, sf_dir), "Th")
+
+
+def link_page_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2/L3 per page: second page of size 2 (clamped to the last page)."""
+    return V.page_per_group(_links(spark, sf_dir), index=1, size=2)
+
+
+def customer_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2 on a plain table: any column contains the term."""
+    return V.search(table(spark, sf_dir, "customer"), "FURNITURE")
+
+
+def orders_sorted_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1 + L2: global sort (text case-insensitive, numbers natively), 4th page of 20."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderstatus")
+    s = V.sort_by(o, [("o_orderpriority", True), ("o_totalprice", False)], tiebreak=("o_orderkey",))
+    return V.page_global(s, 3, 20)
+
+
+def recent_event_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most recently used items per user (distinct, newest first)."""
+    ev = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("selector"), "ts")
+    return V.recent_selectors(ev, k=5)
+
+
+def event_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 1000 queued events per user."""
+    ev = E.from_table(table(spark, sf_dir, "events"))
+    return E.bounded_queue(ev, 1000).select("event_id", "user_id", "name", "ts")
+
+
+def events_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E9 + E4 + E7: valid events with environment, context and version, denied keys removed."""
+    ev, _ = E.valid_events(E.from_table(table(spark, sf_dir, "events")))
+    ev = E.deny_props(E.enrich(ev, "production", "1.0.0", "background"))
+    p = F.col("props")
+    return ev.select(
+        "event_id", "name", p["environment"].alias("environment"), p["extension_context"].alias("extension_context"),
+        p["extension_version"].alias("extension_version"), p["k"].alias("k"), F.size(p).alias("n_props"),
+    )
+
+
+def events_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E2 + E3: consent stored per user (derived from the user's latest event type) decides
+    drop / queue / deliver for each of the user's events."""
+    ev = E.from_table(table(spark, sf_dir, "events"))
+    latest = ev.groupBy("user_id").agg(F.max_by("name", F.struct("ts", "event_id")).alias("last"))
+    raw = F.when(F.col("last") == "signup", F.lit("true")).when(F.col("last") == "error", F.lit("false")).when(
+        F.col("last") == "view", F.lit('""')
+    )
+    consent = latest.select("user_id", E.consent_state(raw).alias("consent"))
+    return E.route_events(ev, consent).select("event_id", "user_id", "consent", "route")
+
+
+def page_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4/S5/S6/E10 on every page URL."""
+    pg = table(spark, sf_dir, "pages").select("page_id", "url")
+    return pg.select(
+        "page_id", "url", U.is_scrapable("url").alias("scrapable"), U.rejection_pattern("url").alias("rejection"),
+        U.is_http("url").alias("is_http"), U.classify_context("url").alias("context"),
+    )
+
+
+def tab_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last write per (tab, field) over an update log (events as updates)."""
+    upd = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("tab_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("field"),
+        F.col("props").alias("value_json"),
+    )
+    return S.fold_sessions(upd)
+
+
+QUERIES.update({
+    "paragraph_row_counts": paragraph_row_counts,
+    "paragraph_display_index": paragraph_display_index,
+    "paragraph_widths": paragraph_widths,
+    "link_search": link_search,
+    "link_page_slice": link_page_slice,
+    "customer_search": customer_search,
+    "orders_sorted_page": orders_sorted_page,
+    "recent_event_types": recent_event_types,
+    "event_queue": event_queue,
+    "events_enriched": events_enriched,
+    "events_routed": events_routed,
+    "page_url_rules": page_url_rules,
+    "tab_sessions": tab_sessions,
+})

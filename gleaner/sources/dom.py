@@ -174,7 +174,7 @@ def parse_dom(
     src = pages.select("page_id", *keep, html_col)
     spark = pages.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism
-    if src.rdd.getNumPartitions() < want:
+    if not src.isStreaming and src.rdd.getNumPartitions() < want:
         src = src.repartition(want, "page_id")
     extra = T.StructType([src.schema[k] for k in keep]) if keep else None
     return src.mapInArrow(_make_parser(html_col, list(keep), chunk), dom_schema(extra))
