@@ -305,3 +305,36 @@ FROM events e LEFT JOIN c USING (user_id)""",
 SELECT user_id AS tab_id, event_type AS field, arg_max(props, event_id) AS value_json, max(event_id) AS seq
 FROM events GROUP BY 1, 2""",
 })
+
+# first navigation link per page: n = number of nav items (each holds one link)
+_NAV = """
+WITH nv AS (SELECT page_id, len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<li[\\s>]')) AS n
+            FROM pages WHERE regexp_matches(html, '<nav>.*?<a\\b'))
+"""
+
+ORACLES.update({
+    "nav_link_inference": _NAV + """
+SELECT page_id,
+       CASE WHEN n > 1 THEN '/html/body/nav/ul/li[1]/a' ELSE '/html/body/nav/ul/li/a' END AS path,
+       '/html/body/nav/ul/li/a' AS minimal,
+       '/html/body/nav/ul/li/a | /html/body/nav/ul/li | /html/body/nav/ul | /html/body/nav' AS candidates,
+       n || ',' || n || ',1,1' AS candidate_matches,
+       0 AS default_index,
+       CASE WHEN n > 1 THEN 'li' END AS row_ancestor_tag,
+       CASE WHEN n > 1 THEN 'li' ELSE 'a' END AS repeating_ancestor_tag
+FROM nv""",
+    "nav_guess_config": _NAV + """
+SELECT page_id, '//nav//a' AS main_selector, 0 AS col_pos, 'List Item' AS name, '.' AS selector FROM nv WHERE n > 1
+UNION ALL
+SELECT page_id, '//nav//a', v.p, v.name, v.sel FROM nv,
+       (VALUES (0, 'Anchor text', '.'), (1, 'URL', '@href'), (2, 'Rel', '@rel'), (3, 'Target', '@target')) v(p, name, sel)
+WHERE n <= 1""",
+    "nav_quick_scrape": _NAV + _ANCHORS.replace("WITH x AS", ", x AS") + f""", m AS (SELECT a.*, nv.n FROM a JOIN nv USING (page_id))
+SELECT page_id, '/html/body/nav/ul/li/a' AS main_selector, CAST(i - 1 AS INTEGER) AS original_index, 0 AS col_pos,
+       'List Item' AS name, 'List Item' AS key, trim({dec('txt')}) AS value
+FROM m WHERE n > 1
+UNION ALL
+SELECT page_id, '/html/body/nav/ul/li/a', CAST(i - 1 AS INTEGER), v.p, v.name, v.name,
+       CASE v.p WHEN 0 THEN trim({dec('txt')}) WHEN 1 THEN {attr('attrs', 'href')} ELSE '' END
+FROM m, (VALUES (0, 'Anchor text'), (1, 'URL'), (2, 'Rel'), (3, 'Target')) v(p, name) WHERE n <= 1""",
+})

@@ -300,3 +300,37 @@ QUERIES.update({
     "page_url_rules": page_url_rules,
     "tab_sessions": tab_sessions,
 })
+
+
+# ---- inference (G2-G8, G13-G16) --------------------------------------------------------
+def nav_link_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G2-G8 for the first navigation link of every page: absolute and minimal path, the
+    candidate selectors with their match counts, the default pick and the repeating
+    ancestors."""
+    r = G.inference_report(pages_dom(spark, sf_dir), "//nav//a")
+    return r.select(
+        "page_id", "path", "minimal", F.array_join("candidates", " | ").alias("candidates"),
+        F.array_join(F.transform("candidate_matches", lambda n: n.cast("string")), ",").alias("candidate_matches"),
+        "default_index", "row_ancestor_tag", "repeating_ancestor_tag",
+    )
+
+
+def nav_guess_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns guessed from the first navigation link (selector kept)."""
+    g = G.guess_config_for(pages_dom(spark, sf_dir), "//nav//a")
+    return g.select("page_id", "main_selector", F.posexplode("columns").alias("col_pos", "c"), "error").select(
+        "page_id", "main_selector", F.col("col_pos").cast("int"), F.col("c.name").alias("name"), F.col("c.selector").alias("selector"),
+    )
+
+
+def nav_quick_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pick the first navigation link, take the default candidate selector and the
+    guessed columns, scrape every page with its own inferred config (long form)."""
+    return G.quick_scrape(pages_dom(spark, sf_dir), "//nav//a")
+
+
+QUERIES.update({
+    "nav_link_inference": nav_link_inference,
+    "nav_guess_config": nav_guess_config,
+    "nav_quick_scrape": nav_quick_scrape,
+})
