@@ -165,6 +165,11 @@ def write_xlsx(res: DataFrame, path: str, columns=None, names=None, by: str = "p
         n = xlsx_bytes_to(fn, header, vals.itertuples(index=False, name=None))
         return pd.DataFrame({"key": [str(key)], "file": [fn], "rows": [n]})
 
+    import sys
+
+    from gleaner.sources.dom import ship_by_value
+
+    ship_by_value(sys.modules[__name__])
     return src.groupBy("_k").applyInPandas(write_group, "key string, file string, rows long")
 
 

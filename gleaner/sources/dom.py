@@ -152,6 +152,18 @@ def _make_parser(html_col: str, extra_names: list[str], chunk: int):
     return parse_batches
 
 
+def ship_by_value(*modules) -> None:
+    """Send the per-task helpers with the task (pickled by value), so executors do not need
+    this package installed or on their path."""
+    from pyspark import cloudpickle
+
+    import gleaner.sources.dom as _dom
+    import gleaner.sources.htmltree as _tree
+
+    for m in (_tree, _dom, *modules):
+        cloudpickle.register_pickle_by_value(m)
+
+
 def parse_dom(
     pages: DataFrame,
     html_col: str = "html",
@@ -177,6 +189,7 @@ def parse_dom(
     if not src.isStreaming and src.rdd.getNumPartitions() < want:
         src = src.repartition(want, "page_id")
     extra = T.StructType([src.schema[k] for k in keep]) if keep else None
+    ship_by_value()
     return src.mapInArrow(_make_parser(html_col, list(keep), chunk), dom_schema(extra))
 
 
