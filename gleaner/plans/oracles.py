@@ -338,3 +338,38 @@ SELECT page_id, '/html/body/nav/ul/li/a', CAST(i - 1 AS INTEGER), v.p, v.name, v
        CASE v.p WHEN 0 THEN trim({dec('txt')}) WHEN 1 THEN {attr('attrs', 'href')} ELSE '' END
 FROM m, (VALUES (0, 'Anchor text'), (1, 'URL'), (2, 'Rel'), (3, 'Target')) v(p, name) WHERE n <= 1""",
 })
+
+_TITLE = f"""
+WITH tt AS (SELECT page_id, url, {dec("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS raw
+            FROM pages WHERE html LIKE '%<title>%</title>%'),
+t AS (SELECT page_id, url, trim(raw) AS title FROM tt)
+"""
+
+
+def _tsv(x: str) -> str:
+    return f"replace(replace(replace(replace({x}, '\\\\', '\\\\\\\\'), chr(9), '\\\\t'), chr(10), '\\\\n'), chr(13), '\\\\r')"
+
+
+ORACLES.update({
+    "page_search": _TITLE + """
+SELECT page_id, url, title FROM t WHERE contains(lower(title), 'example.org') OR contains(lower(url), 'example.org')""",
+    "link_tsv_lines": _ANCHORS + f""", m AS (SELECT *, {attr('attrs', 'href')} AS href, trim({dec('txt')}) AS text FROM a)
+SELECT page_id, CAST(i - 1 AS INTEGER) AS original_index,
+       {_tsv('text')} || chr(9) || {_tsv('href')} || chr(9) || '' || chr(9) || '' AS line FROM m""",
+    "link_view_counts": _ANCHORS + f""", m AS (SELECT *, {attr('attrs', 'href')} AS href, trim({dec('txt')}) AS text FROM a)
+SELECT page_id,
+       CAST(count(*) FILTER (WHERE NOT {_empty('text', 'href')} AND (contains(lower(text), 'th') OR contains(lower(href), 'th'))) AS BIGINT) AS filtered_rows,
+       CAST(0 AS BIGINT) AS selected_rows
+FROM m GROUP BY page_id""",
+    "title_display": _TITLE + """
+SELECT page_id,
+       CASE WHEN length(regexp_replace(title, '[\\r\\n]+', ' ', 'g')) > 20
+            THEN substr(regexp_replace(title, '[\\r\\n]+', ' ', 'g'), 1, 20) || '...'
+            ELSE regexp_replace(title, '[\\r\\n]+', ' ', 'g') END AS short_title,
+       CASE WHEN title = '' THEN 'Data Export' ELSE title END || ' - 2024-01-31' AS export_name
+FROM t""",
+    "heading_details": f"""
+SELECT page_id, 'h1' AS tag, '/html/body/article/h1' AS xpath,
+       trim({dec("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}) AS text
+FROM pages WHERE html LIKE '%<h1>%'""",
+})

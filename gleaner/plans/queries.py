@@ -334,3 +334,53 @@ QUERIES.update({
     "nav_guess_config": nav_guess_config,
     "nav_quick_scrape": nav_quick_scrape,
 })
+
+
+# ---- more view / sink / text operators on the supplied pages ------------------------------
+from gleaner.functions import text as TX  # noqa: E402
+from gleaner.sinks import writers as K  # noqa: E402
+
+
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cfg = X.ScrapeConfig.of("/html/head/title", [("Title", ".")])
+    return X.extract(pages_dom(spark, sf_dir), cfg, keep=("url",))
+
+
+def page_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V5: pages whose title or URL contains the term (case-insensitive)."""
+    return V.search_pages(_titles(spark, sf_dir).withColumnRenamed("Title", "title"), "Example.ORG").select("page_id", "url", "title")
+
+
+def link_tsv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3 + F12: each link row as one escaped TSV line."""
+    res = _links(spark, sf_dir)
+    return res.select("page_id", "original_index", K.tsv_line([F.col(c) for c in ("anchor_text", "url", "rel", "target")]).alias("line"))
+
+
+def link_view_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: rows left after the empty filter and a search, per page (nothing selected)."""
+    return V.view_counts(_links(spark, sf_dir), "th")
+
+
+def title_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F15 + F16 + F17: truncated single-line title and the export file name for a date."""
+    t = _titles(spark, sf_dir)
+    ts = F.lit("2024-01-31 12:00:00").cast("timestamp")
+    return t.select(
+        "page_id", TX.truncate_cell(TX.single_line(F.col("Title")), 20).alias("short_title"),
+        TX.export_name(F.col("Title"), ts).alias("export_name"),
+    )
+
+
+def heading_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Picked element details (tag, minimal path, trimmed text) for the first h1."""
+    return G.element_details(pages_dom(spark, sf_dir), "//h1").select("page_id", "tag", "xpath", "text")
+
+
+QUERIES.update({
+    "page_search": page_search,
+    "link_tsv_lines": link_tsv_lines,
+    "link_view_counts": link_view_counts,
+    "title_display": title_display,
+    "heading_details": heading_details,
+})
