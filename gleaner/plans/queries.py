@@ -365,7 +365,7 @@ def link_view_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def title_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F15 + F16 + F17: truncated single-line title and the export file name for a date."""
     t = _titles(spark, sf_dir)
-    ts = F.lit("2024-01-31 12:00:00").cast("timestamp")
+    ts = F.lit("2024-01-31 12:00:00").cast("timestamp_ntz")
     return t.select(
         "page_id", TX.truncate_cell(TX.single_line(F.col("Title")), 20).alias("short_title"),
         TX.export_name(F.col("Title"), ts).alias("export_name"),
