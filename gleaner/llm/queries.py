@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import quality_classifier, quality_rules, toxicity
+from gleaner.llm import packing, quality_classifier, quality_rules, toxicity
 from gleaner.llm.common import table
 
 
@@ -18,11 +18,15 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_toxicity, op6_quality_classifier, op10_quality_rules)
+    f.__name__: f for f in (op2_toxicity, op6_quality_classifier, op7_packing, op10_quality_rules)
 }
 ORACLES: dict[str, str] = {"op10_quality_rules": quality_rules.ORACLE}

@@ -24,10 +24,11 @@ from pyspark.sql.types import DoubleType, StructField
 from gleaner.llm.common import in_one_task, label_sample, map_columns, text_id
 from gleaner.llm.textarrays import ALNUM, Texts, grams, keyed, slices
 
-SAMPLE_ROWS = 4000
-MIN_TEXTS = 3  # a feature seen in fewer training texts learns nothing
-EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.0, 0.1
+SAMPLE_ROWS = 6000
+MIN_TEXTS = 5  # a feature seen in fewer training texts learns nothing
+EPOCHS = 8
+ALPHA, BETA = 1.0, 1.0
+L1_PER_ROW = 0.005  # the L1 term of the mean loss; FTRL's own is this times the rows
 HELD_OUT_OF = 5
 _STEPS = ((0,), (0, 1), (0, 2))
 
@@ -48,10 +49,11 @@ def features(t: Texts) -> tuple[np.ndarray, np.ndarray]:
 def ftrl(rows: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
     """Weights by coordinate; ``rows`` are the feature indices of each text (the last: bias)."""
     z, n = np.zeros(size), np.zeros(size)
+    l1 = L1_PER_ROW * len(rows)
 
     def weights(i: np.ndarray) -> np.ndarray:
         zi = z[i]
-        return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
+        return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) * ALPHA / (BETA + np.sqrt(n[i])))
 
     for epoch in range(EPOCHS):
         for k in np.random.default_rng(epoch).permutation(len(rows)):
