@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import packing, quality_classifier, quality_rules, toxicity
+from gleaner.llm import fingerprints, html_template, licenses, mixing, packing, quality_classifier, quality_rules, toxicity
 from gleaner.llm.common import table
 
 
@@ -14,6 +14,18 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.digest(table(spark, sf_dir, "documents"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -22,11 +34,25 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_toxicity, op6_quality_classifier, op7_packing, op10_quality_rules)
+    f.__name__: f for f in (
+        op2_toxicity,
+        op4_mixing,
+        op5_fingerprints,
+        op6_quality_classifier,
+        op7_packing,
+        op8_licenses,
+        op9_html_template,
+        op10_quality_rules,
+    )
+
 }
-ORACLES: dict[str, str] = {"op10_quality_rules": quality_rules.ORACLE}
+ORACLES: dict[str, str] = {"op8_licenses": licenses.ORACLE, "op10_quality_rules": quality_rules.ORACLE}
