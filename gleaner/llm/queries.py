@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import fingerprints, html_template, licenses, mixing, packing, quality_classifier, quality_rules, toxicity
+from gleaner.llm import fingerprints, html_template, licenses, mixing, near_duplicates, packing, quality_classifier, quality_rules, toxicity
 from gleaner.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op2_toxicity,
+        op3_near_duplicates,
         op4_mixing,
         op5_fingerprints,
         op6_quality_classifier,
