@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import fingerprints, html_template, licenses, mixing, near_duplicates, packing, quality_classifier, quality_rules, toxicity
+from gleaner.llm import fingerprints, html_template, licenses, lm_scoring, mixing, near_duplicates, packing, quality_classifier, quality_rules, toxicity
 from gleaner.llm.common import table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,6 +52,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
+        op1_lm_scoring,
         op2_toxicity,
         op3_near_duplicates,
         op4_mixing,
