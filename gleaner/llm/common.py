@@ -93,7 +93,8 @@ def in_one_task(df: DataFrame, train: Callable[[pa.Table], bytes]) -> bytes:
         t = pa.Table.from_batches(got) if got else arrow_schema.empty_table()
         yield pa.RecordBatch.from_arrays([pa.array([train(t.select(names))], pa.binary())], names=["model"])
 
-    return df.coalesce(1).mapInArrow(run, "model binary").first()["model"]
+    row = df.coalesce(1).mapInArrow(run, "model binary").first()
+    return row["model"] if row is not None else train(arrow_schema.empty_table())  # no partition at all
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ An equivalence class is valid if it is large and frequent: ``MIN_SIZE`` tokens,
 least ``MIN_PAGES`` pages and ``MIN_SHARE`` of the host's. Valid classes nest by the paths
 of their tags into the host's template. On a page, a text's slot is its nearest enclosing
 template tag. Slots inside the article's container are extracted; without one, the slot
-with the most text that is neither template text nor page furniture. Hosts with too few
+with the most text that is neither template text nor page furniture, and what stands beside
+it in the same element. Hosts with too few
 pages for a class fall back to every tag as a possible slot.
 
 Defined cases: a null or empty page gives ''; a null url belongs to host ''; repeated rows
@@ -141,8 +142,8 @@ def scan(page: str) -> tuple[list[int], list[Run]]:
         furniture = furniture or name in FURNITURE or bool(hidden) or (name not in ("html", "body", "main") and bool(words & FURNITURE_WORDS) and not (name == "article" and not words & {"comment", "comments", "reply", "replies", "ad", "ads", "promo", "sponsored"}))
         path = f"{above}/{name}.{mark}" if mark else f"{above}/{name}"
         stack.append((name, path, furniture, article or own and not furniture))
-        paths.append(token("tag", path))
-        tags.append(paths[-1])
+        tags.append(token("tag", path))
+        paths.append(tags[-1] if name not in INLINE else paths[-1] if paths else 0)
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
             stop = end.start() if end else n
@@ -224,14 +225,16 @@ def main_text(page: str, tags: frozenset[int], texts: frozenset[int]) -> str:
     kept = [r for r in runs if not r.furniture]
     inside = [r for r in kept if r.article]
     if not any(r.text.strip() for r in inside):
-        for r in kept:
-            if r.text.strip() and token("text", str(r.paths[-1:]), " ".join(r.text.split())) in texts:
-                continue
-            slot = next((p for p in reversed(r.paths) if not tags or p in tags), 0)
-            slots.setdefault(slot, []).append(r)
-        best = max(slots, key=lambda s: sum(len(r.text.strip()) for r in slots[s]), default=0)
-        chosen = {id(r) for r in slots.get(best, [])}
-        inside = [r for r in kept if id(r) in chosen]
+        own = [r for r in kept if r.text.strip() and token("text", str(r.paths[-1:]), " ".join(r.text.split())) not in texts]
+        slots: dict[tuple[int, ...], int] = {}
+        for r in own:
+            last_tag = next((i for i in range(len(r.paths) - 1, -1, -1) if not tags or r.paths[i] in tags), -1)
+            slot = r.paths[: last_tag + 1]
+            slots[slot] = slots.get(slot, 0) + len(r.text.strip())
+        best = max(slots, key=lambda s: slots[s], default=())
+        # the largest slot's container: its headings, lists and further paragraphs stand beside it
+        around = best[:-1] if len(best) > 1 else best
+        inside = [r for r in own if r.paths[: len(around)] == around]
     parts: list[str] = []
     last: Run | None = None
     places = {id(r): i for i, r in enumerate(runs)}

@@ -125,7 +125,7 @@ class Texts:
         return np.searchsorted(self.offsets, at, "right") - 1
 
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All lines between newlines, empty ones too, except that an empty text has none."""
+        """Lines between newlines, empty ones too; nothing follows a text's last newline."""
         cut = np.flatnonzero(NEWLINE[self.data])
         full = np.diff(self.offsets) > 0
         start = np.sort(np.concatenate([self.offsets[:-1][full], (cut + 1)[~np.isin(cut + 1, self.offsets[1:])]]))
