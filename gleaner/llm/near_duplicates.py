@@ -9,10 +9,11 @@ every coordinate has one: about k ln k darts whatever the text's length. ``BANDS
 ``ROWS`` coordinates are joined.
 
 Equal texts are one node from the start. In a band's bucket every node is compared with the
-bucket's leader, the node that shares most buckets with others (a group's centre); then
-nodes of one bucket that are still in different classes are compared with each other.
-So a large group gives one comparison for each member, not all pairs, and no candidate is
-left out unless its two texts are already in one class. Comparison is exact: Jaccard of the
+bucket's leader, the node that shares most buckets with others (a group's centre); then, in
+buckets whose nodes are still in different classes, with a drawn leader of each bucket, in
+``LEADER_ROUNDS`` rounds; what is left in different classes is compared with each other.
+So a large group gives a few comparisons for each member, not all pairs, and no candidate
+is left out unless its two texts are already in one class. Comparison is exact: Jaccard of the
 distinct shingles, at least ``SIMILARITY``. Classes are the components of these links.
 
 Defined cases: null and empty texts are equal to each other and to nothing else; equal rows
@@ -132,16 +133,35 @@ def signed(docs: DataFrame) -> DataFrame:
     return each.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("buckets").alias("buckets"))
 
 
+#: Bits of the set that lets only wanted texts through to the comparison; 1 MB at most.
+FILTER_BITS = 1 << 23
+
+
+def bits_of(nodes: DataFrame) -> np.ndarray:
+    """A set of the nodes' hashes in FILTER_BITS bits, aggregated in pieces of 4 KB."""
+    h = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)) + 1
+    rows = nodes.groupBy(F.bitmap_bucket_number(h).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in rows:
+        part = np.frombuffer(bytes(r["bits"]), np.uint8)
+        out[(r["b"] - 1) * 4096 : (r["b"] - 1) * 4096 + len(part)] = part
+    return out
+
+
 def similar(pairs: DataFrame, docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) of nodes whose distinct shingles have at least that Jaccard similarity."""
 
-    def own(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        out: list[bytes] = []
-        for t in slices(batch.column("text")):
+    def own(batch: pa.RecordBatch) -> tuple[dict[str, pa.Array], pa.Array]:
+        at = np.asarray(batch.column("bit"), np.int64)
+        asked = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        out: list[bytes | None] = [None] * len(batch)
+        places = np.flatnonzero(asked)
+        for t in slices(batch.column("text").filter(pa.array(asked))):
             who, h, _ = shingles(t)
             edge = np.searchsorted(who, np.arange(len(t) + 1))
-            out += [h[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]
-        return {"sh": pa.array(out, pa.binary())}
+            for i, (a, b) in enumerate(zip(edge[:-1], edge[1:])):
+                out[places[t.first + i]] = h[a:b].tobytes()
+        return {"sh": pa.array(out, pa.binary())}, pa.array(asked)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: OrderedDict[bytes, np.ndarray] = OrderedDict()
@@ -166,9 +186,11 @@ def similar(pairs: DataFrame, docs: DataFrame, threshold: float = SIMILARITY) ->
                 keep.append(same >= threshold * (len(one) + len(two) - same) and same > 0)
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = docs.select(node().alias("node"), "text").join(wanted, "node", "left_semi")
-    sets = cut(map_columns(texts, own, [StructField("sh", BinaryType())], ["node"], ["text"]).groupBy("node").agg(F.first("sh").alias("sh")))
+    wanted = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    bits = bits_of(wanted)
+    texts = docs.select(node().alias("node"), "text").withColumn("bit", F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)))
+    made = map_columns(texts, own, [StructField("sh", BinaryType())], ["node"], ["bit", "text"])
+    sets = cut(made.groupBy("node").agg(F.first("sh").alias("sh")).join(wanted, "node", "left_semi"))
     one, two = (sets.select(F.col("node").alias(k), F.col("sh").alias("s" + k)) for k in "ab")
     return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a binary, b binary"))
 
@@ -181,7 +203,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct())
     label = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("comp")))
-    while True:
+    while not label.isEmpty():
         near = both.join(label.withColumnsRenamed({"node": "v", "comp": "c"}), "v").groupBy(F.col("u").alias("node")).agg(F.min("c").alias("c"))
         least = label.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "c").alias("comp"))
         root = label.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
@@ -189,6 +211,7 @@ def components(edges: DataFrame) -> DataFrame:
         if new.filter(F.col("was") != F.col("comp")).isEmpty():
             return new.select("node", "comp")
         label = new.select("node", "comp")
+    return label
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -203,20 +226,20 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     stars = cut(members.join(leader, "bucket").filter(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct())
     links = similar(stars, docs)
     comp = components(links)
-    # nodes of one bucket that are in different classes yet
-    now = members.select("bucket", "node").join(comp, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(F.col("lo") != F.col("hi")).select("bucket")
-    left = cut(now.join(mixed, "bucket", "left_semi"))
+    # further leaders, another in each bucket and round, for buckets that hold several classes yet
+    for turn in range(LEADER_ROUNDS):
+        open_members = cut(unsettled(members, comp))
+        if open_members.isEmpty():
+            return sig.select("node", "doc_id"), comp
+        luck = F.xxhash64(F.lit(turn), F.col("bucket"), F.col("node"))
+        lead = open_members.groupBy("bucket").agg(F.max_by(F.struct("node", "comp"), luck).alias("l")).select("bucket", F.col("l.node").alias("a"), F.col("l.comp").alias("ca"))
+        tried = cut(open_members.join(lead, "bucket").filter(F.col("comp") != F.col("ca")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
+        links = cut(links.union(similar(tried, docs)))
+        comp = components(links)
+    # what is left is compared in full: nodes of one bucket that are in different classes
+    left = cut(unsettled(members, comp))
     x, y = left.withColumnsRenamed({"node": "a", "comp": "ca"}), left.withColumnsRenamed({"node": "b", "comp": "cb"})
-    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    open_pairs = (
-        x.join(y, "bucket")
-        .filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))
-        .select("a", "b")
-        .distinct()
-        .join(tested, ["a", "b"], "left_anti")
-    )
-    more = cut(open_pairs)
+    more = cut(x.join(y, "bucket").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct())
     if not more.isEmpty():
         found = similar(more, docs)
         if not found.isEmpty():
@@ -224,6 +247,16 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sig.select("node", "doc_id"), comp
 
 
+LEADER_ROUNDS = 3
+
+
+def unsettled(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """(bucket, node, comp) of the buckets whose nodes are in more than one class."""
+    now = members.select("bucket", "node").join(comp, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
+    several = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(F.col("lo") != F.col("hi")).select("bucket")
+    return now.join(several, "bucket", "left_semi")
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id): one row per document; the class is named by its least doc_id."""
     nodes, comp = classes(docs)
