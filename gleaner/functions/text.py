@@ -128,8 +128,8 @@ def preset_id(ts=None) -> Column:
 
 
 def data_attrs(attrs) -> Column:
-    """the ``data-*`` attribute names of an attribute map, sorted by name."""
-    return F.array_sort(F.map_keys(F.map_filter(_c(attrs), lambda k, v: k.startswith("data-"))))
+    """the ``data-*`` attribute names of an attribute map, in the attributes' order."""
+    return (F.map_keys(F.map_filter(_c(attrs), lambda k, v: k.startswith("data-"))))
 
 
 def width_px(maxlen, ppc: int, pad: int, lo: int, hi: int) -> Column:

@@ -103,7 +103,7 @@ def mask_preset_props(events: DataFrame) -> DataFrame:
         F.lit("preset_id"), F.when(sysp, p.getItem("preset_id")),
         F.lit("preset_name"), F.when(sysp, p.getItem("preset_name")),
     )
-    return events.withColumn("props", F.when(p.getItem("preset_id").isNotNull(), F.map_concat(keep, masked)).otherwise(p))
+    return events.withColumn("props", F.when(F.map_contains_key(p, "preset_id") | F.map_contains_key(p, "preset_name"), F.map_concat(keep, masked)).otherwise(p))
 
 
 def valid_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:

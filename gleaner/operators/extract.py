@@ -127,8 +127,6 @@ def count_matches(dom: DataFrame, selector: str) -> DataFrame:
         cnt = F.size(arr)
     except XPathSyntaxError:
         cnt = F.lit(0)
-    except UnsupportedXPath:
-        raise
     return dom.select("page_id", cnt.cast("long").alias("match_count"))
 
 
@@ -176,19 +174,20 @@ def column_value(selector: str, env: Env) -> Column:
     if selector == ".":
         return F.coalesce(js_trim(strval(env, env.node)), F.lit(""))
     if selector.startswith("@") and "(" not in selector:
-        return F.coalesce(attr_of(env, env.node, selector[1:]), F.lit(""))
+        return F.coalesce(attr_of(env, env.node, selector[1:].lower()), F.lit(""))
     try:
         v, comp = compile_value(selector, env)
     except XPathSyntaxError:
         return F.lit("")
-    primary = js_trim(comp.to_str(v, env))
+    whole = comp.to_str(v, env)
+    primary = js_trim(whole)
     if v.kind != NODES:
         return F.coalesce(primary, F.lit(""))
     arr = v.col if not v.single else F.array(v.col)
     n = lambda i: F.get(env.nodes, i)
     first = F.get(F.filter(arr, lambda i: n(i)["is_html"] | (n(i)["tag"] == F.lit("#text"))), 0)
     fallback = js_trim(strval(env, first))
-    return F.coalesce(F.when(primary != F.lit(""), primary).otherwise(fallback), F.lit(""))
+    return F.coalesce(F.when(whole != F.lit(""), primary).otherwise(fallback), F.lit(""))
 
 
 def resolve_keys(columns) -> list[tuple[str, ColumnDef]]:

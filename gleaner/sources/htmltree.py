@@ -320,9 +320,24 @@ class _Builder(HTMLParser):
         self._add("#comment", None, False)
 
     def unknown_decl(self, data):
-        pass
+        self._add("#comment", None, False)
+
+    def parse_html_declaration(self, i):
+        # declarations the tokenizer does not know are bogus comments, as in a browser
+        raw = self.rawdata
+        if raw[i : i + 4] == "<!--" or raw[i : i + 9].lower() == "<!doctype":
+            return super().parse_html_declaration(i)
+        if raw[i : i + 9] == "<![CDATA[":
+            return super().parse_html_declaration(i)
+        if self.ending and raw.find(">", i) < 0:  # open to the page's end
+            self._add("#comment", None, False)
+            return len(raw)
+        return self.parse_bogus_comment(i)
+
+    ending = False
 
     def finish(self) -> None:
+        self.ending = True
         self.close()
         self._ensure_body()
         self._pop_to(1)
@@ -334,10 +349,7 @@ def parse_html(html: str | None) -> dict:
     """Parse one page; returns column lists (one entry per node) plus the page text."""
     b = _Builder()
     if html:
-        try:
-            b.feed(html)
-        except Exception:  # malformed beyond the tokenizer: keep what was built
-            pass
+        b.feed(html)
     b.finish()
     n = len(b.tag)
     sib_n = [0] * n

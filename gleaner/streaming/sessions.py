@@ -12,7 +12,7 @@ tab with a huge log is combined map-side before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 REMOVED = "__removed__"
@@ -31,23 +31,26 @@ def normalize_updates(updates: DataFrame) -> DataFrame:
         F.when(F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.columns", "variant")).startswith("ARRAY"), F.lit(False)),
                F.struct(F.lit(CONFIG + ".columns").alias("f"), F.to_json(F.try_variant_get(v, "$.columns", "variant")).alias("j"))),
     )
-    cfg = updates.filter(is_cfg).select(
-        "tab_id", "seq", F.explode(F.filter(cfg_fields, lambda x: x.isNotNull())).alias("x")
-    ).select("tab_id", "seq", F.col("x.f").alias("field"), F.col("x.j").alias("value_json"))
-    return updates.filter(~is_cfg | F.col("field").isNull()).select("tab_id", "seq", "field", "value_json").unionByName(cfg)
+    plain = F.array(F.struct(F.col("field").alias("f"), F.col("value_json").alias("j")))
+    fields = F.when(F.coalesce(is_cfg, F.lit(False)), F.filter(cfg_fields, lambda x: x.isNotNull())).otherwise(plain)
+    return updates.select("tab_id", "seq", F.explode(fields).alias("x")).select(
+        "tab_id", "seq", F.col("x.f").alias("field"), F.col("x.j").alias("value_json")
+    )
 
 
 def fold_sessions(updates: DataFrame) -> DataFrame:
     """Latest value per ``(tab_id, field)`` after the tab's last removal.
     ``(tab_id, field, value_json, seq)``."""
-    u = normalize_updates(updates)
-    cleared = u.filter(F.col("field") == REMOVED).groupBy("tab_id").agg(F.max("seq").alias("cleared_at"))
-    live = u.filter(F.col("field") != REMOVED).join(cleared, "tab_id", "left").filter(
-        F.col("cleared_at").isNull() | (F.col("seq") > F.col("cleared_at"))
-    )
-    return live.groupBy("tab_id", "field").agg(
-        F.max_by("value_json", "seq").alias("value_json"), F.max("seq").alias("seq")
-    )
+    return _fold(normalize_updates(updates)).filter(F.col("field") != REMOVED)
+
+
+def _fold(u: DataFrame) -> DataFrame:
+    """Latest value per (tab, field) first (combined map-side), then what a tab's last
+    removal covers is dropped; removals stay as rows of their own."""
+    latest = u.groupBy("tab_id", "field").agg(F.max_by("value_json", "seq").alias("value_json"), F.max("seq").alias("seq"))
+    cleared = F.max(F.when(F.col("field") == REMOVED, F.col("seq"))).over(Window.partitionBy("tab_id"))  # a row per field
+    kept = (F.col("field") == REMOVED) | F.col("cleared_at").isNull() | (F.col("seq") > F.col("cleared_at"))
+    return latest.withColumn("cleared_at", cleared).filter(kept).drop("cleared_at")
 
 
 def route_updates(msgs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -76,9 +79,19 @@ def sessions_wide(state: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def merge_state(state: DataFrame, batch: DataFrame) -> DataFrame:
-    """Fold a micro-batch of updates into the current state (used by the stream)."""
+    """Fold a micro-batch into the state; removals stay in it, so that an update which
+    comes late does not bring a removed tab back."""
     prev = state.select("tab_id", "seq", "field", "value_json")
-    return fold_sessions(prev.unionByName(batch.select("tab_id", "seq", "field", "value_json")))
+    return _fold(prev.unionByName(normalize_updates(batch).select("tab_id", "seq", "field", "value_json")))
+
+
+def state_version(state_path: str, epoch: int) -> str:
+    return f"{state_path.rstrip('/')}/v{epoch}"
+
+
+def read_sessions(spark: SparkSession, state_path: str, epoch: int) -> DataFrame:
+    """The tabs' state after a batch, without the removals it remembers."""
+    return spark.read.parquet(state_version(state_path, epoch)).filter(F.col("field") != REMOVED)
 
 
 def stream_sessions(spark: SparkSession, updates_path: str, state_path: str, checkpoint: str, trigger_once: bool = True):
@@ -88,21 +101,13 @@ def stream_sessions(spark: SparkSession, updates_path: str, state_path: str, che
     src = spark.readStream.schema(UPDATES_DDL).parquet(updates_path)
 
     def upsert(batch: DataFrame, epoch: int) -> None:
-        import os
-
-        cur_path = os.path.join(state_path, "current")
-        try:
-            cur = spark.read.parquet(cur_path)
-        except Exception:  # first batch: no state yet
+        # version v{epoch} is made of the one before and never overwritten in place; a state
+        # that cannot be read ends the batch
+        if epoch == 0:
             cur = spark.createDataFrame([], "tab_id long, field string, value_json string, seq long")
-        # tombstones must survive in the state: keep them as rows too
-        new = merge_state(cur.select("tab_id", "seq", "field", "value_json"), batch)
-        tomb = batch.filter(F.col("field") == REMOVED).groupBy("tab_id").agg(F.max("seq").alias("seq"))
-        out = new.unionByName(tomb.select("tab_id", F.lit(REMOVED).alias("field"), F.lit(None).cast("string").alias("value_json"), "seq"))
-        out = out.groupBy("tab_id", "field").agg(F.max_by("value_json", "seq").alias("value_json"), F.max("seq").alias("seq"))
-        tmp = os.path.join(state_path, f"v{epoch}")
-        out.write.mode("overwrite").parquet(tmp)
-        spark.read.parquet(tmp).write.mode("overwrite").parquet(cur_path)
+        else:
+            cur = spark.read.parquet(state_version(state_path, epoch - 1))
+        merge_state(cur, batch).write.mode("overwrite").parquet(state_version(state_path, epoch))
 
     w = src.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="5 seconds")

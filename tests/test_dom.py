@@ -64,3 +64,8 @@ def test_interval_invariants(html):
         if d["tag"][i][0] != "#":
             txt = "".join(d["text"][d["t0"][j]:d["t1"][j]] for j in range(i + 1, d["last"][i] + 1) if d["tag"][j] == "#text")
             assert txt == d["text"][d["t0"][i]:d["t1"][i]]
+
+
+def test_odd_declarations_do_not_end_the_page(make_dom):
+    dom = make_dom("<p>a</p><![foo[x]]><p>b</p>", "<![ x", "<![%x;[y]]><p>c</p>", "<!x y><p>d</p>")
+    assert [r.text for r in dom.orderBy("page_id").select("text").collect()] == ["ab", "", "c", "d"]
