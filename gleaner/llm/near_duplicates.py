@@ -13,8 +13,11 @@ bucket's leader, the node that shares most buckets with others (a group's centre
 buckets whose nodes are still in different classes, with a drawn leader of each bucket, in
 ``LEADER_ROUNDS`` rounds; what is left in different classes is compared with each other.
 So a large group gives a few comparisons for each member, not all pairs, and no candidate
-is left out unless its two texts are already in one class. Comparison is exact: Jaccard of the
-distinct shingles, at least ``SIMILARITY``. Classes are the components of these links.
+is left out unless its two texts are already in one class or cannot be similar: each text has
+a sketch of ``PARITY`` bits, a shingle flipping one of them, so two sketches differ in at most
+as many bits as the texts have shingles that are not shared, and a pair whose sketches differ
+in more than the threshold admits goes before it becomes a row. Comparison is exact: Jaccard
+of the distinct shingles, at least ``SIMILARITY``. Classes are the components of these links.
 
 Defined cases: null and empty texts are equal to each other and to nothing else; equal rows
 share a class; a class is named by its least doc_id (null only if all are); an empty table
@@ -39,6 +42,7 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 30, 6
 DARTS = BANDS * ROWS
+PARITY = 1024
 #: Poisson(1) counts by a uniform 64-bit number: at least i darts from this number on.
 _POISSON = np.array([int(2**64 * p) for p in np.cumsum([0.36787944117144233 / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320)])], np.uint64)
 _EMPTY = np.uint64(2**64 - 1)
@@ -69,10 +73,12 @@ def shingles(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return who[first], h[first], np.diff(np.append(first, len(h)))
 
 
-def signatures(t: Texts) -> np.ndarray:
-    """Text by coordinate: the earliest dart (its time and identity); all ones without words."""
+def signatures(t: Texts, found: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Text by coordinate: the earliest dart (its time and identity); all ones without words.
+
+    ``found``: the texts' shingles, where they are known already."""
     n = len(t)
-    who, h, count = shingles(t)
+    who, h, count = shingles(t) if found is None else found
     weight = 1 + np.floor(np.log2(np.maximum(count, 1))).astype(np.int64)
     # one unit cell for each unit of an element's weight
     level = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
@@ -103,15 +109,25 @@ def signatures(t: Texts) -> np.ndarray:
     return out.reshape(n, DARTS)
 
 
-def buckets(t: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Text by band: a 64-bit bucket; and which texts have words."""
-    s = signatures(t)
+def parities(n: int, who: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Text by 64-bit word of its sketch: each distinct shingle flips one bit."""
+    bit = hashed(h, 31) & np.uint64(PARITY - 1)
+    out = np.zeros(n * (PARITY // 64), np.uint64)
+    np.bitwise_xor.at(out, who * (PARITY // 64) + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out.view(np.int64)
+
+
+def buckets(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text by band: a 64-bit bucket; which texts have words; sketches; distinct shingles."""
+    found = shingles(t)
+    s = signatures(t, found)
+    who, h, _ = found
     has = s[:, 0] != _EMPTY
     with np.errstate(over="ignore"):
         key = np.repeat(np.arange(BANDS, dtype=np.uint64)[None, :], len(t), axis=0)
         for r in range(ROWS):
             key = mix(key * np.uint64(0x9FB21C651E98DF25) + s[:, r::ROWS])
-    return key.view(np.int64), has
+    return key.view(np.int64), has, parities(len(t), who, h), np.bincount(who, minlength=len(t))
 
 
 def node(text: Column | None = None) -> Column:
@@ -119,18 +135,42 @@ def node(text: Column | None = None) -> Column:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(node, doc_id, buckets): one row for each distinct text, with its least id."""
+    """(node, doc_id, buckets, sketch, n): one row for each distinct text, with its least id."""
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        parts = []
+        lists, sketches, sizes = [], [], []
         for t in slices(batch.column("text")):
-            key, has = buckets(t)
-            parts.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))]).astype(np.int32)), pa.array(key[has].reshape(-1))))
-        return {"buckets": pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int64()))}
+            key, has, sketch, n = buckets(t)
+            lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))]).astype(np.int32)), pa.array(key[has].reshape(-1))))
+            sketches.append(pa.ListArray.from_arrays(pa.array(np.arange(len(t) + 1, dtype=np.int32) * (PARITY // 64)), pa.array(sketch)))
+            sizes.append(pa.array(n.astype(np.int64)))
+        none = pa.array([], pa.list_(pa.int64()))
+        return {
+            "buckets": pa.concat_arrays(lists) if lists else none,
+            "sketch": pa.concat_arrays(sketches) if sketches else none,
+            "n": pa.concat_arrays(sizes) if sizes else pa.array([], pa.int64()),
+        }
 
     base = docs.select(node().alias("node"), "doc_id", "text")
-    each = map_columns(base, run, [StructField("buckets", ArrayType(LongType()))], ["node", "doc_id"], ["text"])
-    return each.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("buckets").alias("buckets"))
+    made = [StructField("buckets", ArrayType(LongType())), StructField("sketch", ArrayType(LongType())), StructField("n", LongType())]
+    each = map_columns(base, run, made, ["node", "doc_id"], ["text"])
+    return each.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c.name).alias(c.name) for c in made])
+
+
+def may_match(threshold: float = SIMILARITY) -> Column:
+    """Whether texts with sketches ka, kb and na, nb shingles can have that similarity.
+
+    With d shingles not shared, the union is (na + nb + d) / 2, so the similarity is at least
+    the threshold only where d <= (na + nb) * (1 - threshold) / (1 + threshold).
+    """
+    differ = sum((F.bit_count(F.get("ka", F.lit(i)).bitwiseXOR(F.get("kb", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
+    return (differ * (1 + threshold) <= (F.col("na") + F.col("nb")) * (1 - threshold) + 1e-6) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-6)
+
+
+def possible(pairs: DataFrame, sig: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sketches do not rule them out."""
+    one, two = (sig.select(F.col("node").alias(c), F.col("sketch").alias("k" + c), F.col("n").alias("n" + c)) for c in "ab")
+    return cut(pairs.join(one, "a").join(two, "b").filter(may_match()).select("a", "b"))
 
 
 #: Bits of the set that lets only wanted texts through to the comparison; 1 MB at most.
@@ -224,7 +264,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ranked = members.join(popular, "node")
     leader = ranked.groupBy("bucket").agg(F.max(F.struct("shares", "node")).alias("top")).select("bucket", F.col("top.node").alias("a"))
     stars = cut(members.join(leader, "bucket").filter(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct())
-    links = similar(stars, docs)
+    links = similar(possible(stars, sig), docs)
     comp = components(links)
     # further leaders, another in each bucket and round, for buckets that hold several classes yet
     for turn in range(LEADER_ROUNDS):
@@ -234,12 +274,12 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         luck = F.xxhash64(F.lit(turn), F.col("bucket"), F.col("node"))
         lead = open_members.groupBy("bucket").agg(F.max_by(F.struct("node", "comp"), luck).alias("l")).select("bucket", F.col("l.node").alias("a"), F.col("l.comp").alias("ca"))
         tried = cut(open_members.join(lead, "bucket").filter(F.col("comp") != F.col("ca")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
-        links = cut(links.union(similar(tried, docs)))
+        links = cut(links.union(similar(possible(tried, sig), docs)))
         comp = components(links)
     # what is left is compared in full: nodes of one bucket that are in different classes
-    left = cut(unsettled(members, comp))
-    x, y = left.withColumnsRenamed({"node": "a", "comp": "ca"}), left.withColumnsRenamed({"node": "b", "comp": "cb"})
-    more = cut(x.join(y, "bucket").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct())
+    left = cut(unsettled(members, comp).join(sig.select("node", "sketch", "n"), "node"))
+    x, y = (left.select("bucket", F.col("node").alias(k), F.col("comp").alias("c" + k), F.col("sketch").alias("k" + k), F.col("n").alias("n" + k)) for k in "ab")
+    more = cut(x.join(y, "bucket").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_match()).select("a", "b").distinct())
     if not more.isEmpty():
         found = similar(more, docs)
         if not found.isEmpty():

@@ -526,3 +526,24 @@ def test_gradient_is_of_the_log_likelihood(small_model):
 def test_model_beats_word_counts(spark):
     rows = lm_scoring.score(spark.read.parquet(f"{SF01}/documents.parquet")).filter("held_out").collect()
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+
+
+def test_parity_sketch_never_rules_out_a_similar_pair(spark):
+    rng = random.Random(5)
+    texts = []
+    for size in (6, 30, 150, 900):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        for edits in (0, 1, 2, 3, 5, 9, 20, 60):
+            v = list(w)
+            for i in rng.sample(range(size), min(edits, size)):
+                v[i] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(v))
+    t = Texts.of(texts)
+    who, h, _ = near_duplicates.shingles(t)
+    sets = [set(h[who == i].tolist()) for i in range(len(texts))]
+    sketch = near_duplicates.parities(len(t), who, h).reshape(len(t), -1)
+    rows = [(i, j, sketch[i].tolist(), sketch[j].tolist(), len(sets[i]), len(sets[j])) for i in range(len(texts)) for j in range(i)]
+    df = spark.createDataFrame(rows, "a int, b int, ka array<long>, kb array<long>, na long, nb long")
+    passed = {(r["a"], r["b"]) for r in df.filter(near_duplicates.may_match()).collect()}
+    similar = {(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert similar and similar <= passed and len(passed) < len(rows) / 2
