@@ -277,9 +277,10 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         links = cut(links.union(similar(possible(tried, sig), docs)))
         comp = components(links)
     # what is left is compared in full: nodes of one bucket that are in different classes
-    left = cut(unsettled(members, comp).join(sig.select("node", "sketch", "n"), "node"))
-    x, y = (left.select("bucket", F.col("node").alias(k), F.col("comp").alias("c" + k), F.col("sketch").alias("k" + k), F.col("n").alias("n" + k)) for k in "ab")
-    more = cut(x.join(y, "bucket").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_match()).select("a", "b").distinct())
+    left = cut(unsettled(members, comp).join(sig.select("node", "buckets", "sketch", "n"), "node"))
+    x, y = (left.select("bucket", F.col("node").alias(k), F.col("comp").alias("c" + k), F.col("buckets").alias("l" + k), F.col("sketch").alias("k" + k), F.col("n").alias("n" + k)) for k in "ab")
+    once = F.array_min(F.array_intersect("la", "lb")) == F.col("bucket")  # a pair comes from the least bucket it shares
+    more = cut(x.join(y, "bucket").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_match() & once).select("a", "b"))
     if not more.isEmpty():
         found = similar(more, docs)
         if not found.isEmpty():
@@ -287,7 +288,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sig.select("node", "doc_id"), comp
 
 
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 1
 
 
 def unsettled(members: DataFrame, comp: DataFrame) -> DataFrame:
