@@ -867,6 +867,14 @@ def compile_nodes(selector: str, env: Env) -> Column:
     return _as_array(v)
 
 
+def compile_set(selector: str, env: Env) -> tuple[Column, bool]:
+    """Node or attribute set -> its array (pre numbers or values), and whether it holds nodes."""
+    v = Compiler(env).compile(parse(selector))
+    if v.kind not in (NODES, ATTRS):
+        raise XPathSyntaxError("Invalid XPath: the expression does not select nodes")
+    return _as_array(v), v.kind == NODES
+
+
 def compile_value(selector: str, env: Env) -> tuple[Val, Compiler]:
     c = Compiler(env)
     return c.compile(parse(selector)), c

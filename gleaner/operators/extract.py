@@ -21,6 +21,7 @@ from gleaner.functions.xpath import (
     XPathSyntaxError,
     attr_of,
     compile_nodes,
+    compile_set,
     compile_value,
     strval,
 )
@@ -121,28 +122,29 @@ def select_values(dom: DataFrame, selector: str, within: str | None = None) -> D
 
 
 def count_matches(dom: DataFrame, selector: str) -> DataFrame:
-    """Matches per page, every node kind counted; 0 when the selector is malformed."""
+    """Matches per page, nodes of every kind and attributes counted; 0 when the selector is malformed."""
     try:
-        arr = matched_nodes(selector, html_only=False)
-        cnt = F.size(arr)
+        cnt = F.size(compile_set(selector, dom_env())[0])
     except XPathSyntaxError:
         cnt = F.lit(0)
     return dom.select("page_id", cnt.cast("long").alias("match_count"))
 
 
 def validate_selector(dom: DataFrame, selector: str) -> DataFrame:
-    """One row ``(selector, match_count, error)`` over all pages.
+    """One row ``(selector, match_count, error)`` over all pages, counting HTML elements.
 
     Syntax errors give ``(0, 'Invalid XPath')`` without running a job; a valid selector
-    is counted with a partial aggregate (map-side sums, one tiny final merge)."""
+    (of attributes too, which are no elements) has no error and is counted with a partial
+    aggregate (map-side sums, one tiny final merge)."""
     spark = dom.sparkSession
     try:
-        matched_nodes(selector, html_only=False)
+        nodes = compile_set(selector, dom_env())[1]
     except XPathSyntaxError:
         return spark.createDataFrame(
             [(selector, 0, "Invalid XPath")], "selector string, match_count long, error string"
         )
-    counts = count_matches(dom, selector).agg(F.coalesce(F.sum("match_count"), F.lit(0)).alias("match_count"))
+    cnt = F.size(matched_nodes(selector)) if nodes else F.lit(0)
+    counts = dom.select(cnt.cast("long").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("match_count"))
     return counts.select(
         F.lit(selector).alias("selector"), F.col("match_count").cast("long"), F.lit(None).cast("string").alias("error")
     )

@@ -49,6 +49,15 @@ def test_malformed_selector_policy(make_dom):
     assert (v.match_count, v.error) == (0, "Invalid XPath")
 
 
+def test_attribute_selectors_count_and_are_valid(make_dom):
+    dom = make_dom("<a href='/x'>x</a><a>y</a><a href='/z'>z</a><!-- c -->")
+    assert X.count_matches(dom, "//a/@href").first().match_count == 2
+    assert tuple(X.validate_selector(dom, "//a/@href").first()) == ("//a/@href", 0, None)
+    assert tuple(X.validate_selector(dom, "//a").first()) == ("//a", 3, None)
+    assert tuple(X.validate_selector(dom, "//a/text()").first()) == ("//a/text()", 0, None)
+    assert X.count_matches(dom, "//a/text()").first().match_count == 3
+
+
 def test_unsupported_selector_raises(make_dom):
     dom = make_dom("<a>x</a>")
     with pytest.raises(UnsupportedXPath):
