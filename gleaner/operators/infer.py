@@ -555,34 +555,15 @@ def _path_rows(cfg: Column) -> Column:
     return F.when(cfg["table"].isNotNull(), by_table).otherwise(by_path)
 
 
-def pick_and_extract(dom: DataFrame, selector: str, level: int | None = None) -> DataFrame:
-    """G15/G16 per page: the element picked by ``selector`` (first match) gives the
-    candidate selector (G4/G5, or ``level``) and the guessed columns (G13); the page is then
-    scraped with that config. Pages where the config matches nothing are skipped (G16).
-    Long form: ``(page_id, main_selector, original_index, col_pos, name, key, value)``."""
+def _scrape(dom: DataFrame, selector: str, config) -> DataFrame:
+    """Scrape each page with the config that ``config(m)`` gives for the first element the
+    selector matches. Pages without a match or without rows are skipped."""
     _deep_plans(dom)
     from gleaner.operators.extract import matched_nodes
 
     first = F.get(matched_nodes(selector), 0)
     base = dom.select("page_id", "nodes", "text", first.alias("m")).filter(F.col("m").isNotNull())
-
-    def with_cands(cands):
-        def with_cfg(cfg):
-            pick = F.lit(level) if level is not None else default_candidate(cands)
-            chosen = F.coalesce(F.get(cands, pick), F.get(cands, 0))
-            is_row = cfg["table"].isNotNull()
-            # the candidate replaces the guessed selector unless the guess is a table-row config
-            conf = F.struct(
-                F.when(is_row, cfg["main_selector"]).otherwise(chosen["xpath"]).alias("main_selector"),
-                F.when(is_row, cfg["path"]).otherwise(
-                    F.struct(chosen["xpath"].alias("xpath"), chosen["segs"].alias("segs"), chosen["mode"].alias("mode"))).alias("path"),
-                cfg["table"].alias("table"), cfg["columns"].alias("columns"),
-            )
-            return _let(conf, lambda c: F.struct(c["main_selector"].alias("main_selector"), c["columns"].alias("columns"), _path_rows(c).alias("rows")))
-
-        return _let(guess_config_at(F.col("m")), with_cfg)
-
-    plan = _let(selector_candidates(F.col("m")), with_cands)
+    plan = _let(config(F.col("m")), lambda c: F.struct(c["main_selector"].alias("main_selector"), c["columns"].alias("columns"), _path_rows(c).alias("rows")))
     g = base.select("page_id", "nodes", "text", plan.alias("plan")).filter(F.size("plan.rows") > 0)
     r = g.select("page_id", "nodes", "text", F.col("plan.main_selector").alias("main_selector"), F.col("plan.columns").alias("columns"),
                  F.posexplode("plan.rows").alias("original_index", "r"))
@@ -594,21 +575,42 @@ def pick_and_extract(dom: DataFrame, selector: str, level: int | None = None) ->
     )
 
 
+def pick_and_extract(dom: DataFrame, selector: str, level: int | None = None) -> DataFrame:
+    """G15 per page: the element picked by ``selector`` (first match) gives the candidate
+    selector (G4/G5, or ``level``), which always replaces the guessed one, and the guessed
+    columns (G13); the page is then scraped with that config.
+    Long form: ``(page_id, main_selector, original_index, col_pos, name, key, value)``."""
+    def config(m):
+        def with_cands(cands):
+            pick = F.lit(level) if level is not None else default_candidate(cands)
+            chosen = F.coalesce(F.get(cands, pick), F.get(cands, 0))
+            return F.struct(
+                chosen["xpath"].alias("main_selector"),
+                F.struct(chosen["xpath"].alias("xpath"), chosen["segs"].alias("segs"), chosen["mode"].alias("mode")).alias("path"),
+                F.lit(None).cast("int").alias("table"), _let(guess_ancestor(m), guess_columns).alias("columns"),
+            )
+
+        return _let(selector_candidates(m), with_cands)
+
+    return _scrape(dom, selector, config)
+
+
 def quick_scrape(dom: DataFrame, selector: str) -> DataFrame:
-    """Guess from the clicked element (first match), keep pages with matches, extract."""
-    return pick_and_extract(dom, selector, level=None)
+    """G16 per page: scrape with the config guessed (G13) from the clicked element (first
+    match), its own selector included. Columns as :func:`pick_and_extract`."""
+    return _scrape(dom, selector, guess_config_at)
 
 
 def element_details(dom: DataFrame, selector: str) -> DataFrame:
-    """For the first element matched on each page: its minimal path, trimmed text and
-    tag. ``(page_id, pre, tag, xpath, text)``."""
+    """For the first element matched on each page: its minimal path, text (as it stands,
+    not trimmed) and tag. ``(page_id, pre, tag, xpath, text)``."""
     _deep_plans(dom)
     from gleaner.operators.extract import matched_nodes
 
     first = F.get(matched_nodes(selector), 0)
     b = dom.select("page_id", "nodes", "text", first.alias("m")).filter(F.col("m").isNotNull())
     return b.select("page_id", F.col("m").alias("pre"), _f(F.col("m"), "tag").alias("tag"),
-                    minimal_path(F.col("m"))["xpath"].alias("xpath"), js_trim(_text(F.col("m"))).alias("text"))
+                    minimal_path(F.col("m"))["xpath"].alias("xpath"), _text(F.col("m")).alias("text"))
 
 
 def inference_report(dom: DataFrame, selector: str) -> DataFrame:

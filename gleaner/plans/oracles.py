@@ -330,7 +330,7 @@ SELECT page_id, '//nav//a', v.p, v.name, v.sel FROM nv,
        (VALUES (0, 'Anchor text', '.'), (1, 'URL', '@href'), (2, 'Rel', '@rel'), (3, 'Target', '@target')) v(p, name, sel)
 WHERE n <= 1""",
     "nav_quick_scrape": _NAV + _ANCHORS.replace("WITH x AS", ", x AS") + f""", m AS (SELECT a.*, nv.n FROM a JOIN nv USING (page_id))
-SELECT page_id, '/html/body/nav/ul/li/a' AS main_selector, CAST(i - 1 AS INTEGER) AS original_index, 0 AS col_pos,
+SELECT page_id, '/html/body/nav/ul/li' AS main_selector, CAST(i - 1 AS INTEGER) AS original_index, 0 AS col_pos,
        'List Item' AS name, 'List Item' AS key, trim({dec('txt')}) AS value
 FROM m WHERE n > 1
 UNION ALL
@@ -370,6 +370,6 @@ SELECT page_id,
 FROM t""",
     "heading_details": f"""
 SELECT page_id, 'h1' AS tag, '/html/body/article/h1' AS xpath,
-       trim({dec("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}) AS text
+       {dec("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS text
 FROM pages WHERE html LIKE '%<h1>%'""",
 })

@@ -324,8 +324,8 @@ def nav_guess_config(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nav_quick_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pick the first navigation link, take the default candidate selector and the
-    guessed columns, scrape every page with its own inferred config (long form)."""
+    """Scrape every page with the config guessed from its first navigation link (long
+    form)."""
     return G.quick_scrape(pages_dom(spark, sf_dir), "//nav//a")
 
 
@@ -373,7 +373,7 @@ def title_display(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def heading_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Picked element details (tag, minimal path, trimmed text) for the first h1."""
+    """Picked element details (tag, minimal path, text) for the first h1."""
     return G.element_details(pages_dom(spark, sf_dir), "//h1").select("page_id", "tag", "xpath", "text")
 
 

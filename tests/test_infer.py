@@ -66,6 +66,11 @@ def test_table_guess(pages):
     assert [(c.original_index, c.name, c.value) for c in cells] == [(0, "Name", "Al"), (0, "Age", "3"), (1, "Name", "Bo"), (1, "Age", "4")]
 
 
+def test_pick_replaces_the_guessed_selector(pages):
+    picked = G.pick_and_extract(pages.filter("page_id = 2"), "//td[@id='t']", level=1)
+    assert {r.main_selector for r in picked.collect()} == {"/html/body/table/tbody/tr"}
+
+
 def test_candidates(make_dom):
     deep = make_dom("<div><div><div><div><div><div><div><b id='t'>x</b></div></div></div></div></div></div></div>")
     G._deep_plans(deep)
