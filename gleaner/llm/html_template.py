@@ -1,17 +1,18 @@
 """Main text of web pages by equivalence-class template deduction (operator 9).
 
-Tokens of a page are its tags, told apart by their path, and the texts that stand outside
-the article, told apart by path and wording. A token's occurrence vector over the pages of
+Tokens of a page are its tags, told apart by their path, and its texts, inside the article
+too, told apart by path and wording; a text is what stands between two block borders. A token's occurrence vector over the pages of
 its host is never built: each page has a random weight, and the sums of count x weight are
 equal for equal vectors. So deduction is one aggregation by (host, token) with map-side
 combining (no host's pages meet in one task) and one by (host, vector).
 
 An equivalence class is valid if it is large and frequent: ``MIN_SIZE`` tokens, on at
 least ``MIN_PAGES`` pages and ``MIN_SHARE`` of the host's. Valid classes nest by the paths
-of their tags into the host's template. On a page, a text's slot is its nearest enclosing
-template tag. Slots inside the article's container are extracted; without one, the slot
-with the most text that is neither template text nor page furniture, and what stands beside
-it in the same element. Hosts with too few
+of their tags into the host's template. On every page the texts of valid classes are left
+out, and a text's slot is its nearest enclosing template tag. Slots inside an article's
+container are extracted, whole where over half of them is the template's text: such pages
+repeat one article, with few words of their own; without a container, the slot with the most text that is neither template
+text nor page furniture, and what stands beside it in the same element. Hosts with too few
 pages for a class fall back to every tag as a possible slot.
 
 Defined cases: a null or empty page gives ''; a null url belongs to host ''; repeated rows
@@ -153,9 +154,15 @@ def scan(page: str) -> tuple[list[int], list[Run]]:
     return tags, runs
 
 
-def outside(runs: list[Run]) -> list[int]:
-    """Tokens of the texts that stand outside the article."""
-    return [token("text", str(r.paths[-1:]), " ".join(r.text.split())) for r in runs if not r.article and r.text.strip()]
+def blocks(runs: list[Run]) -> list[tuple[int, list[Run]]]:
+    """The texts between two block borders, furniture apart: their token and pieces."""
+    found: dict[tuple[int, bool], list[Run]] = {}
+    n = 0
+    for r in runs:
+        n += r.breaks
+        found.setdefault((n, r.furniture), []).append(r)
+    worded = ((rs, " ".join("".join(r.text for r in rs).split())) for rs in found.values())
+    return [(token("text", str(rs[0].paths[-1:]), words), rs) for rs, words in worded if words]
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
@@ -182,7 +189,7 @@ def occurrences(pages: DataFrame) -> DataFrame:
                 counts: dict[tuple[int, bool], int] = {(0, True): 1}
                 for t in tags:
                     counts[t, True] = counts.get((t, True), 0) + 1
-                for t in outside(runs):
+                for t, _ in blocks(runs):
                     counts[t, False] = counts.get((t, False), 0) + 1
                 for (t, is_tag), c in counts.items():
                     s = sums.setdefault((h, t, is_tag), [0, 0, 0, 0])
@@ -205,7 +212,8 @@ def templates(pages: DataFrame) -> DataFrame:
     """(host, tags, texts): the tokens of each host's valid equivalence classes."""
     occ = occurrences(pages)
     of_host = F.max(F.when(F.col("has_page"), F.col("pages"))).alias("host_pages")
-    classes = occ.groupBy("host", "a", "b", "pages", "total").agg(
+    # most texts stand on one page: they go before the second aggregation
+    classes = occ.filter((F.col("pages") >= MIN_PAGES) | (F.col("token") == 0)).groupBy("host", "a", "b", "pages", "total").agg(
         F.collect_list(F.when(F.col("is_tag") & (F.col("token") != 0), F.col("token"))).alias("tags"),
         F.collect_list(F.when(~F.col("is_tag"), F.col("token"))).alias("texts"),
         F.max(F.col("token") == 0).alias("has_page"),
@@ -218,14 +226,20 @@ def templates(pages: DataFrame) -> DataFrame:
     )
 
 
+def length(runs: list[Run]) -> int:
+    return sum(len(r.text.strip()) for r in runs)
+
+
 def main_text(page: str, tags: frozenset[int], texts: frozenset[int]) -> str:
-    """The text of the page's article slots."""
+    """The text of the page's article slots, without the template's texts."""
     _, runs = scan(page)
-    slots: dict[int, list[Run]] = {}
-    kept = [r for r in runs if not r.furniture]
-    inside = [r for r in kept if r.article]
-    if not any(r.text.strip() for r in inside):
-        own = [r for r in kept if r.text.strip() and token("text", str(r.paths[-1:]), " ".join(r.text.split())) not in texts]
+    kept = [(t, r) for t, rs in blocks(runs) for r in rs if not r.furniture]
+    own = [r for t, r in kept if t not in texts]
+    article = [r for _, r in kept if r.article]
+    inside = [r for r in own if r.article]
+    if 2 * length(inside) < length(article):
+        inside = article
+    if not inside:
         slots: dict[tuple[int, ...], int] = {}
         for r in own:
             last_tag = next((i for i in range(len(r.paths) - 1, -1, -1) if not tags or r.paths[i] in tags), -1)

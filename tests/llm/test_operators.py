@@ -447,6 +447,15 @@ def test_equivalence_classes(spark):
     assert len(t["texts"]) >= 1 and len(t["tags"]) >= 4
 
 
+def test_template_texts_inside_the_article(spark):
+    rows = [page(i, f"<article><h1>Head {i}</h1><p>You may <b>also</b> like</p><p>Own {i} <b>bold</b> also</p></article>") for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_template.extract(df).collect()} == {i: f"Head {i} Own {i} bold also" for i in range(4)}
+    near = [page(i, f"<article><h1>Head {i}</h1><p>One passage of many words</p><p>Another one</p></article>") for i in range(4)]
+    df = spark.createDataFrame(near, "page_id long, url string, html string")
+    assert {r["text"] for r in html_template.extract(df).collect()} == {f"Head {i} One passage of many words Another one" for i in range(4)}
+
+
 # --- language model ------------------------------------------------------------------
 
 
