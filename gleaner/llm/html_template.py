@@ -3,8 +3,9 @@
 Tokens of a page are its tags, told apart by their path, and its texts, inside the article
 too, told apart by path and wording; a text is what stands between two block borders. A token's occurrence vector over the pages of
 its host is never built: each page has a random weight, and the sums of count x weight are
-equal for equal vectors. So deduction is one aggregation by (host, token) with map-side
-combining (no host's pages meet in one task) and one by (host, vector).
+equal for equal vectors. So deduction is one aggregation by (host, page), which leaves one of
+each host's equal pages, one by (host, token) with map-side combining (no host's pages meet
+in one task) and one by (host, vector).
 
 An equivalence class is valid if it is large and frequent: ``MIN_SIZE`` tokens, on at
 least ``MIN_PAGES`` pages and ``MIN_SHARE`` of the host's. Valid classes nest by the paths
@@ -15,8 +16,8 @@ repeat one article, with few words of their own; without a container, the slot w
 text nor page furniture, and what stands beside it in the same element. Hosts with too few
 pages for a class fall back to every tag as a possible slot.
 
-Defined cases: a null or empty page gives ''; a null url belongs to host ''; repeated rows
-count as one page each; broken markup (open comments, tags, quotes) is read on to the end
+Defined cases: a null or empty page gives ''; a null url belongs to host ''; copies of a page
+on a host count as one page; a page with nothing but template texts keeps them; broken markup (open comments, tags, quotes) is read on to the end
 and never raises; an empty table gives no rows; other input columns are not read.
 """
 
@@ -165,6 +166,23 @@ def blocks(runs: list[Run]) -> list[tuple[int, list[Run]]]:
     return [(token("text", str(rs[0].paths[-1:]), words), rs) for rs, words in worded if words]
 
 
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """(host, page, tags, texts): the tokens of each host's distinct pages, told apart by a 64-bit hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for page in batch.column("html").to_pylist():
+                tags, runs = scan(page or "")
+                found.append((token("page", page or ""), tags, [t for t, _ in blocks(runs)]))
+            types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            made = [pa.array([f[i] for f in found], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), *made], names=["host", "page", "tags", "texts"])
+
+    each = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, page long, tags array<long>, texts array<long>")
+    return each.groupBy("host", "page").agg(F.first("tags").alias("tags"), F.first("texts").alias("texts"))
+
+
 def occurrences(pages: DataFrame) -> DataFrame:
     """(host, token, is_tag, pages, total, a, b): each token's support, count and vector sums.
 
@@ -183,13 +201,12 @@ def occurrences(pages: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["host", "token", "is_tag", "pages", "total", "a", "b"])
 
         for batch in batches:
-            for h, pid, url, page in zip(*[batch.column(c).to_pylist() for c in ("host", "page_id", "url", "html")]):
-                tags, runs = scan(page or "")
-                weight = xxhash.xxh64_intdigest(f"{pid}\0{url}")
+            for h, page, tags, texts in zip(*[batch.column(c).to_pylist() for c in ("host", "page", "tags", "texts")]):
+                weight = xxhash.xxh64_intdigest(str(page))
                 counts: dict[tuple[int, bool], int] = {(0, True): 1}
                 for t in tags:
                     counts[t, True] = counts.get((t, True), 0) + 1
-                for t, _ in blocks(runs):
+                for t in texts:
                     counts[t, False] = counts.get((t, False), 0) + 1
                 for (t, is_tag), c in counts.items():
                     s = sums.setdefault((h, t, is_tag), [0, 0, 0, 0])
@@ -203,7 +220,7 @@ def occurrences(pages: DataFrame) -> DataFrame:
         if sums:
             yield out()
 
-    each = pages.select(host(F.col("url")).alias("host"), "page_id", "url", "html").mapInArrow(run, schema)
+    each = distinct_pages(pages).mapInArrow(run, schema)
     total = [F.sum(c).alias(c) for c in ("pages", "total")] + [(F.sum(c) % part).alias(c) for c in ("a", "b")]
     return each.groupBy("host", "token", "is_tag").agg(*total)
 
@@ -217,10 +234,10 @@ def templates(pages: DataFrame) -> DataFrame:
         F.collect_list(F.when(F.col("is_tag") & (F.col("token") != 0), F.col("token"))).alias("tags"),
         F.collect_list(F.when(~F.col("is_tag"), F.col("token"))).alias("texts"),
         F.max(F.col("token") == 0).alias("has_page"),
-    ).filter((F.col("pages") >= MIN_PAGES) & (F.size("tags") + F.size("texts") + F.col("has_page").cast("int") >= MIN_SIZE))
-    # rows of a host are its valid classes: few, whatever its number of pages
+    ).filter(F.col("has_page") | (F.size("tags") + F.size("texts") >= MIN_SIZE))
+    # rows of a host are its large classes and the one of the page itself: few, whatever its number of pages
     by_host = classes.groupBy("host").agg(of_host, F.collect_list(F.struct("pages", "tags", "texts")).alias("classes"))
-    frequent = F.filter("classes", lambda c: c["pages"] >= MIN_SHARE * F.coalesce(F.col("host_pages"), F.lit(0)))
+    frequent = F.filter("classes", lambda c: (c["pages"] >= MIN_PAGES) & (c["pages"] >= MIN_SHARE * F.col("host_pages")))
     return by_host.select("host", frequent.alias("classes")).select(
         "host", F.flatten(F.transform("classes", lambda c: c["tags"])).alias("tags"), F.flatten(F.transform("classes", lambda c: c["texts"])).alias("texts")
     )
@@ -235,6 +252,8 @@ def main_text(page: str, tags: frozenset[int], texts: frozenset[int]) -> str:
     _, runs = scan(page)
     kept = [(t, r) for t, rs in blocks(runs) for r in rs if not r.furniture]
     own = [r for t, r in kept if t not in texts]
+    if not any(r.text.strip() for r in own):
+        own = [r for _, r in kept]
     article = [r for _, r in kept if r.article]
     inside = [r for r in own if r.article]
     if 2 * length(inside) < length(article):

@@ -456,6 +456,21 @@ def test_template_texts_inside_the_article(spark):
     assert {r["text"] for r in html_template.extract(df).collect()} == {f"Head {i} One passage of many words Another one" for i in range(4)}
 
 
+def test_copies_and_null_pages_on_a_host(spark):
+    copy = page(0, "<div>Top</div><div><p>A text with words.</p><p>And another</p></div>")
+    rows = [copy] * 4 + [page(i, f"<div>Unlike {i}</div><p>Page {i}</p>") for i in (5, 6)]
+    # three of eleven pages share a passage, one page is null and one empty
+    rows += [page(10 + i, f"<div>{'<p>Passage one</p><p>Passage two</p>' if i < 3 else ''}<p>Long own words {i}</p></div>", "i.example") for i in range(11)]
+    rows += [(30, "http://i.example", None), (31, "http://i.example", "")]
+    # each page another, with the template's texts alone
+    rows += [page(40 + i, f"<!-- {i} --><div><p>All fixed</p></div>", "j.example") for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_template.extract(df).collect()}
+    assert got[0] == "Top A text with words. And another"
+    assert got[10] == "Passage one Passage two Long own words 0" and got[20] == "Long own words 10" and got[30] == got[31] == ""
+    assert got[40] == "All fixed"
+
+
 # --- language model ------------------------------------------------------------------
 
 
