@@ -58,13 +58,12 @@ CLOSES_P = frozenset(
 FURNITURE = frozenset(
     "head script style noscript template nav header footer aside form button select textarea iframe object svg canvas menu dialog title xmp noembed noframes datalist".split()
 )
-#: Page furniture by a word of class, id or role.
+#: Page furniture by a whole class, id or role.
 FURNITURE_WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header masthead menu modal nav navbar "
     "navigation newsletter notice notices pagination popup promo promoted promotion related share sharing sidebar sidebars signup skip social sponsor sponsored "
     "subscribe toolbar topbar widget complementary contentinfo search alert dialog reply replies".split()
 )
-_WORDS = re.compile(r"[a-z]+")
 
 
 def host(url: Column) -> Column:
@@ -88,15 +87,15 @@ def scan(page: str) -> tuple[list[int], list[Run]]:
     """The page's tag tokens in order, and its texts."""
     tags: list[int] = []
     runs: list[Run] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # name, path, furniture, article
+    stack: list[tuple[str, str, int, bool]] = []  # name, path, furniture (1 by a word, 2 by element), article
     paths: list[int] = []
     at, breaks, n = 0, True, len(page)
 
     def text(s: str) -> None:
         nonlocal breaks
         if s:
-            top = stack[-1] if stack else ("", "", False, False)
-            runs.append(Run(entities.unescape(s), breaks, tuple(paths), top[2], top[3]))
+            top = stack[-1] if stack else ("", "", 0, False)
+            runs.append(Run(entities.unescape(s), breaks, tuple(paths), top[2] > 0, top[3]))
             breaks = False
 
     def close(name: str) -> None:
@@ -136,12 +135,18 @@ def scan(page: str) -> tuple[list[int], list[Run]]:
                 if key == "class":
                     mark = value
                 if key in ("class", "id", "role"):
-                    words.update(_WORDS.findall(value))
+                    words.update(value.split())
                 elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
                     hidden = "1"
-        _, above, furniture, article = stack[-1] if stack else ("", "", False, False)
+        _, above, furniture, article = stack[-1] if stack else ("", "", 0, False)
         own = name in ("article", "main") or "main" in words and name not in FURNITURE
-        furniture = furniture or name in FURNITURE or bool(hidden) or (name not in ("html", "body", "main") and bool(words & FURNITURE_WORDS) and not (name == "article" and not words & {"comment", "comments", "reply", "replies", "ad", "ads", "promo", "sponsored"}))
+        # a word on a wrapper does not reach the article below it; an article within an article is a comment or the like
+        if own and furniture == 1 and not any(s[0] == "article" for s in stack):
+            furniture = 0
+        if name in FURNITURE or hidden:
+            furniture = 2
+        elif not furniture and name not in ("html", "body", "main") and words & FURNITURE_WORDS:
+            furniture = int(name != "article" or bool(words & {"comment", "comments", "reply", "replies", "ad", "ads", "promo", "sponsored"}))
         path = f"{above}/{name}.{mark}" if mark else f"{above}/{name}"
         stack.append((name, path, furniture, article or own and not furniture))
         tags.append(token("tag", path))

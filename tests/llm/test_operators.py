@@ -471,6 +471,15 @@ def test_copies_and_null_pages_on_a_host(spark):
     assert got[40] == "All fixed"
 
 
+def test_words_of_class_and_id():
+    text = lambda body: html_template.main_text(f"<body>{body}</body>", frozenset(), frozenset())
+    for wrapper in ("layout with-sidebar", "no-sidebar", "has-comments", "search-page", "social-science", "sidebar", "page search"):
+        assert text(f"<div class='{wrapper}'><article><p>One</p><section id='related-work'>Two</section><p class='notice-of-intent'>Three</article></div>") == "One Two Three"
+    assert text("<main><div id=search><article>One</article></div></main>") == "One"
+    assert text("<article>One<div class='x ad'>Ad</div><section class='comments'><article>C</article></section></article>") == "One"
+    assert text("<div hidden><article>No</article></div><aside><article>No</article></aside><article class='comment'>No</article><article>One</article>") == "One"
+
+
 # --- language model ------------------------------------------------------------------
 
 
