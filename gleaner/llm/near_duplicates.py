@@ -1,19 +1,20 @@
 """Near-duplicate classes by DartMinHash signatures (operator 3).
 
 A text's elements are its distinct five-word shingles (lower-cased A-Z; a shorter text is
-one shingle of all its words), weighted 1 + floor(log2(count)). Hashed darts fall on the
-plane of an element's weight and time with density one; a text keeps, for each of ``DARTS``
-coordinates, the earliest dart below its weights, so two texts agree at a coordinate with
-the probability of their weighted similarity. Darts are thrown in unit cells of time until
-every coordinate has one: about k ln k darts whatever the text's length. ``BANDS`` bands of
-``ROWS`` coordinates are joined.
+one shingle of all its words), each of weight one however often it occurs: the similarity
+that decides does not count repeats either. Hashed darts fall on the plane of an element's
+weight and time with density one; a text keeps, for each of ``DARTS`` coordinates, the
+earliest dart on its elements, so two texts agree at a coordinate with the probability of
+their Jaccard similarity. Darts are thrown in unit cells of time until every coordinate has
+one: about k ln k darts whatever the text's length. ``BANDS`` bands of ``ROWS`` coordinates
+are joined: a pair at ``SIMILARITY`` shares no bucket with a probability of 1 in 9,000.
 
 Equal texts are one node from the start. In a band's bucket every node is compared with the
 bucket's leader, the node that shares most buckets with others (a group's centre); then, in
 buckets whose nodes are still in different classes, with a drawn leader of each bucket, in
 ``LEADER_ROUNDS`` rounds; what is left in different classes is compared with each other.
-So a large group gives a few comparisons for each member, not all pairs, and no candidate
-is left out unless its two texts are already in one class or cannot be similar: each text has
+So a large group gives a few comparisons for each member, not all pairs, and no pair that
+shares a bucket is left out unless its two texts are already in one class or cannot be similar: each text has
 a sketch of ``PARITY`` bits, a shingle flipping one of them, so two sketches differ in at most
 as many bits as the texts have shingles that are not shared, and a pair whose sketches differ
 in more than the threshold admits goes before it becomes a row. Comparison is exact: Jaccard
@@ -78,12 +79,8 @@ def signatures(t: Texts, found: tuple[np.ndarray, np.ndarray, np.ndarray] | None
 
     ``found``: the texts' shingles, where they are known already."""
     n = len(t)
-    who, h, count = shingles(t) if found is None else found
-    weight = 1 + np.floor(np.log2(np.maximum(count, 1))).astype(np.int64)
-    # one unit cell for each unit of an element's weight
-    level = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
-    who = np.repeat(who, weight)
-    cell = hashed(np.repeat(h, weight) + level.astype(np.uint64) * np.uint64(0xA0761D6478BD642F), 3)
+    who, h, _ = shingles(t) if found is None else found
+    cell = hashed(h, 3)
     total = np.bincount(who, minlength=n)
     out = np.full(n * DARTS, _EMPTY, np.uint64)
     since = np.zeros(n, np.int64)

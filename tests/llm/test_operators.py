@@ -224,6 +224,14 @@ def test_signature_agreement_is_the_similarity():
     assert (s[0] == s[2]).sum() == 0
 
 
+def test_pasted_texts_are_one_class(spark):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(6)]
+    rows = [(10 * i + k, " ".join([t] * k)) for i, t in enumerate(texts) for k in (1, 2, 4, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near_duplicates.digest(df).collect()} == {i: i // 10 * 10 + 1 for i, _ in rows}
+
+
 def test_near_duplicates_odd_cases(odd, empty):
     got = collections.Counter((r["doc_id"], r["class_id"]) for r in near_duplicates.digest(odd).collect())
     assert got[(1, 1)] == 3 and got[(4, 4)] == 1 and got[(5, 4)] == 1 and got[(None, 4)] == 1
