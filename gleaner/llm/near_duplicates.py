@@ -275,9 +275,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         comp = components(links)
     # what is left is compared in full: nodes of one bucket that are in different classes
     left = cut(unsettled(members, comp).join(sig.select("node", "buckets", "sketch", "n"), "node"))
-    x, y = (left.select("bucket", F.col("node").alias(k), F.col("comp").alias("c" + k), F.col("buckets").alias("l" + k), F.col("sketch").alias("k" + k), F.col("n").alias("n" + k)) for k in "ab")
-    once = F.array_min(F.array_intersect("la", "lb")) == F.col("bucket")  # a pair comes from the least bucket it shares
-    more = cut(x.join(y, "bucket").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_match() & once).select("a", "b"))
+    more = cut(open_pairs(left).select("a", "b"))
     if not more.isEmpty():
         found = similar(more, docs)
         if not found.isEmpty():
@@ -286,6 +284,25 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 LEADER_ROUNDS = 1
+#: Open texts of a bucket in a block of the last comparison: a task's tests of one key are its square at most, about.
+BLOCK = 256
+
+
+def open_pairs(left: DataFrame, size: int = BLOCK) -> DataFrame:
+    """The pairs (a, b) of different classes in a bucket that the sketches admit, each from the least bucket it shares.
+
+    A bucket's nodes are dealt to blocks of about ``size`` by hash, and block meets block under a
+    key of its own, so no bucket's pairs are tested in one task.
+    """
+    many = left.groupBy("bucket").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    dealt = left.join(many, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    row = F.struct("node", "comp", "buckets", "sketch", "n")
+    x = dealt.select("bucket", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), row.alias("x"))
+    y = dealt.select("bucket", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), row.alias("y"))
+    x, y = (d.select("bucket", "i", "j", *[F.col(f"{c}.{f}").alias(k + n) for f, k in (("node", ""), ("comp", "c"), ("buckets", "l"), ("sketch", "k"), ("n", "n"))]) for d, c, n in ((x, "x", "a"), (y, "y", "b")))
+    once = F.array_min(F.array_intersect("la", "lb")) == F.col("bucket")
+    found = x.join(y, ["bucket", "i", "j"]).filter(((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))) & (F.col("ca") != F.col("cb")) & may_match() & once)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bucket", "i", "j")
 
 
 def unsettled(members: DataFrame, comp: DataFrame) -> DataFrame:

@@ -589,3 +589,13 @@ def test_parity_sketch_never_rules_out_a_similar_pair(spark):
     passed = {(r["a"], r["b"]) for r in df.filter(near_duplicates.may_match()).collect()}
     similar = {(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     assert similar and similar <= passed and len(passed) < len(rows) / 2
+
+
+def test_open_pairs_of_a_bucket_are_spread(spark):
+    rows = [(bytes([i]), bytes([i % 20]), b, [1, 2], [0] * (near_duplicates.PARITY // 64), 9) for i in range(40) for b in (1, 2)]
+    left = spark.createDataFrame(rows, "node binary, comp binary, bucket long, buckets array<long>, sketch array<long>, n long")
+    got = near_duplicates.open_pairs(left, 8).collect()
+    assert sorted((r["a"][0], r["b"][0]) for r in got) == [(i, j) for i in range(40) for j in range(i + 1, 40) if i % 20 != j % 20]
+    assert {r["bucket"] for r in got} == {1}
+    keys = collections.Counter((r["i"], r["j"]) for r in got)
+    assert len(keys) > 5 and max(keys.values()) < len(got) / 4
