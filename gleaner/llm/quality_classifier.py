@@ -6,8 +6,7 @@ chunks go through a small dense layer to one probability. A filter is a table of
 by byte and place, so a convolution is table look-ups.
 
 Training takes at most ``SAMPLE_ROWS`` labelled documents (a documented bound, none with a
-held-out id), up to ``TRAIN_CHUNKS`` chunks of each, spread evenly over its whole text.
-Scoring always reads every byte.
+held-out id), whole: it pools all chunks of a text as scoring does, which reads every byte.
 
 Defined cases: a null or empty text, or one shorter than a filter, has all features 0 and
 gets the network's answer to that; repeated rows score alike; without training rows the
@@ -28,10 +27,10 @@ from gleaner.llm.common import in_one_task, label_sample, map_columns, text_id
 from gleaner.llm.textarrays import Texts, slices
 
 SAMPLE_ROWS = 3000
-TRAIN_CHUNKS = 6
 EPOCHS = 8
 FILTERS, WIDTH, HIDDEN = 12, 6, 16
 CHUNK, STRIDE = 512, 448
+TRAIN_BATCH = 512  # chunks convolved at once in training
 HELD_OUT_OF = 5
 THRESHOLD = 0.3
 
@@ -101,9 +100,8 @@ def train(sample: pa.Table) -> bytes:
         start, end, text = chunks(t.offsets)
         first = np.searchsorted(text, np.arange(len(t) + 1))
         for a, b in zip(first[:-1], first[1:]):
-            some = np.unique(np.linspace(a, b - 1, min(b - a, TRAIN_CHUNKS)).round().astype(int))
-            rows = np.full((len(some), CHUNK), 256, np.int64)
-            for r, c in enumerate(some):
+            rows = np.full((b - a, CHUNK), 256, np.int16)
+            for r, c in enumerate(range(a, b)):
                 rows[r, : end[c] - start[c]] = t.data[start[c] : end[c]]
             taken.append(rows)
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in m.items()}
@@ -128,11 +126,15 @@ def gradients(m: dict[str, np.ndarray], x: np.ndarray, text: np.ndarray, y: np.n
     """Of the mean log loss; through a max-pool only the largest place has a gradient."""
     n, places = len(y), CHUNK - WIDTH + 1
     conv = np.concatenate([m["conv"], np.full((WIDTH, 1, FILTERS), -1e4, np.float32)], axis=1)
-    z = conv[0][x[:, :places]]
-    for k in range(1, WIDTH):
-        z += conv[k][x[:, k : k + places]]
-    at = z.argmax(axis=1)
-    pool = np.maximum(0, np.take_along_axis(z, at[:, None, :], axis=1)[:, 0])
+    at = np.empty((len(x), FILTERS), np.int64)
+    pool = np.empty((len(x), FILTERS), np.float32)
+    for a in range(0, len(x), TRAIN_BATCH):
+        part = x[a : a + TRAIN_BATCH]
+        z = conv[0][part[:, :places]]
+        for k in range(1, WIDTH):
+            z += conv[k][part[:, k : k + places]]
+        at[a : a + TRAIN_BATCH] = z.argmax(axis=1)
+        pool[a : a + TRAIN_BATCH] = np.maximum(0, z.max(axis=1))
     first = np.searchsorted(text, np.arange(n))
     count = np.bincount(text, minlength=n)[:, None].astype(np.float32)
     top = np.maximum.reduceat(pool, first, axis=0)

@@ -161,6 +161,17 @@ def test_convolution_covers_every_byte():
     assert not pool[text == 1].any() and not pool[text == 2].any()
 
 
+def test_training_reads_every_chunk():
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(448 * 40))
+    models = set()
+    for middle in ("", "ZQ" * 150):
+        at = 448 * 4 + 100
+        sample = [(1, text[:at] + middle + text[at + len(middle) :], 1), (2, text, 0), (3, "short text", 0)]
+        models.add(quality_classifier.train(pa.table({"doc_id": [r[0] for r in sample], "text": [r[1] for r in sample], "y": [r[2] for r in sample]})))
+    assert len(models) == 2
+
+
 # --- near-duplicates -----------------------------------------------------------------
 
 
