@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import fingerprints, html_template, licenses, lm_scoring, mixing, near_duplicates, packing, quality_classifier, quality_rules, toxicity
+from gleaner.llm import centroid_clusters, decontamination, fingerprints, html_template, licenses, lm_scoring, mixing
+from gleaner.llm import near_duplicates, packing, periodic_runs, quality_classifier, quality_rules, toxicity
 from gleaner.llm.common import table
 
 
@@ -50,6 +51,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_lm_scoring,
@@ -62,7 +75,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_licenses,
         op9_html_template,
         op10_quality_rules,
+        op11_decontamination,
+        op12_periodic_runs,
+        op13_centroid_clusters,
     )
 
 }
-ORACLES: dict[str, str] = {"op8_licenses": licenses.ORACLE, "op10_quality_rules": quality_rules.ORACLE}
+ORACLES: dict[str, str] = {
+    "op8_licenses": licenses.ORACLE,
+    "op10_quality_rules": quality_rules.ORACLE,
+    "op11_decontamination": decontamination.ORACLE,
+    "op12_periodic_runs": periodic_runs.ORACLE,
+    "op13_centroid_clusters": centroid_clusters.ORACLE,
+}
