@@ -8,6 +8,8 @@ object) can be checked exactly as the reference does, without Python per row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,7 +75,7 @@ def all_presets(user: DataFrame, system: DataFrame, status: DataFrame | None = N
     enabled). ``origin_rank`` 0 = user, 1 = system."""
     sysp = system
     if status is not None:
-        sysp = system.join(F.broadcast(status.select("id", "enabled")), "id", "left").filter(
+        sysp = system.join(status.select("id", "enabled"), "id", "left").filter(
             F.coalesce(F.col("enabled"), F.lit(True))
         ).drop("enabled")
     return user.withColumn("origin_rank", F.lit(0)).unionByName(sysp.withColumn("origin_rank", F.lit(1)))
@@ -153,6 +155,101 @@ def _valid_item(item: Column) -> Column:
     )
 
 
+# What an import reports; {} is the number that it names.
+ERRORS = {
+    "json": "Invalid JSON file.",
+    "object": "Invalid preset file: expected an object.",
+    "no version": 'Invalid preset file: missing "version" field.',
+    "version": "Unsupported preset file version. Expected version between 1 and {}.",
+    "no presets": 'Invalid preset file: missing "presets" field.',
+    "presets": 'Invalid preset file: "presets" must be an array.',
+    "no migration": "Unsupported preset file version: migration to v{} not defined.",
+    "migration": "Failed to migrate presets: version {}",
+    "item": "Invalid preset at index {}: missing or invalid fields (id, name, config.mainSelector, config.columns, createdAt).",
+}
+_ITEM = "struct<item_index: int, id: string, name: string, config: struct<main_selector: string, columns: array<struct<name: string, selector: string, key: string>>>, created_at: bigint>"
+
+#: A migration rewrites a file's items (array of VARIANT) from the version before; null: it could not.
+Migration = Callable[[Column], Column]
+
+
+def with_field(item: Column, name: str, value: Column) -> Column:
+    """For migrations: a VARIANT object with one field set (``value`` is a VARIANT); null for other items."""
+    fields = F.try_variant_get(item, "$", "map<string,variant>")
+    rest = F.map_filter(fields, lambda k, _: k != name)
+    return F.to_variant_object(F.map_concat(rest, F.create_map(F.lit(name), value)))
+
+
+def whole_json(raw: Column) -> Column:
+    """``raw`` as a VARIANT; null unless all of it is one JSON value. ``try_parse_json`` stops after the
+    first value; a text that is one inside an array and inside an object has nothing after it."""
+    alone = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))), "$", "array<variant>")
+    inside = F.try_parse_json(F.concat(F.lit('{"v":'), raw, F.lit("}")))
+    return F.when((F.size(alone) == 1) & inside.isNotNull(), F.get(alone, 0))
+
+
+def _message(name: str, number: Column) -> Column:
+    before, after = ERRORS[name].split("{}")
+    return F.concat(F.lit(before), number.cast("string"), F.lit(after))
+
+
+def _plain_number(x: Column) -> Column:
+    return F.when(x == F.floor(x), x.cast("long").cast("string")).otherwise(x.cast("string"))
+
+
+def validate_import(files: DataFrame, file_col: str = "file", raw_col: str = "raw", current: int = CURRENT_VERSION, migrations: dict[int, Migration] | None = None) -> DataFrame:
+    """T9 + T10 in one pass, without a shuffle: a row per file with error (null: none), imported, skipped_system and the
+    importable ``presets`` in file order.
+
+    A file of an older version goes through the migrations after it, one rewrite of its items each, folded
+    into the expression that validates them. The first bad item fails its file.
+    """
+    migrations = MIGRATIONS if migrations is None else migrations
+    v = F.col("v")
+    ver, pres = _vget(v, "$.version"), _vget(v, "$.presets")
+    number = F.try_variant_get(v, "$.version", "double")
+    like_object = F.coalesce(_vtype(v).startswith("OBJECT") | _vtype(v).startswith("ARRAY"), F.lit(False))
+    missing = [t for t in range(2, current + 1) if t not in migrations]
+    step = F.array_min(F.filter(F.array(*[F.lit(float(t)) for t in missing]).cast("array<double>"), lambda t: t > number))
+    between = (number != F.floor(number)) & (number + 1 <= current)  # no step leads from there
+    head = (
+        F.when(v.isNull(), ERRORS["json"])
+        .when(~like_object, ERRORS["object"])
+        .when(ver.isNull(), ERRORS["no version"])
+        .when(~_is_number(ver) | (number < 1) | (number > current), ERRORS["version"].format(current))
+        .when(pres.isNull(), ERRORS["no presets"])
+        .when(~_is_array(pres), ERRORS["presets"])
+        .when(between, _message("no migration", _plain_number(number + 1)))
+        .when((number == F.floor(number)) & step.isNotNull(), _message("no migration", _plain_number(step)))
+    )
+    f = files.select(F.col(file_col).alias("file"), whole_json(F.col(raw_col)).alias("v"))
+    f = f.select("file", head.alias("head"), F.try_variant_get(v, "$.presets", "array<variant>").alias("items"), number.alias("version"), F.lit(None).cast("string").alias("failed"))
+    for target in sorted(t for t in migrations if 2 <= t <= current):
+        due = F.col("head").isNull() & F.col("failed").isNull() & (F.col("version") < target)
+        moved = migrations[target](F.col("items"))
+        f = f.withColumn("next", F.when(due, moved)).select(
+            "file", "head", "version",
+            F.when(due, F.col("next")).otherwise(F.col("items")).alias("items"),
+            F.when(due & F.col("next").isNull(), _message("migration", F.lit(target))).otherwise(F.col("failed")).alias("failed"),
+        )
+    text = lambda item, path: F.try_variant_get(item, path, "string")
+    f = f.withColumn("ok", F.transform("items", lambda i: F.coalesce(_valid_item(i), F.lit(False))))
+    bad = F.array_position("ok", False)
+    error = F.coalesce("head", "failed", F.when(bad > 0, _message("item", bad - 1)))
+    preset = lambda i, at: F.struct(
+        at.cast("int").alias("item_index"), text(i, "$.id").alias("id"), text(i, "$.name").alias("name"),
+        F.struct(text(i, "$.config.mainSelector").alias("main_selector"), F.try_variant_get(i, "$.config.columns", "array<struct<name: string, selector: string, key: string>>").alias("columns")).alias("config"),
+        F.try_variant_get(i, "$.createdAt", "double").cast("long").alias("created_at"),
+    )
+    f = f.select("file", error.alias("error"), F.size("items").alias("n"), F.transform("items", preset).alias("all"))
+    own = F.when(F.col("error").isNull(), F.filter("all", lambda p: ~is_system(p["id"]))).otherwise(F.array().cast(f"array<{_ITEM}>"))
+    f = f.withColumn("presets", own)
+    return f.select(
+        "file", "error", F.size("presets").cast("long").alias("imported"),
+        F.when(F.col("error").isNull(), F.col("n") - F.size("presets")).otherwise(0).cast("long").alias("skipped_system"), "presets",
+    )
+
+
 def validate_presets(files: DataFrame, file_col: str = "file", raw_col: str = "raw") -> tuple[DataFrame, DataFrame]:
     """T9 per file. Returns ``(report, valid)``:
 
@@ -161,59 +258,8 @@ def validate_presets(files: DataFrame, file_col: str = "file", raw_col: str = "r
     * ``valid``: the importable presets (system ids removed) of error-free files, as
       ``(file, item_index, id, name, config, created_at)``.
     """
-    v = F.try_parse_json(F.col(raw_col))
-    f = files.select(F.col(file_col).alias("file"), v.alias("v"))
-    ver = _vget(F.col("v"), "$.version")
-    pres = _vget(F.col("v"), "$.presets")
-    verd = F.try_variant_get(F.col("v"), "$.version", "double")
-    is_obj_like = F.coalesce(_vtype(F.col("v")).startswith("OBJECT") | _vtype(F.col("v")).startswith("ARRAY"), F.lit(False))
-    head_err = (
-        F.when(F.col("v").isNull(), F.lit("Invalid JSON file."))
-        .when(~is_obj_like, F.lit("Invalid preset file: expected an object."))
-        .when(ver.isNull(), F.lit('Invalid preset file: missing "version" field.'))
-        .when(~_is_number(ver) | (verd < 1) | (verd > CURRENT_VERSION),
-              F.lit(f"Unsupported preset file version. Expected version between 1 and {CURRENT_VERSION}."))
-        .when(pres.isNull(), F.lit('Invalid preset file: missing "presets" field.'))
-        .when(~_is_array(pres), F.lit('Invalid preset file: "presets" must be an array.'))
-    )
-    f = f.withColumn("head_error", head_err)
-    items = f.filter(F.col("head_error").isNull()).select(
-        "file", F.posexplode(F.try_variant_get(F.col("v"), "$.presets", "array<variant>")).alias("item_index", "item")
-    ).withColumn("ok", _valid_item(F.col("item"))).withColumn(
-        "is_sys", is_system(F.try_variant_get(F.col("item"), "$.id", "string"))
-    )
-    per_file = items.groupBy("file").agg(
-        F.min(F.when(~F.col("ok"), F.col("item_index"))).alias("bad"),
-        F.count_if(F.col("ok") & F.col("is_sys")).alias("skipped"),
-        F.count_if(F.col("ok") & ~F.col("is_sys")).alias("good"),
-    )
-    report = f.join(per_file, "file", "left").select(
-        "file",
-        F.coalesce(
-            F.col("head_error"),
-            F.when(F.col("bad").isNotNull(), F.concat(
-                F.lit("Invalid preset at index "), F.col("bad").cast("string"),
-                F.lit(": missing or invalid fields (id, name, config.mainSelector, config.columns, createdAt)."),
-            )),
-        ).alias("error"),
-    ).join(per_file.select("file", "good", "skipped"), "file", "left").select(
-        "file", "error",
-        F.when(F.col("error").isNull(), F.coalesce(F.col("good"), F.lit(0))).otherwise(F.lit(0)).cast("long").alias("imported"),
-        F.when(F.col("error").isNull(), F.coalesce(F.col("skipped"), F.lit(0))).otherwise(F.lit(0)).cast("long").alias("skipped_system"),
-    )
-    good_files = report.filter(F.col("error").isNull()).select("file")
-    item = F.col("item")
-    valid = items.join(good_files, "file", "left_semi").filter(F.col("ok") & ~F.col("is_sys")).select(
-        "file", F.col("item_index").cast("int"),
-        F.try_variant_get(item, "$.id", "string").alias("id"),
-        F.try_variant_get(item, "$.name", "string").alias("name"),
-        F.struct(
-            F.try_variant_get(item, "$.config.mainSelector", "string").alias("main_selector"),
-            F.try_variant_get(item, "$.config.columns", "array<struct<name: string, selector: string, key: string>>").alias("columns"),
-        ).alias("config"),
-        F.try_variant_get(item, "$.createdAt", "double").cast("long").alias("created_at"),
-    )
-    return report, valid
+    f = validate_import(files, file_col, raw_col)
+    return f.drop("presets"), f.select("file", F.inline("presets"))
 
 
 def read_preset_files(spark: SparkSession, path: str) -> DataFrame:

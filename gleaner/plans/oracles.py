@@ -7,6 +7,8 @@ what the round-trip and inline-HTML tests back up for other shapes.
 
 from __future__ import annotations
 
+from gleaner.plans.presets import SYSTEM_PRESETS
+
 
 def dec(x: str) -> str:
     """SQL that decodes the HTML entities present in the supplied pages (``&amp;`` last)."""
@@ -373,3 +375,110 @@ SELECT page_id, 'h1' AS tag, '/html/body/article/h1' AS xpath,
        {dec("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS text
 FROM pages WHERE html LIKE '%<h1>%'""",
 })
+
+
+# ---- committed versions, stored results, changelog state, consent --------------------------
+_SCRAPES = """
+s AS MATERIALIZED (SELECT user_id AS tab_id, event_id AS seq, event_type, CAST(json_extract(props, '$.k') AS INTEGER) AS k, event_type = 'error' AS closed,
+  CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 1 WHEN ts < TIMESTAMP '2024-01-21' THEN 2 ELSE 3 END AS slice FROM events)
+"""
+ORACLES["results_feed"] = f"""
+WITH {_SCRAPES},
+v AS (SELECT n AS version, tab_id, max(seq) AS seq FROM s, range(1, 4) t(n) WHERE slice <= n GROUP BY ALL),
+x AS (SELECT v.*, k % 3 AS n_rows FROM v JOIN s USING (tab_id, seq))
+SELECT coalesce(a.version, b.version + 1)::INTEGER AS version, coalesce(a.tab_id, b.tab_id) AS tab_id,
+  CASE WHEN b.tab_id IS NULL THEN 'insert' WHEN a.tab_id IS NULL THEN 'delete' ELSE 'update' END AS change,
+  b.seq AS before_seq, a.seq AS after_seq, b.n_rows::INTEGER AS before_rows, a.n_rows::INTEGER AS after_rows
+FROM x a FULL JOIN (SELECT * FROM x WHERE version < 3) b ON a.tab_id = b.tab_id AND a.version = b.version + 1
+WHERE a.seq IS DISTINCT FROM b.seq
+"""
+ORACLES["stored_results"] = f"""
+WITH {_SCRAPES},
+l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY tab_id ORDER BY seq DESC) = 1),
+j AS (SELECT l.*, c_custkey, c_name FROM l JOIN customer ON c_custkey = tab_id WHERE c_mktsegment = 'BUILDING' AND NOT closed AND k % 3 > 0)
+SELECT tab_id, CASE WHEN c_custkey % 3 = 2 THEN 'https://t/' || c_custkey ELSE 'Unknown URL' END AS tab_url, c_name AS tab_title,
+  CASE WHEN event_type = 'signup' THEN '' ELSE '//' || event_type END AS main_selector, CASE WHEN event_type = 'signup' THEN 'Text' ELSE 'Type,K' END AS columns,
+  unnest(range(k % 3))::INTEGER AS original_index, event_type || ',' || k AS cells FROM j
+"""
+ORACLES["session_changelog"] = """
+WITH e AS (SELECT user_id AS tab_id, event_id AS seq, ts, event_type, props, CAST(json_extract(props, '$.k') AS INTEGER) AS k, event_id % 50 = 7 AS withheld FROM events),
+m AS (SELECT max(ts) - INTERVAL 7 DAY AS mark FROM e WHERE NOT withheld),
+u AS MATERIALIZED (SELECT e.* FROM e, m WHERE NOT withheld OR ts >= mark),
+f AS (SELECT tab_id, seq, '__removed__' AS field, NULL AS value_json FROM u WHERE event_type = 'error'
+  UNION ALL SELECT tab_id, seq, event_type, props FROM u WHERE event_type NOT IN ('error', 'signup')
+  UNION ALL SELECT tab_id, seq, 'currentScrapeConfig.mainSelector', '"//a[' || k || ']"' FROM u WHERE event_type = 'signup'
+  UNION ALL SELECT tab_id, seq, 'currentScrapeConfig.columns', '[' || k || ']' FROM u WHERE event_type = 'signup' AND k % 2 = 0),
+r AS (SELECT tab_id, max(seq) AS gone FROM f WHERE field = '__removed__' GROUP BY tab_id)
+SELECT f.tab_id, field, value_json, seq FROM f LEFT JOIN r USING (tab_id) WHERE field <> '__removed__' AND (gone IS NULL OR seq > gone)
+QUALIFY row_number() OVER (PARTITION BY f.tab_id, field ORDER BY seq DESC) = 1
+"""
+ORACLES["consent_flow"] = """
+WITH a AS (SELECT *, event_id % 3 = 0 AND event_type IN ('signup', 'error') OR event_id % 4 = 0 AND event_type = 'purchase' AS is_consent FROM events),
+c AS MATERIALIZED (SELECT user_id, event_id AS id, ts, CASE event_type WHEN 'signup' THEN true WHEN 'error' THEN false END AS consent FROM a WHERE is_consent),
+e AS MATERIALIZED (SELECT user_id, event_id, ts FROM a WHERE NOT is_consent),
+s AS (SELECT e.event_id, max(struct_pack(ts := c.ts, id := c.id, consent := c.consent)) AS last
+  FROM e LEFT JOIN c ON c.user_id = e.user_id AND c.ts <= e.ts GROUP BY e.event_id),
+n AS (SELECT e.event_id, min(struct_pack(ts := c.ts, id := c.id, consent := c.consent)) AS next FROM e JOIN c ON c.user_id = e.user_id AND c.ts > e.ts AND c.consent IS NOT NULL GROUP BY e.event_id),
+j AS (SELECT e.*, last.consent AS state, next.ts AS next_ts, next.consent AS next_consent, (SELECT max(ts) FROM events) AS upto FROM e LEFT JOIN s USING (event_id) LEFT JOIN n USING (event_id)),
+q AS (SELECT *, CASE WHEN state IS NULL THEN row_number() OVER (PARTITION BY user_id, state IS NULL, next_ts ORDER BY ts DESC, event_id DESC) END AS place FROM j)
+SELECT event_id, user_id,
+  CASE WHEN state THEN 'deliver' WHEN NOT state THEN 'drop' WHEN place > 3 OR coalesce(next_ts, upto) - ts > INTERVAL 2 DAY THEN 'evicted'
+    WHEN next_consent IS NULL THEN 'queue' WHEN next_consent THEN 'flush' ELSE 'clear' END AS route,
+  route = 'flush' AS buffered, CASE WHEN route IN ('flush', 'clear') THEN next_ts END AS decided_at FROM q
+"""
+
+
+# ---- inference over all groups, far pages, numbers, the preset library ----------------------
+ORACLES["page_groups"] = """
+WITH x AS (SELECT page_id, len(regexp_extract_all(html, '<li>')) AS lis, len(regexp_extract_all(html, '<p>')) AS ps FROM pages),
+g AS (SELECT page_id, '/html/body/nav/ul/li' AS sel, 'li' AS tag, lis AS n FROM x UNION ALL SELECT page_id, '/html/body/article/p', 'p', ps FROM x)
+SELECT page_id, sel || '[1]' AS path, tag, n::INTEGER AS n, tag AS guess_tag, sel AS main_selector, n::BIGINT AS matches FROM g WHERE n > 1
+"""
+ORACLES["part_page_groups"] = """
+WITH p AS (SELECT p_partkey // 50 AS page_id, count(*) AS n FROM part GROUP BY 1),
+r AS (SELECT page_id, n, unnest(range(1, n + 1)) AS row FROM p)
+SELECT page_id, '/html/body/table/thead/tr/th[1]' AS path, 'th' AS tag, 5::INTEGER AS n, 'th' AS guess_tag, '/html/body/table/thead/tr/th' AS main_selector, 5::BIGINT AS matches FROM p
+UNION ALL SELECT page_id, '/html/body/table/tbody/tr[1]', 'tr', n::INTEGER, 'tr', '/html/body/table/tbody/tr', n FROM p WHERE n > 1
+UNION ALL SELECT page_id, '/html/body/table/tbody/tr' || CASE WHEN n > 1 THEN '[' || row || ']' ELSE '' END || '/td[1]', 'td', 5, CASE WHEN n > 1 THEN 'tr' ELSE 'td' END,
+  '/html/body/table/tbody/tr' || CASE WHEN n > 1 THEN '' ELSE '/td' END, CASE WHEN n > 1 THEN n ELSE 5 END FROM r
+"""
+ORACLES["link_candidates"] = """
+WITH x AS (SELECT page_id, len(regexp_extract_all(html, '<li>')) AS n FROM pages), l AS (SELECT page_id, n, unnest(range(1, n + 1)) AS link FROM x),
+c AS (SELECT page_id, n, link, unnest(['/html/body/nav/ul/li/a', '/html/body/nav/ul/li', '/html/body/nav/ul', '/html/body/nav']) AS xpath, unnest(range(4)) AS level FROM l)
+SELECT page_id, link::INTEGER AS link, 0::INTEGER AS default_index, level::INTEGER AS level, xpath, (CASE WHEN level < 2 THEN n ELSE 1 END)::BIGINT AS matches FROM c
+"""
+ORACLES["orders_far_pages"] = """
+WITH r AS (SELECT *, row_number() OVER (ORDER BY lower(o_orderpriority), o_totalprice DESC, o_orderkey) AS display_index, count(*) OVER () AS n FROM orders),
+p AS (SELECT unnest([0, 49, 300, 10000000]) AS page)
+SELECT page::INTEGER AS page, display_index, o_orderkey, o_orderpriority, o_totalprice, o_orderstatus FROM r, p
+WHERE (display_index - 1) // 20 = least(page, (n - 1) // 20)
+"""
+ORACLES["events_numbered"] = "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS queue_pos FROM events"
+# The system presets' ids and names, in their order.
+_SYSTEM_NAMES = [(pid, name) for pid, (name, _) in SYSTEM_PRESETS.items()]
+_LIBRARY = """
+l AS (SELECT 'u' || p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'new ' || p_name ELSE p_name END AS name, p_partkey AS seq, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 2 END AS added,
+  '//p[' || p_partkey || ']' AS main_selector FROM part WHERE (p_partkey % 2 = 0 OR p_partkey % 3 = 0) AND p_partkey % 5 <> 0)
+"""
+ORACLES["preset_library"] = f"""
+WITH {_LIBRARY},
+s AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{p}', '{n}')" for i, (p, n) in enumerate(_SYSTEM_NAMES))}) t(seq, id, name) WHERE id NOT IN ('sys-images', 'sys-forms'))
+SELECT 0::INTEGER AS origin_rank, added::BIGINT AS added, seq::BIGINT AS seq, id, name, main_selector FROM l
+UNION ALL SELECT 1, 0, seq, id, name, NULL FROM s
+"""
+ORACLES["preset_search"] = f"""
+WITH {_LIBRARY},
+u AS (SELECT '//p[' || user_id || ']' AS selector, max(ts) AS last_used FROM events WHERE user_id < 40 GROUP BY 1),
+r AS (SELECT selector, row_number() OVER (ORDER BY last_used DESC, selector) AS rank FROM u)
+SELECT 'recent' AS kind, selector AS label, selector, rank::BIGINT AS rank FROM r WHERE rank <= 30 AND contains(selector, '2]') AND selector NOT IN (SELECT main_selector FROM l)
+UNION ALL SELECT 'preset', name, main_selector, seq FROM l WHERE contains(lower(name), '2]') OR contains(main_selector, '2]')
+"""
+ORACLES["preset_imports"] = """
+SELECT p_partkey AS file,
+  [NULL, NULL, 'Invalid preset at index 1: missing or invalid fields (id, name, config.mainSelector, config.columns, createdAt).',
+   'Unsupported preset file version. Expected version between 1 and 1.', 'Unsupported preset file version. Expected version between 1 and 1.',
+   'Invalid preset file: missing "version" field.', 'Invalid preset file: missing "presets" field.', 'Invalid preset file: "presets" must be an array.',
+   'Invalid JSON file.', 'Invalid preset file: expected an object.'][p_partkey % 10 + 1] AS error,
+  (p_partkey % 10 < 2)::BIGINT AS imported, (p_partkey % 10 = 1)::BIGINT AS skipped_system, CASE WHEN p_partkey % 10 < 2 THEN p_partkey::VARCHAR ELSE '' END AS ids
+FROM part
+"""

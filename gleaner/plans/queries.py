@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators import extract as X
@@ -384,3 +384,231 @@ QUERIES.update({
     "title_display": title_display,
     "heading_details": heading_details,
 })
+
+
+# ---- committed versions, stored results, changelog state, consent (S8, S9, J1, K7, X1, X5, E1-E6) --------
+import datetime as dt  # noqa: E402
+import uuid  # noqa: E402
+
+from gleaner.session import ensure_checkpoint_dir  # noqa: E402
+from gleaner.sources import results as RS  # noqa: E402
+from gleaner.sources import versions as VT  # noqa: E402
+from gleaner.streaming import changelog as CL  # noqa: E402
+from gleaner.streaming import consent as CO  # noqa: E402
+
+#: Event times at which the stored versions of the queries below end.
+CUTS = ("2024-01-11", "2024-01-21")
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/gleaner-{name}-{uuid.uuid4().hex}"
+
+
+def _props_k() -> Column:
+    return F.get_json_object("props", "$.k").cast("int")
+
+
+def _slices(df: DataFrame) -> list[DataFrame]:
+    """Rows by event time, cut at ``CUTS``."""
+    a, b = (F.lit(c).cast("timestamp_ntz") for c in CUTS)
+    ts = F.col("ts").cast("timestamp_ntz")
+    return [df.filter(ts < a), df.filter((ts >= a) & (ts < b)), df.filter(ts >= b)]
+
+
+def _scrapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as scrapes: a tab per user, up to two rows, an error closes the tab, a signup has no config."""
+    k = _props_k()
+    cell = F.array(F.col("event_type"), k.cast("string"))
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("tab_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"),
+        F.when(F.col("event_type") != "signup", F.concat(F.lit("//"), "event_type")).alias("main_selector"),
+        F.array(F.lit("Type"), F.lit("K")).alias("columns"),
+        F.array_repeat(cell, k % 3).alias("data"), (F.col("event_type") == "error").alias("closed"),
+    )
+
+
+def _stored_results(spark: SparkSession, sf_dir: str) -> VT.VersionedTable:
+    t = RS.results_table(spark, _folder(spark, "results"))
+    for part in _slices(_scrapes(spark, sf_dir)):
+        RS.commit_results(t, part)
+    return t
+
+
+def results_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inserts, updates and deletes between the stored versions, each with its rows before and after."""
+    t = _stored_results(spark, sf_dir)
+    feeds = [t.changes(v).withColumn("version", F.lit(v)) for v in t.versions()]
+    every = feeds[0].unionByName(feeds[1]).unionByName(feeds[2])
+    return every.select(
+        "version", "tab_id", "change", F.col("before.seq").alias("before_seq"), F.col("after.seq").alias("after_seq"),
+        F.size("before.data").alias("before_rows"), F.size("after.data").alias("after_rows"),
+    )
+
+
+def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S8 + J1 + K7: open tabs (customers of one segment) with their stored results, row by row, defaults filled in."""
+    tab = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'")
+    url = F.when(F.col("c_custkey") % 3 == 0, F.lit(None)).when(F.col("c_custkey") % 3 == 1, F.lit("")).otherwise(F.concat(F.lit("https://t/"), "c_custkey"))
+    tabs = tab.select(F.col("c_custkey").alias("tab_id"), url.cast("string").alias("url"), F.col("c_name").alias("title"))
+    got = RS.results_with_tabs(tabs, _stored_results(spark, sf_dir))
+    return got.select(
+        "tab_id", "tab_url", "tab_title", "main_selector", F.array_join("columns", ",").alias("columns"),
+        F.posexplode("data").alias("original_index", "cells"),
+    ).select("tab_id", "tab_url", "tab_title", "main_selector", "columns", F.col("original_index").cast("int"), F.array_join("cells", ",").alias("cells"))
+
+
+def session_changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1 + X3: state after a changelog of four batches with removals, merged configs, a snapshot, and
+    updates behind the watermark in the last batch, which lose."""
+    k = _props_k().cast("string")
+    config = F.when(_props_k() % 2 == 0, F.concat(F.lit('{"mainSelector":"//a['), k, F.lit(']","columns":['), k, F.lit("]}"))).otherwise(
+        F.concat(F.lit('{"mainSelector":"//a['), k, F.lit(']"}')))
+    kind = F.col("event_type")
+    ev = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("tab_id"), F.col("event_id").alias("seq"),
+        F.when(kind == "signup", S.CONFIG).when(kind == "error", S.REMOVED).otherwise(kind).alias("field"),
+        F.when(kind == "signup", config).when(kind == "error", F.lit(None)).otherwise(F.col("props")).alias("value_json"),
+        F.col("ts").cast("timestamp").alias("ts"),
+    )
+    withheld = F.col("seq") % 50 == 7
+    t = S.session_table(spark, _folder(spark, "sessions"))
+    for batch in [*_slices(ev.filter(~withheld)), ev.filter(withheld)]:
+        CL.append_batch(t, batch, S.fold_updates, delay=dt.timedelta(days=7), compact_every=3, expire=S.expire_removals)
+    return S.read_sessions(spark, t.path)
+
+
+def _consents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events, and the consents that users give: a signup grants, an error declines, every fourth purchase takes it back."""
+    ev = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    kind = F.col("event_type")
+    back = (kind == "purchase") & (F.col("event_id") % 4 == 0)
+    said = (kind == "signup") & (F.col("event_id") % 3 == 0) | (kind == "error") & (F.col("event_id") % 3 == 0) | back
+    consents = ev.filter(said).select(F.col("event_id").alias("consent_id"), "user_id", "ts", F.when(kind == "signup", True).when(kind == "error", False).alias("consent"))
+    return ev.filter(~said).select("event_id", "user_id", "ts"), consents
+
+
+def consent_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1 + E3 + E5 + E6: each event delivered, dropped, flushed, cleared, evicted or still queued. Queues of three
+    events, kept for two days, so that both limits bind."""
+    events, consents = _consents(spark, sf_dir)
+    got = CO.consent_flow(events, consents, limit=3, timeout=dt.timedelta(days=2))
+    return got.select("event_id", "user_id", "route", "buffered", F.col("decided_at").cast("timestamp_ntz").alias("decided_at"))
+
+
+QUERIES.update({
+    "results_feed": results_feed,
+    "stored_results": stored_results,
+    "session_changelog": session_changelog,
+    "consent_flow": consent_flow,
+})
+
+
+# ---- inference over all groups, far pages, numbers, the preset library (G2-G13, L2, L3, W2, E5, T1-T11) ----
+from gleaner.operators import groups as GR  # noqa: E402
+from gleaner.operators import paging as PG  # noqa: E402
+from gleaner.operators import presetstore as PS  # noqa: E402
+from gleaner.sources import library as LB  # noqa: E402
+
+
+def _groups(dom: DataFrame) -> DataFrame:
+    return GR.repeating_groups(dom).select("page_id", "path", "tag", "n", "guess_tag", "main_selector", "matches")
+
+
+def page_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G2 + G3 + G7 + G8 + G13: every repeating group of every page, the ancestor and selector guessed from it."""
+    return _groups(pages_dom(spark, sf_dir))
+
+
+def part_page_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over pages with tables: header cells, rows, and the cells of every row."""
+    return _groups(derived_dom(spark, sf_dir, "part"))
+
+
+def link_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G4 + G5 + G6: the candidates of every link of the navigation, with what each selects."""
+    chains = GR.element_chains(pages_dom(spark, sf_dir))
+    last, up = F.element_at("chain", -1), F.element_at("chain", -2)
+    links = chains.filter((last["tag"] == "a") & (up["tag"] == "li"))
+    c = GR.candidates(chains, links)
+    place = links.select("page_id", "pre", up["sib"].alias("link"))
+    return c.join(place, ["page_id", "pre"]).select("page_id", F.col("link").cast("int"), "default_index", F.posexplode("candidates").alias("level", "c")).select(
+        "page_id", "link", "default_index", F.col("level").cast("int"), "c.xpath", F.col("c.matches").alias("matches"))
+
+
+def orders_far_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1 + L2 + L3 + A5: pages far into a sorted result, each read from the partitions it lies in; the last one is clamped."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderstatus")
+    path = _folder(spark, "ranked")
+    PG.write_ranked(o, path, [("o_orderpriority", True), ("o_totalprice", False)], ["o_orderkey"], rows_per_part=1000)
+    pages = [PG.ranked_page(spark, path, i, 20).withColumn("page", F.lit(i)) for i in (0, 49, 300, 10_000_000)]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2]).unionByName(pages[3]).select(
+        "page", "display_index", "o_orderkey", "o_orderpriority", "o_totalprice", "o_orderstatus")
+
+
+def events_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E5 + W2: each event's place in its user's queue; users above fifty events are numbered in pieces."""
+    ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
+    return PG.numbered(ev, ["user_id"], ["ts", "event_id"], name="queue_pos", limit=50).select("event_id", "user_id", "queue_pos")
+
+
+def _part_presets(spark: SparkSession, sf_dir: str, keep, name) -> DataFrame:
+    key = F.col("p_partkey")
+    p = table(spark, sf_dir, "part").filter(keep(key))
+    column = F.struct(F.lit("Brand").alias("name"), F.lit(".").alias("selector"), F.lit(None).cast("string").alias("key"))
+    config = F.struct(F.concat(F.lit("//p["), key.cast("string"), F.lit("]")).alias("main_selector"), F.array(column).alias("columns"))
+    return p.select(F.concat(F.lit("u"), key.cast("string")).alias("id"), name.alias("name"), config.alias("config"), key.cast("long").alias("created_at"), key.cast("long").alias("seq"))
+
+
+def _library(spark: SparkSession, sf_dir: str):
+    """Three commits: even parts, then all divisible by three under another name, then those by five deleted."""
+    lib = LB.preset_library(spark, _folder(spark, "library"))
+    LB.save_presets(lib, _part_presets(spark, sf_dir, lambda k: k % 2 == 0, F.col("p_name")))
+    LB.save_presets(lib, _part_presets(spark, sf_dir, lambda k: k % 3 == 0, F.concat(F.lit("new "), F.col("p_name"))))
+    LB.delete_presets(lib, _part_presets(spark, sf_dir, lambda k: k % 5 == 0, F.col("p_name")))
+    return lib
+
+
+def preset_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 + T2 + T3 + T5 + T6 + U2 + J2: the stored presets in order, then the system presets that are not hidden."""
+    status = PS.hide_preset(PS.hide_preset(PS.reset_status(spark), "sys-images"), "sys-forms")
+    got = LB.listed_presets(_library(spark, sf_dir), PS.system_presets(spark), status)
+    return got.select("origin_rank", "added", "seq", "id", "name", "config.main_selector").withColumn(
+        "main_selector", F.when(F.col("origin_rank") == 0, F.col("main_selector")))
+
+
+def preset_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J3 + U3 + U5 + V6 + V7: suggestions for a term: recent selectors that are no preset's, then presets."""
+    lib = LB.list_presets(_library(spark, sf_dir))
+    ev = table(spark, sf_dir, "events").filter("user_id < 40")
+    uses = ev.select(F.lit(0).alias("user_id"), F.concat(F.lit(" //p["), F.col("user_id").cast("string"), F.lit("] ")).alias("selector"), "ts")
+    return PS.suggest(V.recent_selectors(uses, k=30), lib, " 2] ")
+
+
+def preset_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T9 + T10 + A9 + J6: a preset file per part, good and broken in nine ways, and what importing it says."""
+    k = F.col("p_partkey")
+    q = lambda c: F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
+    one = lambda i, n: F.concat(F.lit('{"id":'), i, F.lit(',"name":'), n, F.lit(',"config":{"mainSelector":"//a","columns":[{"name":"T","selector":"."}]},"createdAt":1}'))
+    good = one(q(k), q(F.col("p_brand")))
+    wrap = lambda v, ps: F.concat(F.lit('{"version":' + v + ',"presets":['), ps, F.lit("]}"))
+    both = F.concat(good, F.lit(","), one(F.lit('"sys-images"'), F.lit('"S"')))
+    raw = [
+        wrap("1", good), wrap("1", both), wrap("1", F.concat(good, F.lit(","), one(F.lit('""'), F.lit('"S"')))), wrap("2", good), wrap('"1"', good),
+        F.concat(F.lit('{"presets":['), good, F.lit("]}")), F.lit('{"version":1}'), F.lit('{"version":1,"presets":{}}'), F.concat(good, F.lit(",")), k.cast("string"),
+    ]
+    text = F.element_at(F.array(*raw), (k % 10 + 1).cast("int"))
+    files = table(spark, sf_dir, "part").select(k.alias("file"), text.alias("raw"))
+    return PS.validate_import(files).select("file", "error", "imported", "skipped_system", F.array_join(F.transform("presets", lambda p: p["id"]), ",").alias("ids"))
+
+
+QUERIES.update({
+    "page_groups": page_groups,
+    "part_page_groups": part_page_groups,
+    "link_candidates": link_candidates,
+    "orders_far_pages": orders_far_pages,
+    "events_numbered": events_numbered,
+    "preset_library": preset_library,
+    "preset_search": preset_search,
+    "preset_imports": preset_imports,
+})

@@ -12,17 +12,22 @@ tab with a huge log is combined map-side before the shuffle.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleaner.sources.versions import VersionedTable
+from gleaner.streaming import changelog
+
 REMOVED = "__removed__"
 CONFIG = "currentScrapeConfig"
 UPDATES_DDL = "tab_id long, seq long, field string, value_json string"
 
 
-def normalize_updates(updates: DataFrame) -> DataFrame:
+def normalize_updates(updates: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Split config updates into ``currentScrapeConfig.<sub>`` fields (columns only when an
-    array is given); other fields pass through."""
+    array is given); other fields pass through. ``keep`` names further columns to carry."""
     is_cfg = F.col("field") == CONFIG
     v = F.try_parse_json(F.col("value_json"))
     cfg_fields = F.array(
@@ -33,8 +38,8 @@ def normalize_updates(updates: DataFrame) -> DataFrame:
     )
     plain = F.array(F.struct(F.col("field").alias("f"), F.col("value_json").alias("j")))
     fields = F.when(F.coalesce(is_cfg, F.lit(False)), F.filter(cfg_fields, lambda x: x.isNotNull())).otherwise(plain)
-    return updates.select("tab_id", "seq", F.explode(fields).alias("x")).select(
-        "tab_id", "seq", F.col("x.f").alias("field"), F.col("x.j").alias("value_json")
+    return updates.select("tab_id", "seq", *keep, F.explode(fields).alias("x")).select(
+        "tab_id", "seq", *keep, F.col("x.f").alias("field"), F.col("x.j").alias("value_json")
     )
 
 
@@ -47,7 +52,10 @@ def fold_sessions(updates: DataFrame) -> DataFrame:
 def _fold(u: DataFrame) -> DataFrame:
     """Latest value per (tab, field) first (combined map-side), then what a tab's last
     removal covers is dropped; removals stay as rows of their own."""
-    latest = u.groupBy("tab_id", "field").agg(F.max_by("value_json", "seq").alias("value_json"), F.max("seq").alias("seq"))
+    return _uncovered(u.groupBy("tab_id", "field").agg(F.max_by("value_json", "seq").alias("value_json"), F.max("seq").alias("seq")))
+
+
+def _uncovered(latest: DataFrame) -> DataFrame:
     cleared = F.max(F.when(F.col("field") == REMOVED, F.col("seq"))).over(Window.partitionBy("tab_id"))  # a row per field
     kept = (F.col("field") == REMOVED) | F.col("cleared_at").isNull() | (F.col("seq") > F.col("cleared_at"))
     return latest.withColumn("cleared_at", cleared).filter(kept).drop("cleared_at")
@@ -78,40 +86,61 @@ def sessions_wide(state: DataFrame, fields: list[str]) -> DataFrame:
     return state.groupBy("tab_id").pivot("field", fields).agg(F.first("value_json"))
 
 
-def merge_state(state: DataFrame, batch: DataFrame) -> DataFrame:
-    """Fold a micro-batch into the state; removals stay in it, so that an update which
-    comes late does not bring a removed tab back."""
-    prev = state.select("tab_id", "seq", "field", "value_json")
-    return _fold(prev.unionByName(normalize_updates(batch).select("tab_id", "seq", "field", "value_json")))
-
-
-def state_version(state_path: str, epoch: int) -> str:
-    return f"{state_path.rstrip('/')}/v{epoch}"
-
-
-def read_sessions(spark: SparkSession, state_path: str, epoch: int) -> DataFrame:
-    """The tabs' state after a batch, without the removals it remembers."""
-    return spark.read.parquet(state_version(state_path, epoch)).filter(F.col("field") != REMOVED)
-
-
-def stream_sessions(spark: SparkSession, updates_path: str, state_path: str, checkpoint: str, trigger_once: bool = True):
-    """X1 streaming: file source of update rows -> ``foreachBatch`` that folds each batch
-    into a parquet state table (new version per batch; exactly-once through the stream's
-    checkpoint). Returns the started query."""
-    src = spark.readStream.schema(UPDATES_DDL).parquet(updates_path)
-
-    def upsert(batch: DataFrame, epoch: int) -> None:
-        # version v{epoch} is made of the one before and never overwritten in place; a state
-        # that cannot be read ends the batch
-        if epoch == 0:
-            cur = spark.createDataFrame([], "tab_id long, field string, value_json string, seq long")
-        else:
-            cur = spark.read.parquet(state_version(state_path, epoch - 1))
-        merge_state(cur, batch).write.mode("overwrite").parquet(state_version(state_path, epoch))
-
-    w = src.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="5 seconds")
-    return w.start()
+STATE_DDL = "tab_id long, field string, value_json string, seq long, ts timestamp"
+
+
+def session_table(spark: SparkSession, state_path: str) -> VersionedTable:
+    """The stored state, a row per (tab, field) with its last write, removals included."""
+    return VersionedTable.of(spark, state_path, STATE_DDL, ("tab_id", "field"), order=("seq",))
+
+
+def fold_updates(batch: DataFrame) -> DataFrame:
+    """The last write of every (tab, field) of a batch, combined map-side."""
+    u = normalize_updates(batch, ("ts",) if "ts" in batch.columns else ())
+    ts = F.col("ts") if "ts" in batch.columns else F.lit(None).cast("timestamp")
+    last = F.max_by(F.struct("value_json", ts.alias("ts")), "seq")
+    return u.groupBy("tab_id", "field").agg(last.alias("x"), F.max("seq").alias("seq")).select("tab_id", "field", "x.value_json", "seq", "x.ts")
+
+
+def expire_removals(state: DataFrame, mark: int) -> DataFrame:
+    """State without what a removal covers, and without removals behind the watermark. Sequence
+    numbers of a tab rise with its event times, so what such a removal covers is late by then."""
+    old = (F.col("field") == REMOVED) & (F.col("ts") < F.timestamp_micros(F.lit(mark)))
+    return _uncovered(state).filter(~F.coalesce(old, F.lit(False)))
+
+
+def read_sessions(spark: SparkSession, state_path: str, version: int | None = None) -> DataFrame:
+    """The tabs' state (latest version if none is given), without the removals it remembers."""
+    state = session_table(spark, state_path).read(version)
+    return _uncovered(state).filter(F.col("field") != REMOVED).select("tab_id", "field", "value_json", "seq")
+
+
+def stream_sessions(
+    spark: SparkSession,
+    updates_path: str,
+    state_path: str,
+    checkpoint: str,
+    trigger_once: bool = True,
+    schema: str = UPDATES_DDL,
+    delay: dt.timedelta | None = None,
+    compact_every: int = 10,
+    max_files: int | None = None,
+):
+    """X1 streaming: files of updates -> changelog of the state (see :mod:`gleaner.streaming.changelog`).
+    With ``delay``, updates carry ``ts``, and those behind the watermark are dropped. Returns the started query."""
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return changelog.stream_into(
+        reader.parquet(updates_path),
+        session_table(spark, state_path),
+        checkpoint,
+        fold_updates,
+        trigger_once,
+        delay=delay,
+        compact_every=compact_every,
+        expire=expire_removals,
+    )
 
 
 def live_results(results: DataFrame) -> DataFrame:
