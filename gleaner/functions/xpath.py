@@ -310,7 +310,7 @@ def _rng(lo: Column, hi: Column) -> Column:
 def strval(env: Env, i) -> Column:
     """XPath string-value of node ``i`` (textContent; '' for comments)."""
     n = _n(env, i)
-    return env.text.substr(n["t0"] + 1, n["t1"] - n["t0"])
+    return env.text.substr(n["t0"] + 1, n["t1"] - n["t0"]).cast("string")  # bytes of the page's text
 
 
 def attr_of(env: Env, i, name: str) -> Column:

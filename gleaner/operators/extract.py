@@ -86,39 +86,34 @@ def matched_nodes(selector: str, html_only: bool = True) -> Column:
 
 
 def select_rows(dom: DataFrame, selector: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per selected HTML element: ``(page_id, original_index, __node, ...)``.
-
-    ``nodes`` and ``text`` are carried so extraction columns can be evaluated next."""
-    arr = matched_nodes(selector)
-    return dom.select(
-        "page_id", *keep, "nodes", "text", F.posexplode(arr).alias("original_index", NODE_COL)
-    )
+    """One row per selected HTML element: ``(page_id, original_index, __node, ...)``."""
+    return dom.select("page_id", *keep, F.posexplode(matched_nodes(selector)).alias("original_index", NODE_COL))
 
 
 def select_values(dom: DataFrame, selector: str, within: str | None = None) -> DataFrame:
     """Values matched by ``selector`` (elements as text, attribute and text-node
     values), optionally evaluated from each node matched by ``within``. A malformed
-    selector gives no rows (the reference returns an empty list)."""
-    base = select_rows(dom, within) if within else dom.select(
-        "page_id", "nodes", "text", F.lit(0).alias("original_index"), F.lit(0).alias(NODE_COL)
-    )
-    env = dom_env(F.col(NODE_COL))
-    try:
-        v, _ = compile_value(selector, env)
-    except XPathSyntaxError:
-        return base.select("page_id", F.lit(0).alias("context_index"), F.lit(0).alias("value_index"), F.lit("").alias("value")).limit(0)
-    if v.kind == ATTRS:
-        vals = v.col if not v.single else F.filter(F.array(v.col), lambda x: x.isNotNull())
-    elif v.kind == NODES:
-        arr = v.col if not v.single else F.array(v.col)
-        n = lambda i: F.get(env.nodes, i)
-        keep = F.filter(arr, lambda i: n(i)["is_html"] | (n(i)["tag"] == F.lit("#text")))
-        vals = F.transform(keep, lambda i: strval(env, i))
-    else:
-        return base.select("page_id", F.lit(0).alias("context_index"), F.lit(0).alias("value_index"), F.lit("").alias("value")).limit(0)
-    return base.select(
-        "page_id", F.col("original_index").alias("context_index"), F.posexplode(vals).alias("value_index", "value")
-    )
+    selector gives no rows (the reference returns an empty list). Values are made per page, so
+    only they are exploded."""
+    none = F.array().cast("array<string>")
+
+    def values(i: Column) -> Column:
+        env = dom_env(i)
+        try:
+            v, _ = compile_value(selector, env)
+        except XPathSyntaxError:
+            return none
+        if v.kind == ATTRS:
+            return v.col if not v.single else F.filter(F.array(v.col), lambda x: x.isNotNull())
+        if v.kind != NODES:
+            return none
+        n = lambda k: F.get(env.nodes, k)
+        kept = F.filter(v.col if not v.single else F.array(v.col), lambda k: n(k)["is_html"] | (n(k)["tag"] == F.lit("#text")))
+        return F.transform(kept, lambda k: strval(env, k))
+
+    contexts = matched_nodes(within) if within else F.array(F.lit(0))
+    per = dom.select("page_id", F.posexplode(F.transform(contexts, values)).alias("context_index", "values"))
+    return per.select("page_id", "context_index", F.posexplode("values").alias("value_index", "value"))
 
 
 def count_matches(dom: DataFrame, selector: str) -> DataFrame:
@@ -157,10 +152,10 @@ def row_selector(selector: str, index: int) -> str:
 
 def fetch_row(dom: DataFrame, selector: str, index: int) -> DataFrame:
     """The node at ``original_index`` of ``selector`` on each page, with its text."""
-    rows = select_rows(dom, selector).filter(F.col("original_index") == int(index))
     env = dom_env(F.col(NODE_COL))
+    rows = dom.select("page_id", "nodes", "text", F.get(matched_nodes(selector), int(index)).alias(NODE_COL)).filter(F.col(NODE_COL).isNotNull())
     return rows.select(
-        "page_id", "original_index", F.col(NODE_COL).alias("pre"),
+        "page_id", F.lit(int(index)).alias("original_index"), F.col(NODE_COL).alias("pre"),
         F.get(env.nodes, env.node)["tag"].alias("tag"), js_trim(strval(env, env.node)).alias("text"),
     )
 
@@ -226,23 +221,25 @@ def extract(
     rows; ``'raise'`` re-raises. Unsupported-but-valid XPath always raises.
     """
     try:
-        rows = select_rows(dom, config.main_selector, keep)
+        arr = matched_nodes(config.main_selector)
     except XPathSyntaxError:
         if on_error == "raise":
             raise
-        rows = dom.select(
-            "page_id", *keep, "nodes", "text", F.lit(0).alias("original_index"), F.lit(0).alias(NODE_COL)
-        ).limit(0)
-    env = dom_env(F.col(NODE_COL))
+        arr = F.array().cast("array<int>")
     keyed = resolve_keys(config.columns)
-    vals = [column_value(c.selector, env) for _, c in keyed]
-    empty = is_empty_col(vals)
+
+    def values(i: Column) -> Column:
+        env = dom_env(i)
+        return F.array(*[column_value(c.selector, env) for _, c in keyed]) if keyed else F.array().cast("array<string>")
+
+    # a page's rows are arrays of their values before they become rows: the page itself is not repeated
+    rows = dom.select("page_id", *keep, F.posexplode(F.transform(arr, values)).alias("original_index", "_values"))
     head = [F.col("page_id"), *[F.col(k) for k in keep], F.col("original_index").cast("int").alias("original_index")]
+    empty = F.forall("_values", lambda v: js_trim(v) == F.lit(""))
     if form == "long":
         keys = F.array(*[F.lit(k) for k, _ in keyed]) if keyed else F.array().cast("array<string>")
-        data = F.map_from_arrays(keys, F.array(*vals) if vals else F.array().cast("array<string>"))
-        return rows.select(*head, empty.alias("is_empty"), data.alias("data"))
-    return rows.select(*head, empty.alias("is_empty"), *[v.alias(k) for (k, _), v in zip(keyed, vals)])
+        return rows.select(*head, empty.alias("is_empty"), F.map_from_arrays(keys, "_values").alias("data"))
+    return rows.select(*head, empty.alias("is_empty"), *[F.get("_values", k).alias(name) for k, (name, _) in enumerate(keyed)])
 
 
 def rows_array(config: ScrapeConfig, tag: str) -> Column:

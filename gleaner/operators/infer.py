@@ -53,7 +53,7 @@ def _children(i, pred=None) -> Column:
 
 def _text(i) -> Column:
     n = _n(i)
-    return F.col("text").substr(n["t0"] + 1, n["t1"] - n["t0"])
+    return F.col("text").substr(n["t0"] + 1, n["t1"] - n["t0"]).cast("string")  # bytes of the page's text
 
 
 def _tag_is(*tags):
@@ -97,39 +97,43 @@ def table_headers(t, row) -> Column:
     return F.when(F.size(h1) > 0, h1).when(F.size(h2) > 0, h2).otherwise(h3)
 
 
-def _tables_frame(dom: DataFrame) -> DataFrame:
-    """One row per table: ``(page_id, table_index (1-based), t, rows, headers, ncols)``."""
-    tables = F.filter(_rng(F.lit(1), F.size(_nodes()) - 1), lambda m: (_f(m, "tag") == "table") & _f(m, "is_html"))
-    per = dom.select("page_id", "nodes", "text", F.posexplode(tables).alias("ti", "t"))
-    rows = _table_rows(F.col("t"))
-    first = F.get(rows, 0)
-    hdr = table_headers(F.col("t"), first)
-    cells = F.size(_children(first, _tag_is("th", "td")))
-    return per.select(
-        "page_id", "nodes", "text", (F.col("ti") + 1).alias("table_index"), "t", rows.alias("rows"),
-        hdr.alias("headers"), F.greatest(F.size(hdr), F.coalesce(cells, F.lit(0))).alias("ncols"),
+def _column_names(headers: Column, ncols: Column) -> Column:
+    """The header's text, or ``Column i``, of each column."""
+    return F.transform(
+        _rng(F.lit(1), ncols),
+        lambda i: F.coalesce(F.nullif(js_trim(_text(F.get(headers, i - 1))), F.lit("")), F.concat(F.lit("Column "), i.cast("string"))),
     )
 
 
+def _page_tables() -> Column:
+    """A page's tables: array of (rows, names), names by the first data row's header guess and cells."""
+    tables = F.filter(_rng(F.lit(1), F.size(_nodes()) - 1), lambda m: (_f(m, "tag") == "table") & _f(m, "is_html"))
+
+    def named(t, rows):
+        first = F.get(rows, 0)
+        cells = F.coalesce(F.size(_children(first, _tag_is("th", "td"))), F.lit(0))
+        names = _let(table_headers(t, first), lambda hdr: _column_names(hdr, F.greatest(F.size(hdr), cells)))
+        return F.struct(rows.alias("rows"), names.alias("names"))
+
+    return F.transform(tables, lambda t: _let(_table_rows(t), lambda rows: named(t, rows)))
+
+
 def table_config(dom: DataFrame) -> DataFrame:
     """One config per table: ``(page_id, table_index, main_selector, columns
     ARRAY<STRUCT<name, selector, key>>)`` with columns ``*[i]``, keys ``col{i}``, names from
     the header text or ``Column i``."""
-    t = _tables_frame(dom)
     cols = F.transform(
-        _rng(F.lit(1), F.col("ncols")),
-        lambda i: F.struct(
-            F.coalesce(
-                F.nullif(js_trim(_text(F.get(F.col("headers"), i - 1))), F.lit("")),
-                F.concat(F.lit("Column "), i.cast("string")),
-            ).alias("name"),
-            F.concat(F.lit("*["), i.cast("string"), F.lit("]")).alias("selector"),
-            F.concat(F.lit("col"), i.cast("string")).alias("key"),
+        "t.names",
+        lambda name, i: F.struct(
+            name.alias("name"),
+            F.concat(F.lit("*["), (i + 1).cast("string"), F.lit("]")).alias("selector"),
+            F.concat(F.lit("col"), (i + 1).cast("string")).alias("key"),
         ),
     )
+    t = dom.select("page_id", F.posexplode(_page_tables()).alias("ti", "t"))
     return t.select(
-        "page_id", "table_index",
-        F.concat(F.lit("(//table)["), F.col("table_index").cast("string"), F.lit("]//tr[td]")).alias("main_selector"),
+        "page_id", (F.col("ti") + 1).alias("table_index"),
+        F.concat(F.lit("(//table)["), (F.col("ti") + 1).cast("string"), F.lit("]//tr[td]")).alias("main_selector"),
         cols.alias("columns"),
     )
 
@@ -139,24 +143,17 @@ def extract_tables(dom: DataFrame) -> DataFrame:
     ``(page_id, table_index, original_index, col_index, column_name, value)``.
     Rows are the table's ``tr[td]`` descendants, the header guess uses the first data row,
     a cell is the trimmed text of the row's i-th element child ('' when missing)."""
-    t = _tables_frame(dom)
-    r = t.select(
-        "page_id", "nodes", "text", "table_index", "headers", "ncols",
-        F.posexplode("rows").alias("original_index", "r"),
-    )
-    c = r.select(
-        "page_id", "nodes", "text", "table_index", "original_index", "headers", "r",
-        F.explode(_rng(F.lit(1), F.col("ncols"))).alias("col_index"),
-    )
-    i = F.col("col_index")
-    cell = F.get(_children(F.col("r"), _elem), i - 1)
-    name = F.coalesce(
-        F.nullif(js_trim(_text(F.get(F.col("headers"), i - 1))), F.lit("")),
-        F.concat(F.lit("Column "), i.cast("string")),
-    )
-    return c.select(
-        "page_id", F.col("table_index").cast("int"), F.col("original_index").cast("int"), i.cast("int").alias("col_index"),
-        name.alias("column_name"), F.coalesce(js_trim(_text(cell)), F.lit("")).alias("value"),
+
+    def cells(t, r):
+        text = lambda kids: F.transform(t["names"], lambda _, i: F.coalesce(js_trim(_text(F.get(kids, i))), F.lit("")))
+        return _let(_children(r, _elem), text)
+
+    rows = F.transform(_page_tables(), lambda t: F.struct(t["names"].alias("names"), F.transform(t["rows"], lambda r: cells(t, r)).alias("rows")))
+    per_table = dom.select("page_id", F.posexplode(rows).alias("ti", "t"))
+    per_row = per_table.select("page_id", "ti", F.col("t.names").alias("names"), F.posexplode("t.rows").alias("original_index", "cells"))
+    return per_row.select("page_id", "ti", "original_index", F.posexplode(F.arrays_zip("names", "cells")).alias("i", "c")).select(
+        "page_id", (F.col("ti") + 1).cast("int").alias("table_index"), F.col("original_index").cast("int"), (F.col("i") + 1).cast("int").alias("col_index"),
+        F.col("c.names").alias("column_name"), F.col("c.cells").alias("value"),
     )
 
 
@@ -565,13 +562,12 @@ def _scrape(dom: DataFrame, selector: str, config) -> DataFrame:
     base = dom.select("page_id", "nodes", "text", first.alias("m")).filter(F.col("m").isNotNull())
     plan = _let(config(F.col("m")), lambda c: F.struct(c["main_selector"].alias("main_selector"), c["columns"].alias("columns"), _path_rows(c).alias("rows")))
     g = base.select("page_id", "nodes", "text", plan.alias("plan")).filter(F.size("plan.rows") > 0)
-    r = g.select("page_id", "nodes", "text", F.col("plan.main_selector").alias("main_selector"), F.col("plan.columns").alias("columns"),
-                 F.posexplode("plan.rows").alias("original_index", "r"))
-    c = r.select("page_id", "nodes", "text", "main_selector", "original_index", "r", F.posexplode("columns").alias("col_pos", "c"))
+    cells = F.transform("plan.rows", lambda r: F.transform("plan.columns", lambda c: template_value(c["selector"], r)))
+    r = g.select("page_id", F.col("plan.main_selector").alias("main_selector"), F.col("plan.columns").alias("columns"), F.posexplode(cells).alias("original_index", "cells"))
+    c = r.select("page_id", "main_selector", "original_index", F.posexplode(F.arrays_zip("columns", "cells")).alias("col_pos", "c"))
     return c.select(
         "page_id", "main_selector", F.col("original_index").cast("int"), F.col("col_pos").cast("int"),
-        F.col("c.name").alias("name"), F.coalesce(F.col("c.key"), F.col("c.name")).alias("key"),
-        template_value(F.col("c.selector"), F.col("r")).alias("value"),
+        F.col("c.columns.name").alias("name"), F.coalesce(F.col("c.columns.key"), F.col("c.columns.name")).alias("key"), F.col("c.cells").alias("value"),
     )
 
 

@@ -5,6 +5,8 @@ the DuckDB oracle SQL in :mod:`gleaner.plans.oracles`."""
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,37 +15,35 @@ from gleaner.operators import extract as X
 from gleaner.plans import presets as P
 from gleaner.operators import infer as G
 from gleaner.sources import render as R
-from gleaner.sources.dom import parse_dom
+from gleaner.session import ensure_checkpoint_dir
+from gleaner.sources.dom import parse_dom, read_dom, write_dom
 
-_DOM_CACHE: dict[tuple[int, str], DataFrame] = {}
+_STORED: dict[tuple[str, str], str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pages_dom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parsed pages of ``sf_dir``; parsed once per session and kept in memory+disk."""
-    key = (id(spark), sf_dir)
-    if key not in _DOM_CACHE:
-        from pyspark import StorageLevel
+def _stored(spark: SparkSession, sf_dir: str, kind: str, pages: Callable[[], DataFrame]) -> DataFrame:
+    """Parsed pages, written to the shared folder by the first query of an application that needs them."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}#{kind}")
+    if key not in _STORED:
+        path = _folder(spark, "dom")
+        write_dom(parse_dom(pages(), min_partitions=spark.sparkContext.defaultParallelism), path)
+        _STORED[key] = path
+    return read_dom(spark, _STORED[key])
+
 
-        _DOM_CACHE[key] = parse_dom(table(spark, sf_dir, "pages")).persist(StorageLevel.MEMORY_AND_DISK)
-    return _DOM_CACHE[key]
+def pages_dom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed pages of ``sf_dir``."""
+    return _stored(spark, sf_dir, "pages", lambda: table(spark, sf_dir, "pages"))
 
 
 def derived_dom(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """Pages rendered from a relational table (``customer`` or ``part``), parsed and kept."""
-    from pyspark import StorageLevel
-
-    key = (id(spark), f"{sf_dir}#{kind}")
-    if key not in _DOM_CACHE:
-        if kind == "customer":
-            pages = R.customer_pages(table(spark, sf_dir, "customer"))
-        else:
-            pages = R.part_table_pages(table(spark, sf_dir, "part"))
-        _DOM_CACHE[key] = parse_dom(pages).persist(StorageLevel.MEMORY_AND_DISK)
-    return _DOM_CACHE[key]
+    """Pages rendered from a relational table (``customer`` or ``part``), parsed."""
+    render = {"customer": R.customer_pages, "part": R.part_table_pages}[kind]
+    return _stored(spark, sf_dir, kind, lambda: render(table(spark, sf_dir, kind)))
 
 
 def snake(name: str) -> str:
@@ -388,9 +388,7 @@ QUERIES.update({
 
 # ---- committed versions, stored results, changelog state, consent (S8, S9, J1, K7, X1, X5, E1-E6) --------
 import datetime as dt  # noqa: E402
-import uuid  # noqa: E402
 
-from gleaner.session import ensure_checkpoint_dir  # noqa: E402
 from gleaner.sources import results as RS  # noqa: E402
 from gleaner.sources import versions as VT  # noqa: E402
 from gleaner.streaming import changelog as CL  # noqa: E402

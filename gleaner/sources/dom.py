@@ -2,13 +2,14 @@
 
 ``parse_dom`` turns ``pages(page_id, url, html)`` into one row per page:
 
-    dom(page_id BIGINT, url STRING, text STRING,
-        nodes ARRAY<STRUCT<pre, parent, depth, tag, attrs, last, t0, t1,
+    dom(page_id BIGINT, url STRING, text BINARY,
+        nodes ARRAY<STRUCT<pre, parent, depth, tag, attrs, last, t0, t1, s0, s1,
                            sib, sib_n, child, is_html>>)
 
 Node ``i`` sits at array position ``i`` (pre-order), so the descendants of ``n`` are the
-contiguous positions ``n.pre+1 .. n.last`` and its textContent is
-``substring(text, n.t0+1, n.t1-n.t0)``. Every selector then compiles to Catalyst
+contiguous positions ``n.pre+1 .. n.last`` and its textContent is the bytes ``n.t0 .. n.t1`` of
+``text`` (UTF-8), cut out in time of their own length. ``n.s0 .. n.s1`` are the bytes of the source,
+kept in ``source`` where asked for. Every selector then compiles to Catalyst
 expressions over one row: row selection and extraction need no shuffle.
 """
 
@@ -31,6 +32,8 @@ NODE_TYPE = T.StructType(
         T.StructField("last", T.IntegerType(), False),
         T.StructField("t0", T.IntegerType(), False),
         T.StructField("t1", T.IntegerType(), False),
+        T.StructField("s0", T.IntegerType(), False),
+        T.StructField("s1", T.IntegerType(), False),
         T.StructField("sib", T.IntegerType(), False),
         T.StructField("sib_n", T.IntegerType(), False),
         T.StructField("child", T.IntegerType(), False),
@@ -38,7 +41,7 @@ NODE_TYPE = T.StructType(
     ]
 )
 
-_INT_FIELDS = ("parent", "depth", "last", "t0", "t1", "sib", "sib_n", "child")
+_INT_FIELDS = ("parent", "depth", "last", "t0", "t1", "s0", "s1", "sib", "sib_n", "child")
 
 _ARROW_NODE = pa.struct(
     [
@@ -50,6 +53,8 @@ _ARROW_NODE = pa.struct(
         pa.field("last", pa.int32(), False),
         pa.field("t0", pa.int32(), False),
         pa.field("t1", pa.int32(), False),
+        pa.field("s0", pa.int32(), False),
+        pa.field("s1", pa.int32(), False),
         pa.field("sib", pa.int32(), False),
         pa.field("sib_n", pa.int32(), False),
         pa.field("child", pa.int32(), False),
@@ -58,12 +63,17 @@ _ARROW_NODE = pa.struct(
 )
 
 
+def text_slice(text, node):
+    """The text of a node: its bytes of the page's, whatever stands before them."""
+    return text.substr(node["t0"] + 1, node["t1"] - node["t0"]).cast("string")
+
+
 def dom_schema(extra: T.StructType | None = None) -> T.StructType:
     fields = [T.StructField("page_id", T.LongType(), True)]
     if extra:
         fields += list(extra.fields)
     fields += [
-        T.StructField("text", T.StringType(), True),
+        T.StructField("text", T.BinaryType(), True),
         T.StructField("nodes", T.ArrayType(NODE_TYPE, False), True),
     ]
     return T.StructType(fields)
@@ -117,6 +127,8 @@ def _arrow_batch(ids, extras, parsed, extra_names, extra_types) -> pa.RecordBatc
         pa.array(cols["last"], pa.int32()),
         pa.array(cols["t0"], pa.int32()),
         pa.array(cols["t1"], pa.int32()),
+        pa.array(cols["s0"], pa.int32()),
+        pa.array(cols["s1"], pa.int32()),
         pa.array(cols["sib"], pa.int32()),
         pa.array(cols["sib_n"], pa.int32()),
         pa.array(cols["child"], pa.int32()),
@@ -129,7 +141,7 @@ def _arrow_batch(ids, extras, parsed, extra_names, extra_types) -> pa.RecordBatc
     for nm, ty in zip(extra_names, extra_types):
         arrays.append(pa.array(extras[nm], ty))
         names.append(nm)
-    arrays += [pa.array(texts, pa.string()), nodes]
+    arrays += [pa.array(texts, pa.binary()), nodes]
     names += ["text", "nodes"]
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
@@ -170,34 +182,46 @@ def parse_dom(
     keep: tuple[str, ...] = ("url",),
     min_partitions: int | None = None,
     chunk: int = 64,
+    source: bool = False,
 ) -> DataFrame:
     """Parse each page's HTML into the node array (one Arrow Python stage, no join).
 
     Filters and projections on ``pages`` must be applied *before* this call: Catalyst does
     not push them through the Python stage. Only ``page_id``, ``keep`` columns and the html
-    column are read from the scan.
+    column are read from the scan. ``source`` keeps the pages' bytes, for elements' html.
 
-    Partitioning: a large scan already has one task per file split and is parsed in place
-    (no shuffle of raw HTML). Only when the scan has fewer partitions than the cluster has
-    cores (e.g. a single-row-group file) are pages hash-spread by ``page_id`` first, which
-    is deterministic and therefore safe to recompute after an executor loss.
+    Partitioning: pages are parsed by the tasks that read them, without a shuffle.
+    ``min_partitions`` spreads them by a hash of ``page_id`` first, for a table in fewer splits than
+    there are cores.
     """
     keep = tuple(k for k in keep if k in pages.columns)
     src = pages.select("page_id", *keep, html_col)
-    spark = pages.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if not src.isStreaming and src.rdd.getNumPartitions() < want:
-        src = src.repartition(want, "page_id")
+    if min_partitions and not src.isStreaming:
+        src = src.repartition(min_partitions, "page_id")
+    if source:
+        src = src.withColumn("source", F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8"))
+        keep = (*keep, "source")
     extra = T.StructType([src.schema[k] for k in keep]) if keep else None
     ship_by_value()
     return src.mapInArrow(_make_parser(html_col, list(keep), chunk), dom_schema(extra))
 
 
+def write_dom(dom: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Parsed pages as Parquet, once; :func:`read_dom` feeds every selector, extraction and inference from them."""
+    dom.write.mode(mode).parquet(path)
+
+
+def read_dom(spark: SparkSession, path: str) -> DataFrame:
+    """Parsed pages as :func:`write_dom` stored them. Only the columns that a query uses are read."""
+    return spark.read.parquet(path)
+
+
 def explode_nodes(dom: DataFrame) -> DataFrame:
     """S3: one row per node ``(page_id, pre, parent, depth, tag, attrs, ..., text)``."""
     n = F.col("n")
-    return dom.select("page_id", "text", F.explode("nodes").alias("n")).select(
+    own = F.transform("nodes", lambda x: F.struct(*[x[f.name].alias(f.name) for f in NODE_TYPE.fields], text_slice(F.col("text"), x).alias("text_content")))
+    return dom.select("page_id", F.explode(own).alias("n")).select(
         "page_id",
         *[n[f.name].alias(f.name) for f in NODE_TYPE.fields],
-        F.col("text").substr(n["t0"] + 1, n["t1"] - n["t0"]).alias("text_content"),
+        F.col("n.text_content").alias("text_content"),
     )

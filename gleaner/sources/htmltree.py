@@ -9,13 +9,18 @@ are not done (an unclosed <b> closes with its paragraph).
 
 Node kinds: '#document' (pre 0), elements (lower-case tag), '#text', '#comment'.
 ``text`` is the document-order concatenation of all text nodes, so an element's
-textContent is ``text[t0:t1]``; offsets are code points, as in Spark ``substring``.
+textContent is ``text[t0:t1]``; the text is UTF-8 and offsets are bytes, so a value is cut out
+without walking the page. ``s0`` and ``s1`` are the bytes of the source that an element was read from, its
+tags included (an element that the source only implies has those of what it holds).
 """
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
+import numpy as np
+
 # Fixed values from the HTML standard (element categories used by the tree rules).
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr keygen".split()
@@ -52,6 +57,11 @@ class _Builder(HTMLParser):
         self.last: list[int] = [0]
         self.t0: list[int] = [0]
         self.t1: list[int] = [0]
+        self.s0: list[int] = [0]
+        self.s1: list[int] = [0]
+        self.line_at = [0]
+        self.now = 0  # where the markup in hand begins in the source
+        self.after = 0  # and where it ends
         self.sib: list[int] = [0]
         self.child: list[int] = [0]
         self.is_html: list[bool] = [False]
@@ -76,6 +86,8 @@ class _Builder(HTMLParser):
         self.last.append(i)
         self.t0.append(self.tlen)
         self.t1.append(self.tlen)
+        self.s0.append(self.now)
+        self.s1.append(self.after)
         c = self.counts[par]
         c[tag] = c.get(tag, 0) + 1
         self.sib.append(c[tag])
@@ -95,10 +107,11 @@ class _Builder(HTMLParser):
         self.stack.append(i)
         return i
 
-    def _pop(self) -> int:
+    def _pop(self, closed_at: int | None = None) -> int:
         i = self.stack.pop()
         self.last[i] = len(self.tag) - 1
         self.t1[i] = self.tlen
+        self.s1[i] = max(self.s0[i], self.now if closed_at is None else closed_at)
         self.open_text = -1
         if self.foreign and self.tag[i] in FOREIGN_ROOTS and self._foreign_root(i):
             self.foreign -= 1
@@ -152,7 +165,13 @@ class _Builder(HTMLParser):
     def handle_startendtag(self, tag, attrs):
         self._start(tag, attrs, True)
 
+    def _here(self, length: int) -> None:
+        line, column = self.getpos()
+        self.now = self.line_at[line - 1] + column
+        self.after = self.now + length
+
     def _start(self, tag: str, attrs, self_closing: bool) -> None:
+        self._here(len(self.get_starttag_text() or ""))
         amap: dict[str, str] = {}
         for k, v in attrs:
             if k not in amap:
@@ -160,7 +179,7 @@ class _Builder(HTMLParser):
         if self.foreign:
             self._open(tag, amap, False)
             if self_closing:
-                self._pop()
+                self._pop(self.after)
             return
         if tag == "html":
             if self.html < 0:
@@ -190,11 +209,11 @@ class _Builder(HTMLParser):
             self.foreign += 1
             self._open(tag, amap, False)
             if self_closing:
-                self._pop()
+                self._pop(self.after)
             return
         self._open(tag, amap)
         if tag in VOID:
-            self._pop()
+            self._pop(self.after)
 
     def _implied_ends(self, tag: str) -> None:
         if tag in CLOSES_P:
@@ -252,17 +271,28 @@ class _Builder(HTMLParser):
                 return
 
     def handle_endtag(self, tag):
+        self._here(0)
+        end = self.rawdata.find(">", self.now)
+        self.after = end + 1 if end >= 0 else len(self.rawdata)
+        self._end(tag)
+
+    def _close(self, pos: int) -> None:
+        """Close down to a stack position, whose element the end tag in hand belongs to."""
+        self._pop_to(pos + 1)
+        self._pop(self.after)
+
+    def _end(self, tag):
         if tag in ("html", "body"):
             return
         if tag == "head":
             if self.head >= 0 and self.head in self.stack:
-                self._pop_to(self.stack.index(self.head))
+                self._close(self.stack.index(self.head))
                 self.head_closed = True
             return
         if tag == "p" and not self.foreign and self._find(("p",), SCOPE_STOP | {"button"}) < 0:
             self._ensure_body()
             self._open("p")
-            self._pop()
+            self._pop(self.after)
             return
         if not self.foreign and (tag in SPECIAL or tag in FORMATTING):
             # End tag of a known element: close it when open in scope, else ignore.
@@ -276,13 +306,13 @@ class _Builder(HTMLParser):
                 names, stop = (tag,), SCOPE_STOP
             k = self._find(names, stop)
             if k > 0:
-                self._pop_to(k)
+                self._close(k)
             return
         for k in range(len(self.stack) - 1, 0, -1):
             i = self.stack[k]
             t = self.tag[i]
             if t == tag:
-                self._pop_to(k)
+                self._close(k)
                 return
             if self.is_html[i] and t in SPECIAL:
                 return
@@ -290,6 +320,7 @@ class _Builder(HTMLParser):
     def handle_data(self, data):
         if not data:
             return
+        self._here(0)
         top = self.stack[-1]
         if self.foreign or top not in (0, self.html, self.head):
             self._text(data)
@@ -306,16 +337,18 @@ class _Builder(HTMLParser):
 
     def _text(self, data: str) -> None:
         if self.open_text >= 0:
-            self.texts.append(data)
-            self.tlen += len(data)
+            self._keep(data)
             self.t1[self.open_text] = self.tlen
             return
         i = self._add("#text", None, False)
-        self.texts.append(data)
-        self.tlen += len(data)
+        self._keep(data)
         self.t1[i] = self.tlen
         self.open_text = i
 
+    def _keep(self, data: str) -> None:
+        self.texts.append(data)
+        self.tlen += len(data) if data.isascii() else len(data.encode())
+
     def handle_comment(self, data):
         self._add("#comment", None, False)
 
@@ -336,28 +369,43 @@ class _Builder(HTMLParser):
 
     ending = False
 
-    def finish(self) -> None:
+    def finish(self, length: int) -> None:
         self.ending = True
         self.close()
+        self.now = self.after = length
         self._ensure_body()
         self._pop_to(1)
         self.last[0] = len(self.tag) - 1
         self.t1[0] = self.tlen
+        self.s1[0] = length
+
+
+def _source_bytes(html: str, at: list[int]) -> list[int]:
+    """Places in the source as bytes of its UTF-8."""
+    if html.isascii():
+        return at
+    points = np.frombuffer(html.encode("utf-32-le"), np.uint32)
+    sizes = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+    return np.concatenate([[0], np.cumsum(sizes)])[at].tolist()
 
 
 def parse_html(html: str | None) -> dict:
     """Parse one page; returns column lists (one entry per node) plus the page text."""
     b = _Builder()
+    source = html or ""
+    b.line_at = [0, *[m.end() for m in re.finditer("\n", source)]]
     if html:
         b.feed(html)
-    b.finish()
+    b.finish(len(source))
     n = len(b.tag)
     sib_n = [0] * n
     counts = b.counts
     for i in range(1, n):
         sib_n[i] = counts[b.parent[i]][b.tag[i]]
     return {
-        "text": "".join(b.texts),
+        "text": "".join(b.texts).encode(),
+        "s0": _source_bytes(source, b.s0),
+        "s1": _source_bytes(source, b.s1),
         "tag": b.tag,
         "parent": b.parent,
         "depth": b.depth,

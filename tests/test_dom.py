@@ -14,7 +14,7 @@ def test_implied_structure_and_entities():
     d = parse_html("<title>A &amp; B</title><p>x")
     assert d["tag"][:4] == ["#document", "html", "head", "title"]
     assert "body" in d["tag"]
-    assert d["text"].startswith("A & B")
+    assert d["text"].startswith(b"A & B")
 
 
 def test_unclosed_p_li_and_table_sections():
@@ -62,10 +62,54 @@ def test_interval_invariants(html):
     # textContent of every element is the concatenation of its text descendants
     for i in range(n):
         if d["tag"][i][0] != "#":
-            txt = "".join(d["text"][d["t0"][j]:d["t1"][j]] for j in range(i + 1, d["last"][i] + 1) if d["tag"][j] == "#text")
+            txt = b"".join(d["text"][d["t0"][j]:d["t1"][j]] for j in range(i + 1, d["last"][i] + 1) if d["tag"][j] == "#text")
             assert txt == d["text"][d["t0"][i]:d["t1"][i]]
 
 
 def test_odd_declarations_do_not_end_the_page(make_dom):
     dom = make_dom("<p>a</p><![foo[x]]><p>b</p>", "<![ x", "<![%x;[y]]><p>c</p>", "<!x y><p>d</p>")
-    assert [r.text for r in dom.orderBy("page_id").select("text").collect()] == ["ab", "", "c", "d"]
+    assert [r.text.decode() for r in dom.orderBy("page_id").select("text").collect()] == ["ab", "", "c", "d"]
+
+
+def outer(d, html, i):
+    return html.encode()[d["s0"][i] : d["s1"][i]].decode()
+
+
+def test_source_of_elements():
+    html = "<!doctype html>\n<div id=ü>é\n<p>a<p>b &amp; c</p><img src='x>y'><ul><li>1<li><b>2</b></ul></div>\n<svg><path/></svg>ß"
+    d = parse_html(html)
+    by = {}
+    for i, t in enumerate(d["tag"]):
+        by.setdefault(t, []).append(outer(d, html, i))
+    assert by["div"] == [html[html.index("<div") : html.index("</div>") + 6]]
+    assert by["p"] == ["<p>a", "<p>b &amp; c</p>"] and by["li"] == ["<li>1", "<li><b>2</b>"] and by["b"] == ["<b>2</b>"]
+    assert by["img"] == ["<img src='x>y'>"] and by["path"] == ["<path/>"] and by["svg"] == ["<svg><path/></svg>"]
+    assert d["text"][d["t0"][d["tag"].index("div")] : d["t1"][d["tag"].index("div")]].decode() == "é\nab & c12"
+
+
+@settings(max_examples=60, deadline=None)
+@given(trees())
+def test_source_holds_its_element(html):
+    html = "ä\n" + html
+    d = parse_html(html)
+    for i, t in enumerate(d["tag"]):
+        if t[0] != "#" and t not in ("html", "head", "body"):
+            assert outer(d, html, i).startswith(f"<{t}>") or (t, outer(d, html, i)) == ("p", "</p>")  # a stray end tag makes a p
+            p = d["parent"][i]
+            assert p < 1 or d["tag"][p] in ("html", "body") or d["s0"][p] <= d["s0"][i] <= d["s1"][i] <= d["s1"][p]
+
+
+def test_stored_pages(spark, make_dom, tmp_path):
+    from gleaner.operators import extract as X
+    from gleaner.sources.dom import explode_nodes, read_dom, write_dom
+
+    dom = make_dom("<ul><li>é1</li><li>2</li></ul>", "")
+    write_dom(dom, str(tmp_path / "dom"))
+    stored = read_dom(spark, str(tmp_path / "dom"))
+    cfg = X.ScrapeConfig.of("//li", [("t", ".")])
+    assert sorted(map(tuple, X.extract(stored, cfg).collect())) == sorted(map(tuple, X.extract(dom, cfg).collect())) == [(0, 0, False, "é1"), (0, 1, False, "2")]
+    nodes = explode_nodes(stored).filter("tag = 'ul'").collect()
+    assert [r.text_content for r in nodes] == ["é12"]
+    plan = explode_nodes(stored)._jdf.queryExecution().optimizedPlan().toString()
+    gen = [x for x in plan.splitlines() if "Generate" in x]
+    assert gen and all("text#" not in x.split("], ")[-1] for x in gen)
