@@ -599,14 +599,18 @@ def quick_scrape(dom: DataFrame, selector: str) -> DataFrame:
 
 def element_details(dom: DataFrame, selector: str) -> DataFrame:
     """For the first element matched on each page: its minimal path, text (as it stands,
-    not trimmed) and tag. ``(page_id, pre, tag, xpath, text)``."""
+    not trimmed), tag and, of pages that keep their source, html (the element as the page has it).
+    ``(page_id, pre, tag, xpath, text[, html])``."""
     _deep_plans(dom)
     from gleaner.operators.extract import matched_nodes
 
+    source = ["source"] if "source" in dom.columns else []
     first = F.get(matched_nodes(selector), 0)
-    b = dom.select("page_id", "nodes", "text", first.alias("m")).filter(F.col("m").isNotNull())
+    b = dom.select("page_id", "nodes", "text", *source, first.alias("m")).filter(F.col("m").isNotNull())
+    n = _n(F.col("m"))
+    html = [F.col("source").substr(n["s0"] + 1, n["s1"] - n["s0"]).cast("string").alias("html")] if source else []
     return b.select("page_id", F.col("m").alias("pre"), _f(F.col("m"), "tag").alias("tag"),
-                    minimal_path(F.col("m"))["xpath"].alias("xpath"), _text(F.col("m")).alias("text"))
+                    minimal_path(F.col("m"))["xpath"].alias("xpath"), _text(F.col("m")).alias("text"), *html)
 
 
 def inference_report(dom: DataFrame, selector: str) -> DataFrame:

@@ -482,3 +482,62 @@ SELECT p_partkey AS file,
   (p_partkey % 10 < 2)::BIGINT AS imported, (p_partkey % 10 = 1)::BIGINT AS skipped_system, CASE WHEN p_partkey % 10 < 2 THEN p_partkey::VARCHAR ELSE '' END AS ids
 FROM part
 """
+
+
+# ---- rows whose limits and rules bind on the data ------------------------------------------
+ORACLES["heading_html"] = "SELECT page_id, regexp_extract(html, '(?s)<h1>.*?</h1>') AS html FROM pages WHERE contains(html, '<h1>')"
+ORACLES["event_queue_bound"] = """
+SELECT event_id, user_id, event_type AS name, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20
+"""
+ORACLES["recent_types_bound"] = """
+WITH l AS (SELECT user_id, event_type AS selector, max(ts) AS last_used FROM events WHERE event_type <> 'click' GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last_used DESC, selector)::INTEGER AS rank FROM l QUALIFY rank <= 2
+"""
+ORACLES["url_rules_mixed"] = """
+WITH r(n, scrapable, rejection, is_http, context) AS (VALUES
+  (0, true, NULL, true, 'unknown'), (1, true, NULL, true, 'unknown'), (2, false, 'chrome://', false, 'unknown'), (3, false, 'about:', false, 'unknown'),
+  (4, false, 'chrome-extension://', false, 'sidepanel'), (5, false, 'https://chromewebstore.google.com/', true, 'unknown'), (6, false, 'file://', false, 'unknown'),
+  (7, false, 'ftp://', false, 'unknown'), (8, false, 'ftps://', false, 'unknown'), (9, false, 'ws://', false, 'unknown'), (10, false, 'wss://', false, 'unknown'),
+  (11, false, 'blob://', false, 'unknown'), (12, false, 'data://', false, 'unknown'), (13, false, '^https://chrome\.google\.com/(.+/)?webstore/', true, 'unknown'),
+  (14, false, '^https://chrome\.google\.com/(.+/)?webstore/', true, 'unknown'), (15, true, NULL, true, 'unknown'),
+  (16, false, NULL, false, 'unknown'), (17, true, NULL, true, 'unknown'), (18, false, 'chrome-extension://', false, 'options'), (19, false, 'chrome-extension://', false, 'full_data_view'), (20, true, NULL, true, 'unknown'))
+SELECT c_custkey AS id, scrapable, rejection, is_http, context FROM customer LEFT JOIN r ON n = c_custkey % 21
+"""
+ORACLES["events_cleaned"] = """
+WITH e AS (SELECT event_id, event_id % 7 < 2 AS dead, json_extract_string(props, '$.k') AS k FROM events),
+m AS (SELECT event_id, dead, list_concat(['k=' || k], CASE WHEN event_id % 2 = 1 THEN ['referrer=r'] ELSE [] END,
+  CASE WHEN event_id % 3 = 0 THEN (CASE WHEN event_id % 9 = 0 THEN ['preset_id=sys-images', 'preset_name=null'] ELSE ['preset_id=null', 'preset_name=null'] END) ELSE ['x=u1'] END,
+  CASE WHEN event_id % 3 = 1 THEN ['preset_id=null', 'preset_name=null'] ELSE ['y=mine'] END) AS c FROM e)
+SELECT event_id, dead, array_to_string(list_sort(c), ';') AS props FROM m
+"""
+_NAV = """
+x AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS u, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS t FROM pages),
+l AS MATERIALIZED (SELECT page_id, i::INTEGER AS original_index, trim(t[i + 1]) AS anchor_text, u[i + 1] AS url, len(u) AS n FROM (SELECT *, unnest(range(len(u))) AS i FROM x)),
+k AS (SELECT * FROM l WHERE page_id % 5 = 0 OR page_id % 2 = 0 AND original_index < 2)
+"""
+ORACLES["links_exported"] = f"""
+WITH {_NAV},
+c AS (SELECT page_id, count(*) AS selected FROM k GROUP BY page_id)
+SELECT page_id, original_index, anchor_text, url FROM l LEFT JOIN c USING (page_id)
+WHERE selected IS NULL OR selected = n OR page_id % 2 = 0 AND original_index < 2
+"""
+ORACLES["links_selected"] = f"""
+WITH {_NAV}
+SELECT page_id, count(*) FILTER (hit) AS filtered_rows, count(*) FILTER (hit AND (page_id % 5 = 0 OR page_id % 2 = 0 AND original_index < 2)) AS selected_rows
+FROM (SELECT *, contains(lower(anchor_text), 'th') OR contains(lower(url), 'th') AS hit FROM l) GROUP BY page_id
+"""
+ORACLES["links_view"] = f"""
+WITH {_NAV},
+f AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY lower(anchor_text) DESC, original_index) AS display_index, count(*) OVER (PARTITION BY page_id) AS shown
+  FROM l WHERE contains(url, '/') AND (contains(lower(anchor_text), 'e') OR contains(lower(url), 'e')))
+SELECT page_id, original_index, anchor_text, display_index::INTEGER AS display_index FROM f WHERE (display_index - 1) // 2 = least(1, (shown + 1) // 2 - 1)
+"""
+ORACLES["links_csv"] = f"""
+WITH {_NAV}
+SELECT '"' || page_id || '","' || original_index || '","' || replace(anchor_text || CASE WHEN page_id % 3 = 0 THEN ' "q", x' ELSE '' END, '"', '""') || '","' || replace(url, '"', '""') || '"' AS line FROM l
+"""
+ORACLES["links_sheet"] = f"""
+WITH {_NAV}
+SELECT DISTINCT page_id, 0::INTEGER AS row_number, '["Text","Url"]' AS values_json FROM l
+UNION ALL SELECT page_id, original_index + 1, to_json([anchor_text, url])::VARCHAR FROM l
+"""

@@ -26,11 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, sf_dir: str, kind: str, pages: Callable[[], DataFrame]) -> DataFrame:
-    """Parsed pages, written to the shared folder by the first query of an application that needs them."""
+    """Parsed pages, written to the shared folder by the first query of an application that needs them; of kind
+    'source' with their source."""
     key = (spark.sparkContext.applicationId, f"{sf_dir}#{kind}")
     if key not in _STORED:
         path = _folder(spark, "dom")
-        write_dom(parse_dom(pages(), min_partitions=spark.sparkContext.defaultParallelism), path)
+        write_dom(parse_dom(pages(), min_partitions=spark.sparkContext.defaultParallelism, source=kind == "source"), path)
         _STORED[key] = path
     return read_dom(spark, _STORED[key])
 
@@ -610,3 +611,106 @@ QUERIES.update({
     "preset_search": preset_search,
     "preset_imports": preset_imports,
 })
+
+
+# ---- rows whose limits and rules bind on the data ------------------------------------------
+def heading_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first heading's html, as its page has it."""
+    dom = _stored(spark, sf_dir, "source", lambda: table(spark, sf_dir, "pages"))
+    return G.element_details(dom, "//h1").select("page_id", "html")
+
+
+def event_queue_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1 + L8: queues of twenty events; users have up to eighty-six."""
+    ev = E.from_table(table(spark, sf_dir, "events"))
+    return E.bounded_queue(ev, 20).select("event_id", "user_id", "name", "ts")
+
+
+def recent_types_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L5 + W4 + L6: the two most recent of five kinds of events per user, one kind forgotten."""
+    ev = table(spark, sf_dir, "events").select("user_id", F.concat(F.lit(" "), "event_type").alias("selector"), "ts")
+    return V.recent_selectors(V.remove_recent(ev, " click "), k=2)
+
+
+def url_rules_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4 + S5 + S6 + E10: URLs of every blocked kind, allowed ones like them, and an extension's own pages."""
+    k = F.col("c_custkey")
+    urls = [
+        "https://a.example/", "http://a.example/webstore/", "chrome://settings", "about:blank", "chrome-extension://id/sidepanel.html", "https://chromewebstore.google.com/x",
+        "file:///etc", "ftp://h/", "ftps://h/", "ws://h", "wss://h", "blob://x", "data://x", "https://chrome.google.com/webstore/a", "https://chrome.google.com/a/b/webstore/",
+        "https://chrome.google.com/maps", "", "http://h", "chrome-extension://id/options.html?x=1", "chrome-extension://id/full-data-view.html", "https://a.example/popup",
+    ]
+    url = F.element_at(F.array(*[F.lit(u) for u in urls]), (k % len(urls) + 1).cast("int"))
+    c = table(spark, sf_dir, "customer").select(k.alias("id"), url.alias("url"))
+    return c.select("id", U.is_scrapable("url").alias("scrapable"), U.rejection_pattern("url").alias("rejection"), U.is_http("url").alias("is_http"), U.classify_context("url").alias("context"))
+
+
+def events_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E7 + E8 + E9: denied properties removed, user presets masked, events without a name set aside."""
+    ev = table(spark, sf_dir, "events")
+    i = F.col("event_id")
+    props = F.create_map(
+        F.lit("k"), F.get_json_object("props", "$.k"),
+        F.when(i % 2 == 0, "$referrer").otherwise("referrer"), F.lit("r"),
+        F.when(i % 3 == 0, "preset_id").otherwise("x"), F.when(i % 9 == 0, "sys-images").otherwise("u1"),
+        F.when(i % 3 == 1, "preset_name").otherwise("y"), F.lit("mine"),
+    )
+    name = F.when(i % 7 == 0, F.lit("")).when(i % 7 == 1, F.lit(None)).otherwise(F.col("event_type"))
+    valid, dead = E.valid_events(ev.select("event_id", name.alias("name"), props.alias("props")))
+    done = valid.withColumn("dead", F.lit(False)).unionByName(dead.withColumn("dead", F.lit(True)))
+    done = E.mask_preset_props(E.deny_props(done))
+    cells = F.transform(F.array_sort(F.map_keys("props")), lambda k: F.concat(k, F.lit("="), F.coalesce(F.get(F.map_values(F.map_filter("props", lambda n, _: n == k)), 0), F.lit("null"))))
+    return done.select("event_id", "dead", F.array_join(cells, ";").alias("props"))
+
+
+def _selection(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Navigation links, and a selection: the first links of even pages, all links of pages divisible by five."""
+    links = _links(spark, sf_dir)
+    keys = links.filter((F.col("page_id") % 5 == 0) | (F.col("page_id") % 2 == 0) & (F.col("original_index") < 2)).select("page_id", "original_index")
+    return links, keys
+
+
+def links_exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V8 + V9 + V10: the rows an export takes: a page's selection, or all if all or none are selected."""
+    links, keys = _selection(spark, sf_dir)
+    return V.hide(V.rows_to_export(links, keys, show_empty=False), ["rel", "target"]).select("page_id", "original_index", "anchor_text", "url")
+
+
+def links_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3 + V8: rows that a search leaves and how many of them are selected, per page."""
+    links, keys = _selection(spark, sf_dir)
+    return V.view_counts(links, "th", keys)
+
+
+def links_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L4: empty filter, a column filter, a search, a sort and the second page of two, per page."""
+    spec = V.ViewSpec(column_filters={"url": "/"}, term="e", sort=[("anchor_text", False)], page_index=1, page_size=2)
+    return V.view(_links(spark, sf_dir), spec).select("page_id", "original_index", "anchor_text", "display_index")
+
+
+def links_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1 + F13: the links as CSV, read back as lines without the headers."""
+    path = _folder(spark, "csv")
+    links = _links(spark, sf_dir)
+    text = F.concat("anchor_text", F.when(F.col("page_id") % 3 == 0, F.lit(' "q", x')).otherwise(""))
+    K.write_csv(links.withColumn("anchor_text", text), path, columns=["page_id", "original_index", "anchor_text", "url"], names=["Page", "Row", "Text", "Url"])
+    return spark.read.text(path).filter("value <> '\"Page\",\"Row\",\"Text\",\"Url\"'").select(F.col("value").alias("line"))
+
+
+def links_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5: the links as spreadsheet rows, header first."""
+    return K.sheet_values(_links(spark, sf_dir).select("page_id", "original_index", "is_empty", "anchor_text", "url"), names=["Text", "Url"])
+
+
+QUERIES.update({
+    "heading_html": heading_html,
+    "event_queue_bound": event_queue_bound,
+    "recent_types_bound": recent_types_bound,
+    "url_rules_mixed": url_rules_mixed,
+    "events_cleaned": events_cleaned,
+    "links_exported": links_exported,
+    "links_selected": links_selected,
+    "links_view": links_view,
+    "links_csv": links_csv,
+    "links_sheet": links_sheet,
+})

@@ -187,7 +187,7 @@ def sheet_values(res: DataFrame, columns=None, names=None) -> DataFrame:
     import json
 
     head = res.select("page_id").distinct().select(
-        "page_id", F.lit(0).alias("row_number"), F.lit(json.dumps(list(header), ensure_ascii=False)).alias("values_json")
+        "page_id", F.lit(0).alias("row_number"), F.lit(json.dumps(list(header), ensure_ascii=False, separators=(",", ":"))).alias("values_json")
     )
     return head.unionByName(body)
 
