@@ -33,16 +33,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from gleaner.llm.common import map_columns
+from gleaner.llm.common import cut, map_columns
 
 MIN_PAGES, MIN_SHARE, MIN_SIZE = 3, 0.5, 2
+#: Templates of all hosts up to this size are broadcast, and no page is moved.
+BROADCAST_BYTES = 64 << 20
+#: Beyond it, the pages of the hosts with the most pages are dealt to ``SALTS`` tasks each.
+HOT_HOSTS, SALTS = 10_000, 64
 
 _TOKEN = re.compile(
     r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|</(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)"
     r"|<(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<odd>[a-zA-Z][^\s/>]*+)(?P<rest>[^>]*+)(?:>|\Z)",
     re.S,
 )
-_ATTR = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: Every attribute in turn, so that a name inside a value or a longer name is none.
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_MARKS = re.compile("class|id|role|hidden|style", re.I)
 
 #: Fixed values of the HTML standard: elements without an end tag, with raw text, and in-line ones.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -75,100 +81,124 @@ def token(*parts: str) -> int:
 
 
 class Run:
-    """A piece of text: its words as they stand, whether a block begins before it, and where it is."""
-
-    __slots__ = ("text", "breaks", "paths", "furniture", "article")
-
-    def __init__(self, text: str, breaks: bool, paths: tuple[int, ...], furniture: bool, article: bool) -> None:
-        self.text, self.breaks, self.paths, self.furniture, self.article = text, breaks, paths, furniture, article
-
-
-def scan(page: str) -> tuple[list[int], list[Run]]:
-    """The page's tag tokens in order, and its texts."""
-    tags: list[int] = []
-    runs: list[Run] = []
-    stack: list[tuple[str, str, int, bool]] = []  # name, path, furniture (1 by a word, 2 by element), article
-    paths: list[int] = []
-    at, breaks, n = 0, True, len(page)
-
-    def text(s: str) -> None:
-        nonlocal breaks
-        if s:
-            top = stack[-1] if stack else ("", "", 0, False)
-            runs.append(Run(entities.unescape(s), breaks, tuple(paths), top[2] > 0, top[3]))
-            breaks = False
-
-    def close(name: str) -> None:
-        nonlocal breaks
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == name:
-                del stack[k:], paths[k:]
-                break
-        if name not in INLINE:
-            breaks = True
-
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:  # inside raw text
-            continue
-        text(page[at : m.start()])
-        at = m.end()
-        if m["end"]:
-            close(m["end"].lower())
-            continue
-        name = (m["tag"] or m["odd"] or "").lower()
-        if not name:
-            continue
-        attrs = m["attrs"] or m["rest"] or ""
-        if name not in INLINE:
-            breaks = True
-        if name in VOID:
-            continue
-        if name in CLOSES_P and any(s[0] == "p" for s in stack):
-            close("p")
-        elif name in ("li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
-            close(name)
-        words: set[str] = set()
-        mark = hidden = ""
-        if attrs.strip("/ \n\t"):
-            for a in _ATTR.finditer(attrs):
-                key, value = a[1].lower(), (a[2] or "").strip("\"'").lower()
-                if key == "class":
-                    mark = value
-                if key in ("class", "id", "role"):
-                    words.update(value.split())
-                elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-                    hidden = "1"
-        _, above, furniture, article = stack[-1] if stack else ("", "", 0, False)
-        own = name in ("article", "main") or "main" in words and name not in FURNITURE
-        # a word on a wrapper does not reach the article below it; an article within an article is a comment or the like
-        if own and furniture == 1 and not any(s[0] == "article" for s in stack):
-            furniture = 0
-        if name in FURNITURE or hidden:
-            furniture = 2
-        elif not furniture and name not in ("html", "body", "main") and words & FURNITURE_WORDS:
-            furniture = int(name != "article" or bool(words & {"comment", "comments", "reply", "replies", "ad", "ads", "promo", "sponsored"}))
-        path = f"{above}/{name}.{mark}" if mark else f"{above}/{name}"
-        stack.append((name, path, furniture, article or own and not furniture))
-        tags.append(token("tag", path))
-        paths.append(tags[-1] if name not in INLINE else paths[-1] if paths else 0)
-        if name in RAW:
-            end = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
-            stop = end.start() if end else n
-            text(page[at:stop])
-            at = stop
-    text(page[at:])
-    return tags, runs
-
-
-def blocks(runs: list[Run]) -> list[tuple[int, list[Run]]]:
+    """A piece of text: its words as they stand, whether a block begins before it, and the block that it is in."""
+
+    __slots__ = ("text", "breaks", "node", "furniture", "article")
+
+    def __init__(self, text: str, breaks: bool, node: int, furniture: bool, article: bool) -> None:
+        self.text, self.breaks, self.node, self.furniture, self.article = text, breaks, node, furniture, article
+
+
+def marks(attrs: str) -> tuple[set[str], str, bool]:
+    """The words of class, id and role, the class as it stands, and whether the element is hidden."""
+    words: set[str] = set()
+    mark, hidden = "", False
+    if _MARKS.search(attrs):
+        seen: set[str] = set()
+        for a in _ATTR.finditer(attrs):
+            key, value = a[1].lower(), (a[2] or "").strip("\"'").lower()
+            if key in seen:  # the first of several counts
+                continue
+            seen.add(key)
+            if key == "class":
+                mark = value
+            if key in ("class", "id", "role"):
+                words.update(value.split())
+            elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
+                hidden = True
+    return words, mark, hidden
+
+
+class Scan:
+    """A page read once: the tokens of its tags, its texts, and its blocks.
+
+    A block knows its parent and its path's token, which is made of the parent's; so an element costs the same
+    however deep it stands. In-line elements belong to the block they are in.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.tags: list[int] = []
+        self.runs: list[Run] = []
+        self.parent, self.path = [-1], [0]
+        self._read(page)
+
+    def _read(self, page: str) -> None:
+        stack: list[tuple[str, int, int, int, bool]] = []  # name, path, block, furniture (1 by a word, 2 by element), article
+        opened: dict[str, int] = {}
+        at, breaks, n = 0, True, len(page)
+
+        def text(s: str) -> None:
+            nonlocal breaks
+            if s:
+                _, _, block, furniture, article = stack[-1] if stack else ("", 0, 0, 0, False)
+                self.runs.append(Run(entities.unescape(s), breaks, block, furniture > 0, article))
+                breaks = False
+
+        def close(name: str) -> None:
+            nonlocal breaks
+            if opened.get(name):
+                while True:
+                    top = stack.pop()[0]
+                    opened[top] -= 1
+                    if top == name:
+                        break
+            if name not in INLINE:
+                breaks = True
+
+        # always on from the place reached: what looks like markup inside raw text begins none
+        while m := _TOKEN.search(page, at):
+            text(page[at : m.start()])
+            at = m.end()
+            if m["end"]:
+                close(m["end"].lower())
+                continue
+            name = (m["tag"] or m["odd"] or "").lower()
+            if not name:
+                continue
+            if name not in INLINE:
+                breaks = True
+            if name in VOID:
+                continue
+            if name in CLOSES_P and opened.get("p"):
+                close("p")
+            elif name in ("li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
+                close(name)
+            words, mark, hidden = marks(m["attrs"] or m["rest"] or "")
+            _, above, block, furniture, article = stack[-1] if stack else ("", 0, 0, 0, False)
+            own = name in ("article", "main") or "main" in words and name not in FURNITURE
+            # a word on a wrapper does not reach the article below it; an article within an article is a comment or the like
+            if own and furniture == 1 and not opened.get("article"):
+                furniture = 0
+            heading = name == "header" and article and not furniture  # the article's own
+            if name in FURNITURE and not heading or hidden:
+                furniture = 2
+            elif not furniture and name not in ("html", "body", "main") and words & FURNITURE_WORDS:
+                furniture = int(name != "article" or bool(words & {"comment", "comments", "reply", "replies", "ad", "ads", "promo", "sponsored"}))
+            path = token("tag", str(above), f"{name}.{mark}" if mark else name)
+            self.tags.append(path)
+            if name not in INLINE:
+                self.parent.append(block)
+                self.path.append(path)
+                block = len(self.path) - 1
+            stack.append((name, path, block, furniture, article or own and not furniture))
+            opened[name] = opened.get(name, 0) + 1
+            if name in RAW:
+                end = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
+                stop = end.start() if end else n
+                text(page[at:stop])
+                at = stop
+        text(page[at:])
+
+
+def blocks(page: Scan) -> list[tuple[int, list[Run]]]:
     """The texts between two block borders, furniture apart: their token and pieces."""
     found: dict[tuple[int, bool], list[Run]] = {}
     n = 0
-    for r in runs:
+    for r in page.runs:
         n += r.breaks
         found.setdefault((n, r.furniture), []).append(r)
     worded = ((rs, " ".join("".join(r.text for r in rs).split())) for rs in found.values())
-    return [(token("text", str(rs[0].paths[-1:]), words), rs) for rs, words in worded if words]
+    return [(token("text", str(page.path[rs[0].node]), words), rs) for rs, words in worded if words]
 
 
 def distinct_pages(pages: DataFrame) -> DataFrame:
@@ -178,8 +208,8 @@ def distinct_pages(pages: DataFrame) -> DataFrame:
         for batch in batches:
             found = []
             for page in batch.column("html").to_pylist():
-                tags, runs = scan(page or "")
-                found.append((token("page", page or ""), tags, [t for t, _ in blocks(runs)]))
+                read = Scan(page or "")
+                found.append((token("page", page or ""), read.tags, [t for t, _ in blocks(read)]))
             types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             made = [pa.array([f[i] for f in found], t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([batch.column("host"), *made], names=["host", "page", "tags", "texts"])
@@ -233,18 +263,16 @@ def occurrences(pages: DataFrame) -> DataFrame:
 def templates(pages: DataFrame) -> DataFrame:
     """(host, tags, texts): the tokens of each host's valid equivalence classes."""
     occ = occurrences(pages)
-    of_host = F.max(F.when(F.col("has_page"), F.col("pages"))).alias("host_pages")
     # most texts stand on one page: they go before the second aggregation
-    classes = occ.filter((F.col("pages") >= MIN_PAGES) | (F.col("token") == 0)).groupBy("host", "a", "b", "pages", "total").agg(
-        F.collect_list(F.when(F.col("is_tag") & (F.col("token") != 0), F.col("token"))).alias("tags"),
-        F.collect_list(F.when(~F.col("is_tag"), F.col("token"))).alias("texts"),
-        F.max(F.col("token") == 0).alias("has_page"),
-    ).filter(F.col("has_page") | (F.size("tags") + F.size("texts") >= MIN_SIZE))
-    # rows of a host are its large classes and the one of the page itself: few, whatever its number of pages
-    by_host = classes.groupBy("host").agg(of_host, F.collect_list(F.struct("pages", "tags", "texts")).alias("classes"))
-    frequent = F.filter("classes", lambda c: (c["pages"] >= MIN_PAGES) & (c["pages"] >= MIN_SHARE * F.col("host_pages")))
-    return by_host.select("host", frequent.alias("classes")).select(
-        "host", F.flatten(F.transform("classes", lambda c: c["tags"])).alias("tags"), F.flatten(F.transform("classes", lambda c: c["texts"])).alias("texts")
+    classes = occ.filter((F.col("pages") >= MIN_PAGES) & (F.col("token") != 0)).groupBy("host", "a", "b", "pages", "total").agg(
+        F.collect_list(F.when(F.col("is_tag"), F.col("token"))).alias("tags"), F.collect_list(F.when(~F.col("is_tag"), F.col("token"))).alias("texts")
+    ).filter(F.size("tags") + F.size("texts") >= MIN_SIZE)
+    seen = pages.select(host(F.col("url")).alias("host"), F.xxhash64(F.coalesce("html", F.lit(""))).alias("page")).distinct()
+    of_host = seen.groupBy("host").agg(F.count("*").alias("host_pages"))
+    # only classes on half of a host's pages are gathered: no more tokens than two of its pages have
+    frequent = classes.join(of_host, "host").filter(F.col("pages") >= MIN_SHARE * F.col("host_pages"))
+    return frequent.groupBy("host").agg(
+        F.max("host_pages").alias("host_pages"), F.flatten(F.collect_list("tags")).alias("tags"), F.flatten(F.collect_list("texts")).alias("texts")
     )
 
 
@@ -254,8 +282,9 @@ def length(runs: list[Run]) -> int:
 
 def main_text(page: str, tags: frozenset[int], texts: frozenset[int]) -> str:
     """The text of the page's article slots, without the template's texts."""
-    _, runs = scan(page)
-    kept = [(t, r) for t, rs in blocks(runs) for r in rs if not r.furniture]
+    read = Scan(page)
+    runs = read.runs
+    kept = [(t, r) for t, rs in blocks(read) for r in rs if not r.furniture]
     own = [r for t, r in kept if t not in texts]
     if not any(r.text.strip() for r in own):
         own = [r for _, r in kept]
@@ -264,15 +293,21 @@ def main_text(page: str, tags: frozenset[int], texts: frozenset[int]) -> str:
     if 2 * length(inside) < length(article):
         inside = article
     if not inside:
-        slots: dict[tuple[int, ...], int] = {}
+        # each block's nearest template block, itself included; blocks come after their parents
+        near = [0]
+        for i in range(1, len(read.path)):
+            near.append(i if not tags or read.path[i] in tags else near[read.parent[i]])
+        slots: dict[int, int] = {}
         for r in own:
-            last_tag = next((i for i in range(len(r.paths) - 1, -1, -1) if not tags or r.paths[i] in tags), -1)
-            slot = r.paths[: last_tag + 1]
-            slots[slot] = slots.get(slot, 0) + len(r.text.strip())
-        best = max(slots, key=lambda s: slots[s], default=())
+            slots[read.path[near[r.node]]] = slots.get(read.path[near[r.node]], 0) + len(r.text.strip())
+        best = max(slots, key=lambda s: slots[s], default=0)
         # the largest slot's container: its headings, lists and further paragraphs stand beside it
-        around = best[:-1] if len(best) > 1 else best
-        inside = [r for r in own if r.paths[: len(around)] == around]
+        parents = [read.path[read.parent[i]] for i in range(1, len(read.path)) if read.path[i] == best and read.parent[i] > 0]
+        around = parents[0] if parents else best
+        under = [around == 0]
+        for i in range(1, len(read.path)):
+            under.append(read.path[i] == around or under[read.parent[i]])
+        inside = [r for r in own if under[r.node]]
     parts: list[str] = []
     last: Run | None = None
     places = {id(r): i for i, r in enumerate(runs)}
@@ -285,10 +320,22 @@ def main_text(page: str, tags: frozenset[int], texts: frozenset[int]) -> str:
     return " ".join("".join(parts).split())
 
 
-def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """``keep`` columns, ``text`` and ``n_chars`` of each page, from its host's template."""
-    found = templates(pages).select(F.col("host").alias("__host"), F.col("tags").alias("__tags"), F.col("texts").alias("__texts"))
+def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``keep`` columns, ``text`` and ``n_chars`` of each page, from its host's template.
+
+    Templates are written and measured. Up to ``broadcast_bytes`` they go to the pages; beyond, both meet by
+    host, and the pages of the ``HOT_HOSTS`` hosts with the most pages by host and salt, so that no task has such a host whole.
+    """
+    found = cut(templates(pages).select(F.col("host").alias("__host"), F.col("tags").alias("__tags"), F.col("texts").alias("__texts"), "host_pages"))
+    size = found.agg(F.sum(F.octet_length("__host") + 8 * (F.size("__tags") + F.size("__texts")) + 64)).first()[0] or 0
     plain = pages.select(*[F.col(f"`{c}`") for c in keep], F.col("html").alias("__html"), host(F.col("url")).alias("__host"))
+    if size <= broadcast_bytes:
+        joined = plain.join(F.broadcast(found.drop("host_pages")), "__host", "left")
+    else:
+        hot = found.orderBy(F.col("host_pages").desc(), "__host").limit(HOT_HOSTS).select("__host", F.lit(SALTS).alias("__salts"))
+        salted = plain.join(F.broadcast(hot), "__host", "left").withColumn("__salt", F.pmod(F.xxhash64("__html"), F.coalesce("__salts", F.lit(1))).cast("int")).drop("__salts")
+        dealt = found.join(F.broadcast(hot), "__host", "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)))
+        joined = salted.join(dealt.select("__host", "__salt", "__tags", "__texts"), ["__host", "__salt"], "left")
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         known: dict[str, tuple[frozenset[int], frozenset[int]]] = {}
@@ -300,5 +347,4 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> Dat
             out.append(main_text(page or "", *known[h]))
         return {"text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64())}
 
-    joined = plain.join(found, "__host", "left")
     return map_columns(joined, run, [StructField("text", StringType()), StructField("n_chars", LongType())], keep, ["__host", "__tags", "__texts", "__html"])
