@@ -40,7 +40,7 @@ def quantized(vectors: DataFrame, dimensions: int = DIMENSIONS, scale: int = SCA
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))))
     scaled = lambda v: F.greatest(F.least(F.floor(F.lit(float(scale)) * v.cast("double")), F.lit(BOUND)), F.lit(-BOUND))
     bounded = lambda v: F.greatest(F.least(v.cast("double"), F.lit(float(BOUND))), F.lit(-float(BOUND)))
-    return vectors.filter((F.size(x) == dimensions) & finite).select("vec_id", F.transform(x, lambda v: scaled(bounded(v)).cast("int")).alias("q"))
+    return vectors.filter((F.size(x) == dimensions) & finite).select("vec_id", F.transform(x, lambda v: scaled(bounded(v)).cast("long")).alias("q"))
 
 
 def first_centroids(q: DataFrame, k: int = K, seed: int = SEED) -> list[list[int]]:
@@ -54,15 +54,15 @@ def nearest(q: Column, centroids: list[list[int]]) -> Column:
 
     def distance(centroid: list[int]) -> Column:
         literal = F.expr("array(" + ",".join(f"{c}L" for c in centroid) + ")")
-        gap = F.zip_with(q, literal, lambda a, b: (a.cast("long") - b) * (a.cast("long") - b))
-        return F.aggregate(gap, F.lit(0).cast("long"), lambda total, g: total + g)
+        gap = F.zip_with(q, literal, lambda a, b: a - b)
+        return F.aggregate(gap, F.lit(0).cast("long"), lambda total, g: total + g * g)
 
     return F.array_min(F.array(*[F.struct(distance(c).alias("distance"), F.lit(i).alias("cluster")) for i, c in enumerate(centroids)]))
 
 
 def moved(q: DataFrame, centroids: list[list[int]]) -> list[list[int]]:
     """Centroids after one round; those without vectors stay."""
-    sums = [F.expr(f"sum(cast(get(q, {i}) AS BIGINT)) AS s{i}") for i in range(len(centroids[0]))]
+    sums = [F.expr(f"sum(get(q, {i})) AS s{i}") for i in range(len(centroids[0]))]
     rows = q.select("q", nearest(F.col("q"), centroids)["cluster"].alias("cluster")).groupBy("cluster").agg(F.count("*").alias("n"), *sums).collect()
     new = list(centroids)
     for r in rows:
