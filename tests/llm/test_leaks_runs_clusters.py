@@ -262,3 +262,14 @@ def test_few_far_and_no_vectors(spark):
     assert len(got) == 9 and all(r["distance"] >= 0 for r in got)
     q = centroid_clusters.quantized(vectors(spark, far)).first()["q"]
     assert {abs(x) for x in q} == {centroid_clusters.BOUND}
+
+
+def test_language_model_scores_follow_from_the_table_alone(spark):
+    from gleaner.llm import lm_scoring
+
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    got = [{r["doc_id"]: (r["score"], r["base_score"]) for r in lm_scoring.score(docs.repartition(n, "text") if n > 1 else docs.coalesce(1)).collect()} for n in (1, 3, 8)]
+    for other in got[1:]:
+        assert got[0].keys() == other.keys()
+        for k, (score, base) in got[0].items():
+            assert abs(score - other[k][0]) < 1e-3 + 1e-6 * abs(score) and abs(base - other[k][1]) < 1e-6 * (1 + abs(base))
