@@ -128,7 +128,8 @@ def count_matches(dom: DataFrame, selector: str) -> DataFrame:
 def validate_selector(dom: DataFrame, selector: str) -> DataFrame:
     """One row ``(selector, match_count, error)`` over all pages, counting HTML elements.
 
-    Syntax errors give ``(0, 'Invalid XPath')`` without running a job; a valid selector
+    Syntax errors give ``(0, 'Invalid XPath')``, valid selectors outside the subset ``(0, 'Unsupported
+    XPath: ...')``, without running a job; a valid selector
     (of attributes too, which are no elements) has no error and is counted with a partial
     aggregate (map-side sums, one tiny final merge)."""
     spark = dom.sparkSession
@@ -138,6 +139,8 @@ def validate_selector(dom: DataFrame, selector: str) -> DataFrame:
         return spark.createDataFrame(
             [(selector, 0, "Invalid XPath")], "selector string, match_count long, error string"
         )
+    except UnsupportedXPath as e:
+        return spark.createDataFrame([(selector, 0, f"Unsupported XPath: {e}")], "selector string, match_count long, error string")
     cnt = F.size(matched_nodes(selector)) if nodes else F.lit(0)
     counts = dom.select(cnt.cast("long").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("match_count"))
     return counts.select(

@@ -80,21 +80,19 @@ def table_headers(t, row) -> Column:
     """Header cells (ARRAY<INT>) for ``row`` of table ``t``: the last row of the first
     thead (its th children); else the nearest earlier row of the table having th children;
     else every th of the table."""
-    thead = F.get(F.filter(_desc(t), lambda m: _f(m, "tag") == "thead"), 0)
-    thead_rows = F.filter(_desc(thead), lambda m: _f(m, "tag") == "tr")
-    h1 = F.when(
-        thead.isNotNull() & (F.size(thead_rows) > 0),
-        _children(F.element_at(thead_rows, -1), _tag_is("th")),
-    ).otherwise(F.array().cast("array<int>"))
-    above = F.filter(
-        _desc(t),
-        lambda m: (_f(m, "tag") == "tr") & (m < row) & F.exists(_children(m), lambda c: _f(c, "tag") == "th"),
-    )
-    h2 = F.when(F.size(above) > 0, _children(F.element_at(above, -1), _tag_is("th"))).otherwise(
-        F.array().cast("array<int>")
-    )
-    h3 = F.filter(_desc(t), lambda m: _f(m, "tag") == "th")
-    return F.when(F.size(h1) > 0, h1).when(F.size(h2) > 0, h2).otherwise(h3)
+    none = F.array().cast("array<int>")
+    is_th = _tag_is("th")
+
+    # each step is bound by _let: an expression that stands in a lambda would be evaluated for every element of it
+    def of_last(rows: Column) -> Column:
+        return F.when(F.size(rows) > 0, _let(F.element_at(rows, -1), lambda r: _children(r, is_th))).otherwise(none)
+
+    thead = F.get(F.filter(_desc(t), _tag_is("thead")), 0)
+    in_thead = _let(thead, lambda h: F.when(h.isNotNull(), _let(F.filter(_desc(h), _tag_is("tr")), of_last)).otherwise(none))
+    above = F.filter(_desc(t), lambda m: (_f(m, "tag") == "tr") & (m < row) & F.exists(_children(m), is_th))
+    every = F.filter(_desc(t), is_th)
+    first_of = lambda a, rest: _let(a, lambda x: F.when(F.size(x) > 0, x).otherwise(rest))
+    return first_of(in_thead, first_of(_let(above, of_last), every))
 
 
 def _column_names(headers: Column, ncols: Column) -> Column:

@@ -541,3 +541,35 @@ WITH {_NAV}
 SELECT DISTINCT page_id, 0::INTEGER AS row_number, '["Text","Url"]' AS values_json FROM l
 UNION ALL SELECT page_id, original_index + 1, to_json([anchor_text, url])::VARCHAR FROM l
 """
+
+
+# ---- column templates by rule ----------------------------------------------------------------
+ORACLES["element_templates"] = """
+WITH t(tag, columns, on_pages, on_customer, on_part) AS (VALUES
+  ('html', 'Text=.', 1, 1, 1), ('head', 'Text=.', 1, 1, 1), ('meta', 'Text=.', 1, 1, 1), ('title', 'Text=.', 1, 1, 1), ('body', 'Text=.', 1, 1, 1),
+  ('style', 'Text=.', 1, 0, 0), ('script', 'Text=.', 1, 0, 0), ('div', 'Text=.', 1, 0, 0), ('p', 'Text=.', 1, 0, 0), ('b', 'Text=.', 2, 0, 0), ('br', 'Text=.', 3, 0, 0),
+  ('nav', 'Text=.|ARIA Label=@aria-label|Links=a/@href', 1, 1, 0), ('ul', 'List Item=li', 1, 0, 0), ('li', 'List Item=.', 1, 0, 0),
+  ('a', 'Anchor text=.|URL=@href|Rel=@rel|Target=@target', 1, 1, 1), ('article', 'Text=.|ARIA Label=@aria-label|Headline=h1', 1, 0, 0),
+  ('h1', 'Heading=.|ARIA Label=@aria-label', 1, 0, 0), ('h2', 'Heading=.|ARIA Label=@aria-label', 0, 0, 1), ('footer', 'Text=.|ARIA Label=@aria-label', 1, 0, 0),
+  ('figure', 'Image Source=.//img/@src|Image Alt=.//img/@alt|Image Title=.//img/@title|Caption=figcaption|Code=pre|code|Blockquote=blockquote|Paragraph=p|Figure Text=.', 0, 1, 0),
+  ('img', 'Alt Text=@alt|Source=@src|Title=@title', 0, 1, 0), ('form', 'Action=@action|Method=@method|Input Names=.//input/@name|Input Types=.//input/@type', 0, 1, 0),
+  ('input', 'Value=@value|Placeholder=@placeholder|Name=@name|Type=@type', 0, 1, 0), ('button', 'Text=.|Value=@value|ARIA Label=@aria-label|Disabled=@disabled', 0, 1, 0),
+  ('table', 'Key=.//tr/td[1]|Name=.//tr/td[2]|Brand=.//tr/td[3]|Size=.//tr/td[4]|Price=.//tr/td[5]|Col Count=count(col)', 0, 0, 1),
+  ('thead', 'Text=.', 0, 0, 1), ('tbody', 'Text=.', 0, 0, 1), ('th', 'Text=.', 0, 0, 1), ('td', 'Text=.', 0, 0, 1),
+  ('tr', 'Key=*[1]|Name=*[2]|Brand=*[3]|Size=*[4]|Price=*[5]', 0, 0, 1))
+SELECT 'pages' AS kind, page_id, tag, columns FROM pages, t WHERE on_pages = 1 OR on_pages = 2 AND contains(html, '<b>') OR on_pages = 3 AND contains(html, '<br>')
+UNION ALL SELECT 'customer', c_custkey, tag, columns FROM customer, t WHERE on_customer = 1
+UNION ALL SELECT 'part', page_id, tag, columns FROM (SELECT DISTINCT p_partkey // 50 AS page_id FROM part), t WHERE on_part = 1
+"""
+
+ORACLES["config_edits"] = f"""
+WITH {_LIBRARY},
+c AS (SELECT id, main_selector, CASE seq % 5 WHEN 1 THEN '{{"name":"Brand","selector":"."}},{{"name":"New","selector":"."}}' WHEN 2 THEN ''
+  WHEN 3 THEN '{{"name":"' || name || '","selector":"."}}' ELSE '{{"name":"Brand","selector":"@d' || seq || '"}}' END AS columns, CASE seq % 5 WHEN 1 THEN 2 WHEN 2 THEN 0 ELSE 1 END AS n FROM l)
+SELECT id, '{{"mainSelector":"' || main_selector || '","columns":[' || columns || ']}}' AS json, n::INTEGER AS n_columns, main_selector FROM c
+"""
+ORACLES["own_recent_selectors"] = f"""
+WITH {_LIBRARY},
+u AS (SELECT ascii(event_type)::BIGINT AS user_id, '//p[' || user_id || ']' AS selector, max(ts) AS last_used FROM events GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last_used DESC, selector)::INTEGER AS rank FROM u WHERE selector NOT IN (SELECT main_selector FROM l) QUALIFY rank <= 5
+"""

@@ -714,3 +714,50 @@ QUERIES.update({
     "links_csv": links_csv,
     "links_sheet": links_sheet,
 })
+
+
+# ---- column templates by rule ----------------------------------------------------------------
+from gleaner.operators import templates as TP  # noqa: E402
+
+
+def element_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G9 + G12 + J11: the distinct column templates of each tag on every page, of plain pages, shop pages and tables."""
+    out = None
+    for kind in ("pages", "customer", "part"):
+        dom = pages_dom(spark, sf_dir) if kind == "pages" else derived_dom(spark, sf_dir, kind)
+        cells = F.array_join(F.transform("columns", lambda c: F.concat(c["name"], F.lit("="), c["selector"])), "|")
+        one = TP.element_templates(dom).select(F.lit(kind).alias("kind"), "page_id", "tag", cells.alias("columns")).distinct()
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+QUERIES["element_templates"] = element_templates
+
+
+# ---- configs as data ---------------------------------------------------------------------------
+from gleaner.operators import configs as CF  # noqa: E402
+
+
+def config_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P12 + F20: every preset's config edited in one of five ways, written as JSON and read back."""
+    p = LB.list_presets(_library(spark, sf_dir))
+    c, k = F.col("config"), F.col("seq")
+    edited = (
+        F.when(k % 5 == 1, CF.add_column(c, F.lit("  New ")))
+        .when(k % 5 == 2, CF.remove_column(c, F.lit(0)))
+        .when(k % 5 == 3, CF.rename_column(c, F.lit(0), F.col("name")))
+        .otherwise(CF.set_selector(CF.add_column(c, F.lit(" ")), F.lit(0), F.concat(F.lit("@d"), k.cast("string"))))
+    )
+    j = p.select("id", CF.config_json(edited).alias("json"))
+    back = CF.config_from_json(F.col("json"))
+    return j.select("id", "json", F.size(back["columns"]).alias("n_columns"), back["main_selector"].alias("main_selector"))
+
+
+def own_recent_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J4 + L5: the five most recent selectors of each kind of event that are no preset's."""
+    ev = table(spark, sf_dir, "events")
+    uses = ev.select(F.ascii("event_type").cast("long").alias("user_id"), F.concat(F.lit(" //p["), F.col("user_id").cast("string"), F.lit("]\n")).alias("selector"), "ts")
+    return V.recent_selectors(CF.own_selectors(uses, LB.list_presets(_library(spark, sf_dir))), k=5)
+
+
+QUERIES.update({"config_edits": config_edits, "own_recent_selectors": own_recent_selectors})

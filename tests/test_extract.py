@@ -158,3 +158,10 @@ def test_display_projection_and_config_edits(make_dom):
     assert len(X.remove_column(cfg2, 0).columns) == 2
     assert X.normalize_config(None, "//x").columns[0].selector == "."
     assert X.normalize_config(X.ScrapeConfig("//a", ())).columns == X.DEFAULT_COLUMNS
+
+
+def test_status_of_an_unsupported_selector(make_dom):
+    dom = make_dom("<p>a</p>")
+    row = X.validate_selector(dom, "//p[lang('en')]").first()
+    assert row.match_count == 0 and row.error.startswith("Unsupported XPath")
+    assert X.validate_selector(dom, "//p[").first().error == "Invalid XPath"

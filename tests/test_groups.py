@@ -4,6 +4,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.operators import groups as GR
 
@@ -150,3 +151,25 @@ def test_groups_and_plan(dom, trees, spark):
     assert before[1] == spark.conf.get("spark.sql.analyzer.maxIterations")
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert all("nodes#" not in line.split("[", 1)[-1].rsplit(")", 1)[-1] for line in plan.splitlines() if line.strip().startswith("Generate"))
+
+
+def test_templates_of_every_element(make_dom, spark):
+    from gleaner.operators import infer as G
+    from gleaner.operators import templates as TP
+
+    dom = make_dom(
+        "<form action=x><input type=radio data-b=1 data-a=2><input><select><option selected>1</select><textarea></textarea><button aria-label=l>b</button></form>"
+        "<figure><pre>c</pre><img><code>d</code></figure><pre>e</pre><dl><dt>t<dd aria-label=q>d</dl><details><summary>s</summary></details>"
+        "<section><p>x</p><h3>H</h3><h2>I</h2></section><aside>none</aside><video></video><blockquote>q</blockquote><ol><li data-x=1>1</ol><header></header>",
+        "<table><caption>c</caption><colgroup><col span=2><col></colgroup><tr><th>A<th> <th>C<tr data-r=1><td>1<td>2</table><nav><a href=u>l</a></nav><svg><a></a></svg>",
+    )
+    G._deep_plans(dom)
+    whole = F.transform(F.filter("nodes", lambda n: n["is_html"] & (n["depth"] >= 1)), lambda n: F.struct(n["pre"].alias("pre"), G.guess_columns(n["pre"]).alias("columns")))
+    plain = lambda cs: [(c["name"], c["selector"], c["key"]) for c in cs]
+    want = {(r["page_id"], r["pre"]): plain(r["columns"]) for r in dom.select("page_id", F.inline(whole)).collect()}
+    rows = TP.element_templates(dom).collect()
+    assert {(r["page_id"], r["pre"]): plain(r["columns"]) for r in rows} == want and len(rows) == len(want)
+    assert len({r["tag"] for r in rows}) > 30
+    more = TP.template_rules(spark).unionByName(TP.template_rules(spark, "caption: Words = . | {data}"))
+    got = {r["tag"]: plain(r["columns"]) for r in TP.element_templates(dom, more).collect()}
+    assert got["caption"] == [("Words", ".", None)] and got["nav"] == [("Text", ".", None), ("ARIA Label", "@aria-label", None), ("Links", "a/@href", None)]
