@@ -78,7 +78,6 @@ def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str =
 
     One aggregation finds the groups above ``limit`` rows and quantiles of their first order column.
     Only these groups are cut. Their pieces' sizes give the numbers at which pieces start."""
-    spark = df.sparkSession
     group = F.struct(*by)
     types = dict(df.dtypes)
     first = F.unix_micros(F.col(order[0]).cast("timestamp")) if types[order[0]].startswith(("timestamp", "date")) else F.col(order[0])

@@ -6,7 +6,6 @@ tests, the bench and the driver entry point, and for reading the shared checkpoi
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -54,8 +53,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
-
-
-def checkpoint_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder, for tables written to cut lineage."""
-    return os.path.join(ensure_checkpoint_dir(spark), name)

@@ -10,7 +10,6 @@ from xml.sax.saxutils import escape as _xml_escape
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gleaner.functions.text import tsv_escape
 
@@ -214,13 +213,3 @@ def write_results(res: DataFrame, path: str, partition_by: str | None = None, mo
     if partition_by and partition_by in res.columns:
         w = w.partitionBy(partition_by)
     w.parquet(path)
-
-
-RESULT_SCHEMA = T.StructType(
-    [
-        T.StructField("page_id", T.LongType()),
-        T.StructField("original_index", T.IntegerType()),
-        T.StructField("is_empty", T.BooleanType()),
-        T.StructField("data", T.MapType(T.StringType(), T.StringType())),
-    ]
-)

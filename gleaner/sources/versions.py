@@ -211,11 +211,9 @@ class VersionedTable:
         outer = [f for f in self.schema if f.name in self.partition_by]
         schema = StructType([*inner, StructField(DELETED, BooleanType()), StructField(COMMIT, StringType()), *outer])
         folders = [f"{self.path}/data/{COMMIT}={c.commit}" for c in commits]
-        fs = self._fs()
-        there = [f for f in folders if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f))]
-        if not there:
+        if not folders:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", f"{self.path}/data").parquet(*there)
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/data").parquet(*folders)
 
     def _latest_rows(self, commits: list[Commit]) -> DataFrame:
         rows = self._rows(commits)
