@@ -514,43 +514,86 @@ def test_base_score_matches_brute_force(odd, empty):
     assert lm_scoring.score(empty).count() == 0
 
 
+def id_streams(texts):
+    """Streams of ids one after the other, each with its ends, and where each begins."""
+    end = lm_scoring.END
+    parts = [[end, end, *t, end] for t in texts]
+    return np.array(sum(parts, []), np.int32), np.cumsum([0, *map(len, parts)])
+
+
 @pytest.fixture(scope="module")
 def small_model():
+    """Windows of any streams, with the counts of a small corpus."""
     rng = np.random.default_rng(0)
-    uni = np.zeros(lm_scoring.IDS)
-    uni[:50] = rng.integers(1, 99, 50)
-    uni[lm_scoring.END] = 9
-    c = lm_scoring.Counts(uni)
-    k = rng.integers(0, 50, (3, 500))
-    t, n = np.unique((k[0] << 32) | (k[1] << 16) | k[2], return_counts=True)
-    p, m = np.unique((k[1] << 16) | k[2], return_counts=True)
-    c.fill(p, m.astype(float), t, n.astype(float))
-    return c
+    corpus = [rng.integers(0, 50, n).tolist() for n in (300, 1, 0, 200)]
+    ids, edge = id_streams(corpus)
+    _, keys = lm_scoring.id_keys(ids, edge, np.full(len(corpus), 2))
+    n = collections.Counter(keys.tolist())
+    uni = np.bincount(ids, minlength=lm_scoring.IDS).astype(float)
+    uni[lm_scoring.END] -= 2 * len(corpus)
+    table = lm_scoring.embedding()
+
+    def windows(z, edge, lead=None):
+        at, keys = lm_scoring.id_keys(z, edge, np.full(len(edge) - 1, 2) if lead is None else lead)
+        found = np.array([n[k] for k in keys.tolist()], float)
+        pair, triple = np.zeros(len(z)), np.zeros(len(z))
+        pair[at], triple[at] = found[: len(at)], found[len(at) :]
+        return lm_scoring.Windows(z, edge, lm_scoring.next_id(z, uni, pair, triple), table, lead)
+
+    return windows
+
+
+def test_counted_ids_are_a_distribution():
+    """P(z | y) and P(z | x y) sum to one over the whole vocabulary, by a plain loop over the corpus."""
+    rng = np.random.default_rng(3)
+    corpus = [rng.integers(0, 6, 40).tolist(), [5], []]
+    ids, edge = id_streams(corpus)
+    at, keys = lm_scoring.id_keys(ids, edge, np.full(3, 2))
+    n = collections.Counter(keys.tolist())
+    pair, triple = np.zeros(len(ids)), np.zeros(len(ids))
+    pair[at], triple[at] = np.split(np.array([n[k] for k in keys.tolist()], float), 2)
+    uni = np.bincount(ids, minlength=lm_scoring.IDS).astype(float)
+    uni[lm_scoring.END] -= 6
+    two, three, _ = lm_scoring.next_id(ids, uni, pair, triple)
+    plain = [[lm_scoring.END] * 2 + t + [lm_scoring.END] for t in corpus]
+    one = (uni + 0.5) / (uni.sum() + 0.5 * lm_scoring.IDS)
+    for i in at.tolist():
+        x, y, z = ids[i - 2 : i + 1].tolist()
+        after_y = collections.Counter(t[k] for t in plain for k in range(2, len(t)) if t[k - 1] == y)
+        after = collections.Counter(t[k] for t in plain for k in range(2, len(t)) if t[k - 2 : k] == [x, y])
+        want_two = (after_y[z] + 10 * one[z]) / (sum(after_y.values()) + 10)
+        assert math.isclose(two[i - 2], want_two, rel_tol=1e-5)
+        assert math.isclose(three[i - 2], (after[z] + 5 * want_two) / (sum(after.values()) + 5), rel_tol=1e-5)
 
 
 def test_next_ids_are_a_distribution(small_model):
-    c, m, table = small_model, lm_scoring.start_weights(), lm_scoring.embedding()
-    z = np.concatenate([[0, 0], np.tile([5, 9, 7], 30)])
+    m = lm_scoring.start_weights()
+    z = np.concatenate([[lm_scoring.END] * 2, np.tile([5, 9, 7], 30)]).astype(np.int32)
     for at in (2, 40, len(z) - 1):
         total = 0.0
-        for y in range(0, lm_scoring.SYMBOLS):
-            x = z[: at + 1].copy()
-            x[at] = y
-            w = lm_scoring.Windows(x, np.array([0, len(x)]), c, table)
-            last = slice(len(w.first) - 1, len(w.first))
-            p, real, _ = w.batch(last, m, False)
-            total += p[0][real[0]][-1]
+        many = 997  # streams in one call
+        for low in range(0, lm_scoring.IDS, many):
+            last = np.arange(low, min(low + many, lm_scoring.IDS))
+            x = np.tile(z[: at + 1], (len(last), 1))
+            x[:, at] = last
+            edge = np.arange(len(last) + 1) * (at + 1)
+            w = small_model(x.ravel(), edge)
+            p, real, _ = w.batch(slice(0, len(w.first)), m, False)
+            each = np.zeros(len(edge) - 1)
+            ends = np.flatnonzero(np.append(np.diff(w.text) > 0, True))
+            each[w.text[ends]] = [p[k][real[k]][-1] for k in ends.tolist()]
+            total += each.sum()
         assert math.isclose(total, 1.0, rel_tol=1e-3)
 
 
 def test_later_ids_change_nothing_before(small_model):
-    c, m, table = small_model, lm_scoring.start_weights(), lm_scoring.embedding()
-    z = np.concatenate([[0, 0], np.random.default_rng(1).integers(1, 50, 150)])
+    m = lm_scoring.start_weights()
+    z = np.concatenate([[lm_scoring.END] * 2, np.random.default_rng(1).integers(1, 50, 150)]).astype(np.int32)
     other = z.copy()
     other[100:] = 3
 
     def each(x):
-        w = lm_scoring.Windows(x, np.array([0, len(x)]), c, table)
+        w = small_model(x, np.array([0, len(x)]))
         p, real, _ = w.batch(slice(0, len(w.first)), m, False)
         return p[real]
 
@@ -559,9 +602,9 @@ def test_later_ids_change_nothing_before(small_model):
 
 
 def test_gradient_is_of_the_log_likelihood(small_model):
-    c, m, table = small_model, lm_scoring.start_weights(), lm_scoring.embedding()
-    z = np.concatenate([[0, 0], np.tile([5, 9, 7, 11], 20)])
-    w = lm_scoring.Windows(z, np.array([0, len(z)]), c, table)
+    m = lm_scoring.start_weights()
+    z = np.concatenate([[lm_scoring.END] * 2, np.tile([5, 9, 7, 11], 20)]).astype(np.int32)
+    w = small_model(z, np.array([0, len(z)]))
     every = slice(0, len(w.first))
     _, _, g = w.batch(every, m, True)
 
@@ -576,6 +619,46 @@ def test_gradient_is_of_the_log_likelihood(small_model):
         assert math.isclose((total(up) - total(down)) / 2e-3, g[name][index], rel_tol=0.05, abs_tol=2e-3)
 
 
+def test_excerpts_are_the_windows_of_their_texts(spark, small_model):
+    """Every training text gives a window at least, and each scores as it does in its whole text."""
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 50, n).tolist() for n in (0, 3, 33, 700, 1500)]
+    rows = [(7 + 70_000 * i, bytearray(id_streams([t])[0].astype(np.uint16).tobytes())) for i, t in enumerate(texts)]
+    got = lm_scoring.excerpts(spark.createDataFrame(rows, "h long, ids binary"), 3).collect()
+    m = lm_scoring.start_weights()
+    whole = {}
+    for (h, _), t in zip(rows, texts):
+        w = small_model(*id_streams([t]))
+        p, real, _ = w.batch(slice(0, len(w.first)), m, False)
+        whole[h] = [p[k][real[k]] for k in range(len(p))]
+    assert {r["h"] for r in got} == set(whole) and all(-3 <= r["block"] <= -1 for r in got)
+    for h, each in whole.items():
+        nth = sorted(r["nth"] for r in got if r["h"] == h)
+        assert nth == list(range(nth[0], len(each), lm_scoring.EVERY)) and nth[0] < lm_scoring.EVERY
+    for r in got:
+        z = np.frombuffer(bytes(r["ids"]), np.uint16).astype(np.int32)
+        w = small_model(z, np.array([0, len(z)]), np.array([r["lead"]]))
+        p, real, _ = w.batch(slice(0, 1), m, False)
+        assert np.allclose(p[0][real[0]], whole[r["h"]][r["nth"]], rtol=1e-4)
+
+
+def test_ids_hold_the_words_of_their_texts():
+    """Words found by their ids are those of the text, white space of other kinds inside words included."""
+    texts = ["Ab  cd\n\tef", "", " x\u00a0 \u00a0y \u2003 z's ", "ab CD ef ab", "\u00e9\u00c9 1234567 ...!"]
+    coder, begins = lm_scoring.Coder(None), lm_scoring.word_starts(None)
+    ids, edge = coder.stream(Texts.of(texts))
+    text, h = lm_scoring.id_words(ids, edge, begins)
+    want = [words(t.translate(LOW)) + ["\0"] for t in texts]
+    assert np.bincount(text).tolist() == [len(w) for w in want]
+    order = np.argsort(text[: -len(texts)], kind="stable")
+    named = collections.defaultdict(set)
+    for x, y in zip([w for t in want for w in t[:-1]], h[: -len(texts)][order].tolist()):
+        named[x].add(y)
+    assert all(len(v) == 1 for v in named.values()) and len({next(iter(v)) for v in named.values()}) == len(named)
+    again, _ = coder.stream(Texts.of(texts))
+    assert (again == ids).all()
+
+
 def test_model_beats_word_counts(spark):
     rows = lm_scoring.score(spark.read.parquet(f"{SF01}/documents.parquet")).filter("held_out").collect()
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
