@@ -493,7 +493,7 @@ ORACLES["recent_types_bound"] = """
 WITH l AS (SELECT user_id, event_type AS selector, max(ts) AS last_used FROM events WHERE event_type <> 'click' GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last_used DESC, selector)::INTEGER AS rank FROM l QUALIFY rank <= 2
 """
-ORACLES["url_rules_mixed"] = """
+ORACLES["url_rules_mixed"] = r"""
 WITH r(n, scrapable, rejection, is_http, context) AS (VALUES
   (0, true, NULL, true, 'unknown'), (1, true, NULL, true, 'unknown'), (2, false, 'chrome://', false, 'unknown'), (3, false, 'about:', false, 'unknown'),
   (4, false, 'chrome-extension://', false, 'sidepanel'), (5, false, 'https://chromewebstore.google.com/', true, 'unknown'), (6, false, 'file://', false, 'unknown'),
