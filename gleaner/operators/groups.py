@@ -1,8 +1,8 @@
 """G2-G8, G13 for every element of every page at once: paths, minimal paths, candidates, ancestors.
 
 ``element_chains`` walks each element's parents once, inside the scan, and gives a row per element with
-the chain of its ancestors; pages and texts are not carried along. After one exchange by page everything
-is joins and windows on a page's rows:
+the chain of its ancestors; pages and texts are not carried along. After one exchange by page, into as
+many partitions as the elements ask for, everything is joins and windows on a page's rows:
 
 * A path that has lost its last indexes matches what lies below its last indexed element, the
   anchor, by tag names alone. So all counts of the first loop are sizes of the groups (page,
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.operators.infer import BROAD, ROW_TAGS
+from gleaner.sources.dom import parts_of
 
 MAX_CANDIDATE_LEVELS = 10
 MAX_ANCESTOR_LEVELS = 6
@@ -40,7 +41,7 @@ def element_chains(dom: DataFrame) -> DataFrame:
 
     elements = F.filter("nodes", lambda n: ~n["tag"].startswith("#") & (n["depth"] >= 1))
     rows = F.transform(elements, lambda n: F.struct(n["pre"].alias("pre"), n["is_html"].alias("is_html"), chain(n).alias("chain")))
-    return dom.select("page_id", F.explode(rows).alias("e")).select("page_id", "e.*").repartition("page_id")
+    return dom.select("page_id", F.explode(rows).alias("e")).select("page_id", "e.*").repartition(parts_of(dom), "page_id")
 
 
 def _tags(chain: Column) -> Column:
@@ -91,9 +92,11 @@ def minimal_paths(chains: DataFrame) -> DataFrame:
     size, n = F.size("chain"), F.col("n")
     suffix = lambda array, k: F.slice(array, size - k + 1, k)
 
-    # the key of a suffix: its tags, and the indexes at ``places`` (counted from its end)
-    def key() -> Column:
-        return F.xxhash64(F.transform(suffix(F.col("chain"), n), lambda s, i: F.struct(s["tag"], F.when(F.array_contains("places", n - 1 - i), s["sib"]))))
+    # of a suffix only its tags' hash and its indexes are carried along; its key: the indexes at ``places`` (counted from its end)
+    sibs = F.transform(suffix(F.col("chain"), n), lambda s: s["sib"])
+
+    def key(indexes: Column) -> Column:
+        return F.xxhash64(F.transform(indexes, lambda s, i: F.when(F.array_contains("places", n - 1 - i), s)))
 
     tags = F.xxhash64(suffix(_tags(F.col("chain")), n))
     indexed = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda o: (size - o <= F.col("anchor")) & (F.get("chain", size - 1 - o)["sib_n"] > 1))
@@ -104,21 +107,22 @@ def minimal_paths(chains: DataFrame) -> DataFrame:
         .withColumn("n", F.explode(F.sequence(F.lit(0), most)))
         .withColumn("places", indexed)
         .withColumn("tags", tags)
-        .withColumn("key", key())
+        .withColumn("key", key(sibs))
+        .withColumn("chain", F.when(n == 0, F.col("chain")))
     )
     shapes = patterns.filter(n > 0).select("page_id", "n", "tags", "places").distinct()
-    ends = chains.select("page_id", "is_html", "chain", F.explode(F.sequence(F.lit(1), size)).alias("n")).withColumn("tags", tags)
+    ends = chains.select("page_id", "is_html", "chain", F.explode(F.sequence(F.lit(1), size)).alias("n"))
+    ends = ends.select("page_id", "is_html", "n", tags.alias("tags"), sibs.alias("sibs"))
     found = (
         ends.join(shapes, ["page_id", "n", "tags"])
-        .groupBy("page_id", "n", "tags", "places", key().alias("key"))
+        .groupBy("page_id", "n", "tags", "places", key(F.col("sibs")).alias("key"))
         .agg(F.count("*").alias("found"), F.count_if("is_html").alias("found_html"))
     )
     # a shorter suffix matches no fewer elements, so the shortest that still matches as many is where the loop ends
     same = (n > 0) & (F.col("found") == F.col("selected"))
     own = lambda c: F.first(F.when(n == 0, F.col(c)), ignorenulls=True).alias(c)
     j = (
-        patterns.withColumn("chain", F.when(n == 0, F.col("chain")))
-        .join(found, ["page_id", "n", "tags", "places", "key"], "left")
+        patterns.join(found, ["page_id", "n", "tags", "places", "key"], "left")
         .groupBy("page_id", "pre")
         .agg(own("chain"), own("anchor"), own("selected"), own("n_html"), F.min(F.when(same, F.struct("n", "found_html"))).alias("short"))
     )

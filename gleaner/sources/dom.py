@@ -216,6 +216,12 @@ def read_dom(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def parts_of(dom: DataFrame, nodes_per_part: int = 50_000) -> int:
+    """Into how many partitions pages go where their elements become rows: as many as their nodes ask for, so that a
+    task's rows do not grow with the table. Counts the nodes of all pages, from one column of a stored table."""
+    return max(1, -(-(dom.agg(F.sum(F.size("nodes.pre"))).first()[0] or 0) // nodes_per_part))
+
+
 def explode_nodes(dom: DataFrame) -> DataFrame:
     """S3: one row per node ``(page_id, pre, parent, depth, tag, attrs, ..., text)``."""
     n = F.col("n")

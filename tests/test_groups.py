@@ -173,3 +173,15 @@ def test_templates_of_every_element(make_dom, spark):
     more = TP.template_rules(spark).unionByName(TP.template_rules(spark, "caption: Words = . | {data}"))
     got = {r["tag"]: plain(r["columns"]) for r in TP.element_templates(dom, more).collect()}
     assert got["caption"] == [("Words", ".", None)] and got["nav"] == [("Text", ".", None), ("ARIA Label", "@aria-label", None), ("Links", "a/@href", None)]
+
+
+def test_chains_are_spread_by_elements(make_dom, monkeypatch):
+    """A task's rows do not grow with the table: partitions are as many as the nodes ask for."""
+    from gleaner.sources.dom import parts_of
+
+    dom = make_dom(*["<table>" + "<tr><td>a</td><td>b</td></tr>" * 20 + "</table>"] * 5)
+    few = sorted(map(tuple, GR.repeating_groups(dom).collect()))
+    nodes = dom.selectExpr("sum(size(nodes))").first()[0]
+    monkeypatch.setattr(GR, "parts_of", lambda d: parts_of(d, 50), raising=False)
+    assert GR.element_chains(dom).rdd.getNumPartitions() == -(-nodes // 50)
+    assert sorted(map(tuple, GR.repeating_groups(dom).collect())) == few
