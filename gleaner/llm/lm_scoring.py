@@ -16,10 +16,9 @@ all blocks and sends each block the sums of its own, and the block's texts are s
 Blocks and buckets grow in number with the corpus (buckets up to 65,536). Only the counts of
 single ids are broadcast. Words are 64-bit hashes.
 
-The attention learns from every training text: one window in ``EVERY`` of a text, one at least,
-the first by the text's hash. These windows are dealt by hash to shards, each learns in the order
-of the hashes, and the results are averaged. So the weights follow from the table alone,
-whatever its partitions.
+The attention learns from every window of every training text: a block learns, with the sums that
+came back to it, from its own training texts in the order of their hashes, and the results are
+averaged by windows. So the weights follow from the table alone, whatever its partitions.
 
 Texts are encoded once and written as ids to the shared folder; all later steps read those.
 
@@ -46,12 +45,12 @@ IDS = 50257
 END = 50256  # stands for the end of a text, and before its beginning
 SPAN, STEP = 64, 32
 WIDTH = 16  # of each of the two embedded ids
-EVERY = 16
+EVERY = 1  # all windows are learned from
 BUCKETS = 16
 RATE = 0.5
 BLOCK_IDS = 3_000_000
 LEAST_BLOCKS = 16
-SHARD_BLOCKS = 4  # blocks whose windows learn in one shard
+CHUNK = 1 << 18  # places or keys that are worked on at once: what a task holds beside its block
 CACHED = 1 << 20  # words whose ids a task remembers
 HELD_OUT_OF = 10
 ID_KEYS, WORD_KEYS = 0, 1
@@ -162,7 +161,9 @@ def streams(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, np
 
 
 def excerpts(train: DataFrame, shards: int) -> DataFrame:
-    """(block, held_out, h, nth, ids, lead): windows to learn from; block is -1 less the shard, places from ``lead`` count."""
+    """(block, held_out, h, nth, ids, lead): windows to learn from as rows; block is -1 less the shard, places from ``lead`` count.
+
+    ``score`` does not send windows: blocks learn from their own texts, which hold the same ones."""
     back = SPAN - STEP + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,9 +235,9 @@ def id_words(ids: np.ndarray, edge: np.ndarray, begins: np.ndarray) -> tuple[np.
     return np.concatenate([text, np.arange(len(edge) - 1)]), np.concatenate([h, np.full(len(edge) - 1, END_WORD)])
 
 
-def ascending(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def ascending(keys: np.ndarray, kind: str = "quicksort") -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in ascending order and how many there are of each."""
-    k = np.sort(keys)
+    k = np.sort(keys, kind=kind)
     new = np.ones(len(k), bool)
     new[1:] = k[1:] != k[:-1]
     at = np.flatnonzero(new)
@@ -248,7 +249,7 @@ def distinct(keys: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, np.ndar
     if counted.all():
         return ascending(keys)
     train, n = ascending(keys[counted])
-    u, _ = ascending(np.concatenate([train, ascending(keys[~counted])[0]]))
+    u, _ = ascending(np.concatenate([train, ascending(keys[~counted])[0]]), "stable")  # two ascending runs are merged
     out = np.zeros(len(u), np.int64)
     out[np.searchsorted(u, train)] = n
     return u, out
@@ -264,52 +265,67 @@ def places(u: np.ndarray, keys: np.ndarray) -> np.ndarray:
             return (((x ^ (x >> np.uint64(29))) * SPREAD) >> shift).astype(np.int64)
 
     table = np.full(1 << bits, -1, np.int32)
-    left, at = np.arange(len(u), dtype=np.int32), slot(u)
-    while len(left):
-        free = table[at] < 0
-        table[at[free]] = left[free]  # of several the last one stays
-        lost = table[at] != left
-        left, at = left[lost], (at[lost] + 1) & mask
-    at = slot(keys)
-    out = table[at]
-    open_ = np.flatnonzero(u[out] != keys)
-    at = at[open_]
-    while len(open_):
-        at = (at + 1) & mask
-        out[open_] = table[at]
-        more = u[out[open_]] != keys[open_]
-        open_, at = open_[more], at[more]
+    for a in range(0, len(u), CHUNK):
+        at = slot(u[a : a + CHUNK])
+        left = np.arange(a, a + len(at), dtype=np.int32)
+        while len(left):
+            free = table[at] < 0
+            table[at[free]] = left[free]  # of several the last one stays
+            lost = table[at] != left
+            left, at = left[lost], (at[lost] + 1) & mask
+    out = np.empty(len(keys), np.int32)
+    for a in range(0, len(keys), CHUNK):
+        key, got = keys[a : a + CHUNK], out[a : a + CHUNK]
+        at = slot(key)
+        got[:] = table[at]
+        open_ = np.flatnonzero(u[got] != key)
+        at = at[open_]
+        while len(open_):
+            at = (at + 1) & mask
+            got[open_] = table[at]
+            more = u[got[open_]] != key[open_]
+            open_, at = open_[more], at[more]
     return out
 
 
 class Block:
-    """A block's streams with its distinct keys: the same when they are sent and when their sums come back."""
+    """A block's streams with its distinct keys: the same when they are sent and when their sums come back.
+
+    Without ``begins`` its words are left out, without ``sends`` how often its training texts have each key.
+    """
 
-    def __init__(self, rows: pa.Table, begins: np.ndarray | None) -> None:
+    def __init__(self, rows: pa.Table, begins: np.ndarray | None, sends: bool = False) -> None:
         parts = list(streams(rows.column("ids"), 1 << 62))
         _, self.ids, self.edge = parts[0] if parts else (0, np.zeros(0, np.int32), np.zeros(1, np.int64))
-        held = np.asarray(rows.column("held_out"), bool)
-        n = len(self.edge) - 1
-        self.lead = np.asarray(rows.column("lead")) if "lead" in rows.column_names else np.full(n, 2)
-        self.at, keys = id_keys(self.ids, self.edge, self.lead)
-        counted = np.repeat(~held, np.diff(self.edge))[self.at]
+        self.held = np.asarray(rows.column("held_out"), bool)
+        self.at, keys = id_keys(self.ids, self.edge, np.full(len(self.edge) - 1, 2))
         self.keys = {ID_KEYS: keys}
-        self.kinds = {ID_KEYS: distinct(keys, np.concatenate([counted, counted]))}
         if begins is not None:
-            self.text, words = id_words(self.ids, self.edge, begins)
-            self.keys[WORD_KEYS] = words
-            self.kinds[WORD_KEYS] = distinct(words, ~held[self.text])
+            self.text, self.keys[WORD_KEYS] = id_words(self.ids, self.edge, begins)
+        if sends:
+            counted = np.repeat(~self.held, np.diff(self.edge))[self.at]
+            self.kinds = {ID_KEYS: distinct(keys, np.concatenate([counted, counted]))}
+            if begins is not None:
+                self.kinds[WORD_KEYS] = distinct(self.keys[WORD_KEYS], ~self.held[self.text])
 
     def each(self, kind: int, sums: np.ndarray) -> np.ndarray:
-        """The sum of every key, of the sums of the distinct ones."""
-        return sums[places(self.kinds[kind][0], self.keys[kind])] if len(sums) else sums
+        """The sum of every key, of the sums of the distinct ones; once for a kind, whose keys are let go."""
+        keys = self.keys.pop(kind)
+        return sums[places(ascending(keys)[0], keys)] if len(sums) else sums
 
     def values(self, uni: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``next_id`` at every place from the third on, of the sums of this block's distinct keys."""
         n = self.each(ID_KEYS, sums)
         pair, triple = np.zeros(len(self.ids)), np.zeros(len(self.ids))
         pair[self.at], triple[self.at] = n[: len(self.at)], n[len(self.at) :]
-        return next_id(self.ids, uni, pair, triple)
+        del n, self.at
+        many = max(len(self.ids) - 2, 0)
+        out = np.empty(many, np.float32), np.empty(many, np.float32), np.empty(many, np.uint8)
+        for a in range(0, many, CHUNK):
+            part = slice(a, a + CHUNK + 2)
+            for to, x in zip(out, next_id(self.ids[part], uni, pair[part], triple[part])):
+                to[a : a + CHUNK] = x
+        return out
 
 
 def next_id(ids: np.ndarray, uni: np.ndarray, pair: np.ndarray, triple: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -344,7 +360,7 @@ def sent(blocks: DataFrame, buckets: int, path: str | None) -> DataFrame:
     """Each block's distinct keys and how often its training texts have them, by the bucket they fall in; one piece is its first."""
 
     def run(rows: pa.Table) -> pa.Table:
-        b = Block(rows, None if "lead" in rows.column_names else word_starts(path))
+        b = Block(rows, word_starts(path), sends=True)
         cuts = np.array([(-(-i * 65536 // buckets)) << 48 for i in range(1, buckets)], np.uint64)
         out: list[tuple[int, int, bool, bytes, bytes]] = []
         for kind, (keys, n) in b.kinds.items():
@@ -414,6 +430,12 @@ class Windows:
         self.first = edge[self.text] + 2 + nth * STEP if lead is None else edge[:-1] + lead
         self.low, self.high = edge[self.text], edge[self.text + 1]
 
+    def keep(self, texts: np.ndarray) -> Windows:
+        """Only the windows of these texts (a mask)."""
+        kept = texts[self.text]
+        self.text, self.first, self.low, self.high = (x[kept] for x in (self.text, self.first, self.low, self.high))
+        return self
+
     def batch(self, w: slice, m: dict[str, np.ndarray], learn: bool) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray] | None]:
         """Each place's probability (1 where a window goes beyond its text), and the gradient's sums."""
         first, z = self.first[w], self.z
@@ -457,19 +479,22 @@ class Windows:
         total = weight @ np.ones(SPAN, np.float32) + s0 + s1
         copies = self.short[key + 1][:, None, :] == self.short[at][..., None]
         hits = np.flatnonzero(copies)  # few of the keys
-        copied = np.bincount(hits // SPAN, weights=weight.ravel()[hits], minlength=at.size).reshape(at.shape)
+        places_hit, weight_hit = hits // SPAN, weight.ravel()[hits]
+        copied = np.bincount(places_hit, weights=weight_hit, minlength=at.size).reshape(at.shape)
         good = s0 * two + s1 * three + copied
         p = np.where(real, good / total, 1.0)
         if not learn:
             return p, real, None
         scale = real / len(first)
-        # share of the outcome minus share of the attention, for each key and sink
-        g = weight * (copies * (scale / np.maximum(good, 1e-30))[..., None] - (scale / total)[..., None])
+        # share of the outcome (of the few keys that copy it) minus share of the attention, for each key and sink
+        g = weight
+        g *= (-scale / total).astype(np.float32)[..., None]
+        g.ravel()[hits] += (weight_hit * (scale / np.maximum(good, 1e-30)).ravel()[places_hit]).astype(np.float32)
         g0 = s0 * scale * (two / np.maximum(good, 1e-30) - 1 / total)
         g1 = s1 * scale * (three / np.maximum(good, 1e-30) - 1 / total)
         sinks = np.stack([np.bincount(bucket.ravel(), weights=x.ravel(), minlength=BUCKETS) for x in (g0, g1)])
         distance = np.bincount(CLIPPED.ravel(), weights=g.sum(axis=0).ravel(), minlength=SPAN + STEP)
-        form = e[at - 1 - low].reshape(-1, 2 * WIDTH).T @ (g.astype(np.float32) @ k[..., :-1]).reshape(-1, 2 * WIDTH)
+        form = e.take(at - 1 - low, axis=0).reshape(-1, 2 * WIDTH).T @ (g @ k)[..., :-1].reshape(-1, 2 * WIDTH)
         return p, real, {"form": form, "distance": distance, "sinks": sinks}
 
 
@@ -501,22 +526,21 @@ def unflat(v: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def train(windows: DataFrame, sums: DataFrame, uni) -> DataFrame:  # noqa: ANN001
-    """(weights): each shard learns on its own windows, the results are averaged by windows; one row."""
+def train(dealt: DataFrame, sums: DataFrame, uni) -> DataFrame:  # noqa: ANN001
+    """(weights): each block learns on all windows of its training texts, the results are averaged by windows; one row."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["i", "v", "n"]
-        if not len(left):  # a block of texts, not a shard
+        if not len(left) or np.asarray(left.column("held_out"), bool).all():  # nothing to learn from
             return pa.table([pa.array([], t) for t in (pa.int32(), pa.float64(), pa.float64())], names=names)
         m = start_weights()
         squares = {k: np.zeros(v.shape) for k, v in m.items()}
-        rows = left.take(np.lexsort((np.asarray(left.column("nth")), np.asarray(left.column("h")))))  # equal in both: equal rows
-        b = Block(rows, None)
-        n = learn(Windows(b.ids, b.edge, b.values(uni.value, joined(right, ID_KEYS)), embedding(), b.lead), m, squares)
+        b = Block(left.take(np.argsort(np.asarray(left.column("h")), kind="stable")), None)  # equal hashes: equal rows
+        n = learn(Windows(b.ids, b.edge, b.values(uni.value, joined(right, ID_KEYS)), embedding()).keep(~b.held), m, squares)
         v = flat(m)
         return pa.table([pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v * n), pa.array(np.full(len(v), float(n)))], names=names)
 
-    learned = windows.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(lambda left, right: run(left, right), "i int, v double, n double")
+    learned = dealt.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(lambda left, right: run(left, right), "i int, v double, n double")
     each = learned.groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v"))
     return each.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda p: p["v"]).alias("weights"))  # about 1,100 numbers
 
@@ -554,29 +578,27 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     training = coded.filter(~F.col("held_out"))
     uni = spark.sparkContext.broadcast(id_counts(training))
 
-    dealt = coded.select("doc_id", "held_out", "ids", F.pmod("h", F.lit(blocks)).cast("long").alias("block")).repartition(blocks, "block")
-    shards = -(-blocks // SHARD_BLOCKS)
-    windows = excerpts(training, shards).repartition(blocks, "block")
+    dealt = coded.select("doc_id", "held_out", "h", "ids", F.pmod("h", F.lit(blocks)).cast("long").alias("block")).repartition(blocks, "block")
     buckets = min(blocks, 65536)
-    pieces = sent(dealt, buckets, path).unionByName(sent(windows, buckets, path))
-    sums = summed(pieces).repartition(blocks, "block")
-    learned = train(windows, sums, uni).select(F.lit(True).alias("first"), "weights")
+    sums = summed(sent(dealt, buckets, path)).repartition(blocks, "block")
+    learned = train(dealt, sums, uni).select(F.lit(True).alias("first"), "weights")
     come_back = sums.join(F.broadcast(learned), "first", "left")  # one row of about 1,100 numbers
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         names = [f.split()[0] for f in RESULT.split(", ")]
-        if not len(left):  # a shard, or a block that no text fell in
+        if not len(left):  # a block that no text fell in
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())], names=names)
         b = Block(left, word_starts(path))
         m = weights_of(right.filter(right.column("first")).column("weights")[0].as_py())
-        value = b.values(uni.value, joined(right, ID_KEYS))
-        n = b.each(WORD_KEYS, joined(right, WORD_KEYS))
         many = len(left)
+        n = b.each(WORD_KEYS, joined(right, WORD_KEYS))
         words = np.array([k == WORD_KEYS for k in right.column("kind").to_pylist()])
         # what the block's pieces know of N and V goes with its first row
         total, kinds = np.zeros(many, np.int64), np.zeros(many, np.int64)
         total[0], kinds[0] = (int(np.asarray(right.column(c))[words].sum()) for c in ("total", "kinds"))
         counts = [np.bincount(b.text, minlength=many), np.bincount(b.text[n > 0], minlength=many), np.bincount(b.text, weights=np.log10(n + 0.1), minlength=many)]
+        del n
+        value = b.values(uni.value, joined(right, ID_KEYS))
         columns = [left.column("doc_id"), left.column("held_out"), *counts, score_texts(b.ids, b.edge, value, m, embedding()), total, kinds]
         return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c) for c in columns], names=names)
 

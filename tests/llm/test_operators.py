@@ -693,3 +693,29 @@ def test_open_pairs_of_a_bucket_are_spread(spark):
     assert {r["bucket"] for r in got} == {1}
     keys = collections.Counter((r["i"], r["j"]) for r in got)
     assert len(keys) > 5 and max(keys.values()) < len(got) / 4
+
+
+def test_attention_learns_from_every_window(spark):
+    """The weights are those of a plain pass over all windows of all training texts, with all counts."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 40, n)) for n in (400, 3, 900, 0, 650, 120)]
+    ids, edge = lm_scoring.Coder(None).stream(Texts.of(texts))
+    each = [ids[a:b] for a, b in zip(edge, edge[1:])]
+    held = [False, False, True, False, False, True]
+    rows = [(7, i, held[i], 1000 - i, bytearray(x.astype(np.uint16).tobytes())) for i, x in enumerate(each)]
+    dealt = spark.createDataFrame(rows, "block long, doc_id long, held_out boolean, h long, ids binary")
+    mine = [each[i] for i in range(len(each)) if not held[i]][::-1]  # by hash
+    z, cut = np.concatenate(mine), np.cumsum([0, *map(len, mine)])
+    uni = np.bincount(z, minlength=lm_scoring.IDS).astype(float)
+    uni[lm_scoring.END] -= 2 * len(mine)
+    at, keys = lm_scoring.id_keys(z, cut, np.full(len(mine), 2))
+    n = collections.Counter(keys.tolist())
+    pair, triple = np.zeros(len(z)), np.zeros(len(z))
+    pair[at], triple[at] = np.split(np.array([n[k] for k in keys.tolist()], float), 2)
+    w = lm_scoring.Windows(z, cut, lm_scoring.next_id(z, uni, pair, triple), lm_scoring.embedding())
+    assert len(w.first) == sum(-(-(len(x) - 2) // lm_scoring.STEP) for x in mine)
+    m = lm_scoring.start_weights()
+    lm_scoring.learn(w, m, {k: np.zeros(v.shape) for k, v in m.items()})
+    sums = lm_scoring.summed(lm_scoring.sent(dealt, 3, None))
+    got = lm_scoring.train(dealt, sums, spark.sparkContext.broadcast(uni)).first()["weights"]
+    assert np.allclose(got, lm_scoring.flat(m), rtol=1e-3, atol=1e-3)
