@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import js_trim
+from gleaner.sources.dom import parts_of
 from gleaner.operators.infer import _COL_T, _desc, _f, _nodes, _table_columns, _tag_is, _text, data_columns_of
 
+_RULES_T = "array<struct<place:int,fact:string,list:string,name:string,selector:string>>"
 RULES_DDL = "tag string, place int, fact string, list string, name string, selector string"
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
@@ -110,23 +112,29 @@ def _lists(n: Column) -> Column:
 def element_templates(dom: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """The template of every HTML element: page_id, pre, tag, columns (array of name, selector, key).
 
-    Elements become rows with their facts and lists alone; rules are joined by tag, and an element's columns put together
-    in the rules' order.
+    Elements become rows with their facts and lists. The rules of a tag are one row of a table that every task gets (as
+    many rows as there are tags with rules), so an element's columns are put together, in the rules' order, where its page
+    is read. Then pages that share an id meet, in partitions that grow in number with the elements.
     """
     rules = template_rules(dom.sparkSession) if rules is None else rules
     elements = F.filter(_nodes(), lambda n: n["is_html"] & (n["depth"] >= 1))
     rows = F.transform(elements, lambda n: F.struct(n["pre"].alias("pre"), n["tag"].alias("tag"), _facts(n).alias("facts"), _lists(n).alias("lists")))
     e = dom.select("page_id", F.explode(rows).alias("e")).select("page_id", "e.*")
-    own = rules.select("tag").distinct().withColumn("rule_tag", F.col("tag"))
-    e = e.join(own, "tag", "left").withColumn("rule_tag", F.coalesce("rule_tag", F.lit("*")))
-    j = e.join(rules.withColumnRenamed("tag", "rule_tag"), "rule_tag", "left")
-    holds = F.col("fact").isNull() | F.array_contains("facts", F.col("fact"))
-    listed = F.lit(None).cast(_COL_T)
-    for name in ("data", "cells", "heading", "ths", "cols"):
-        listed = F.when(F.col("list") == name, F.col("lists")[name]).otherwise(listed)
-    plain = F.array(F.struct("name", "selector", F.lit(None).cast("string").alias("key"))).cast(_COL_T)
-    columns = F.when(holds, F.when(F.col("list").isNotNull(), listed).when(F.col("name").isNotNull(), plain))
-    parts = F.array_sort(F.collect_list(F.struct("place", columns.alias("columns"))))  # as many as the tag has rules
-    got = j.groupBy("page_id", "pre", "tag").agg(parts.alias("parts"))
+    of_tag = rules.groupBy("tag").agg(F.collect_list(F.struct("place", "fact", "list", "name", "selector")).cast(_RULES_T).alias("rules"))
+    own = of_tag.withColumn("rule_tag", F.col("tag")).select("tag", "rule_tag")
+    e = e.join(F.broadcast(own), "tag", "left").withColumn("rule_tag", F.coalesce("rule_tag", F.lit("*")))
+    j = e.join(F.broadcast(of_tag.withColumnRenamed("tag", "rule_tag")), "rule_tag", "left")
+
+    def columns(r: Column) -> Column:
+        holds = r["fact"].isNull() | F.array_contains("facts", r["fact"])
+        listed = F.lit(None).cast(_COL_T)
+        for name in ("data", "cells", "heading", "ths", "cols"):
+            listed = F.when(r["list"] == name, F.col("lists")[name]).otherwise(listed)
+        plain = F.array(F.struct(r["name"].alias("name"), r["selector"].alias("selector"), F.lit(None).cast("string").alias("key"))).cast(_COL_T)
+        return F.when(holds, F.when(r["list"].isNotNull(), listed).when(r["name"].isNotNull(), plain))
+
+    parts = F.transform(F.coalesce("rules", F.array().cast(_RULES_T)), lambda r: F.struct(r["place"].alias("place"), columns(r).alias("columns")))
+    mine = j.select("page_id", "pre", "tag", parts.alias("parts")).repartition(parts_of(dom), "page_id")
+    got = mine.groupBy("page_id", "pre", "tag").agg(F.array_sort(F.flatten(F.collect_list("parts"))).alias("parts"))  # as many as the tag has rules
     whole = F.flatten(F.transform(F.filter("parts", lambda p: p["columns"].isNotNull()), lambda p: p["columns"]))
     return got.select("page_id", "pre", "tag", whole.alias("columns"))

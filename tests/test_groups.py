@@ -175,6 +175,25 @@ def test_templates_of_every_element(make_dom, spark):
     assert got["caption"] == [("Words", ".", None)] and got["nav"] == [("Text", ".", None), ("ARIA Label", "@aria-label", None), ("Links", "a/@href", None)]
 
 
+def test_templates_are_made_where_pages_are_read(make_dom, spark, monkeypatch):
+    """Rules come to the elements, elements are not sent to the rules; partitions follow the elements; copies of a page's id meet."""
+    from gleaner.operators import templates as TP
+    from gleaner.sources.dom import parts_of
+
+    dom = make_dom("<ul>" + "<li data-x='1'>a</li>" * 30 + "</ul>", "<p><a href='/x'>b</a></p>")
+    monkeypatch.setattr(TP, "parts_of", lambda d: parts_of(d, 10), raising=False)
+    got = TP.element_templates(dom)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
+    assert got.rdd.getNumPartitions() == parts_of(dom, 10) > 5
+    once = sorted((r["page_id"], r["pre"], [tuple(c) for c in r["columns"]]) for r in got.collect())
+    twice = sorted((r["page_id"], r["pre"], [tuple(c) for c in r["columns"]]) for r in TP.element_templates(dom.unionByName(dom)).collect())
+    assert [(p, i) for p, i, _ in once] == [(p, i) for p, i, _ in twice]
+    assert all(sorted(a * 2) == sorted(b) for (_, _, a), (_, _, b) in zip(once, twice))
+    bare = TP.element_templates(dom, TP.template_rules(spark, "li: Item = .")).collect()
+    assert len(bare) == len(once) and all(bool(r["columns"]) == (r["tag"] == "li") for r in bare)
+
+
 def test_chains_are_spread_by_elements(make_dom, monkeypatch):
     """A task's rows do not grow with the table: partitions are as many as the nodes ask for."""
     from gleaner.sources.dom import parts_of
