@@ -89,7 +89,7 @@ class Coder:
         if len(self._word) > CACHED:
             self._forget()
         words = np.concatenate([self._word, word])
-        order = np.argsort(words)
+        order = np.argsort(words, kind="stable")  # two ascending runs are merged
         self._word = words[order]
         self._at = np.concatenate([self._at, at + len(self._flat)])[order]
         self._size = np.concatenate([self._size, np.diff(np.append(at, len(ids)))])[order]
@@ -100,10 +100,10 @@ class Coder:
         low = t.lowered()
         start, end, text = low.segments(NOT_SPACE)
         h = low.hashes(start, end)
-        order = np.argsort(h)
-        new = np.ones(len(h), bool)
-        new[1:] = h[order][1:] != h[order][:-1]
-        word, first = h[order][new], order[new]
+        word, _ = ascending(h)
+        which = places(word, h)
+        first = np.empty(len(word), np.int64)
+        first[which] = np.arange(len(h))  # any one of equal words
         met = np.searchsorted(self._word, word)
         some = met < len(self._word)
         some[some] = self._word[met[some]] == word[some]
@@ -112,8 +112,6 @@ class Coder:
             fresh = first if full else first[~some]
             self._meet(h[fresh], low, start[fresh], end[fresh])
             met = np.searchsorted(self._word, word)
-        which = np.empty(len(h), np.int64)
-        which[order] = np.cumsum(new) - 1
         known = met[which]
         many = self._size[known]
         edge = np.zeros(len(t) + 1, np.int64)
@@ -203,27 +201,45 @@ def id_counts(train: DataFrame) -> np.ndarray:
     return uni
 
 
-def id_keys(ids: np.ndarray, edge: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places from just before each stream's ``lead``, and the keys of their pairs, then of their triples.
+def pair_keys(pair: np.ndarray) -> np.ndarray:
+    """Keys of pairs of ids (16 bits an id), under 16 bits of their hash that choose the bucket."""
+    with np.errstate(over="ignore"):
+        key = pair * SPREAD
+    key &= np.uint64(0xFFFF << 48)
+    key |= pair
+    key |= np.uint64(0xFFFF << 32)
+    return key
 
-    16 bits an id, under 16 bits of the context's hash that choose the bucket.
-    """
-    counts = np.ones(len(ids), bool)
+
+def triple_keys(ids: np.ndarray) -> np.ndarray:
+    """Keys of the triples that end at each place from the third on, under the 16 bits of their first two ids."""
+    wide = ids.astype(np.uint64)
+    pair = (wide[:-2] << np.uint64(16)) | wide[1:-1]
+    with np.errstate(over="ignore"):
+        key = pair * SPREAD
+    key &= np.uint64(0xFFFF << 48)
+    pair <<= np.uint64(16)
+    key |= pair
+    key |= wide[2:]
+    return key
+
+
+def counted_places(edge: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """Places from just before each stream's ``lead``, the third one at least."""
+    counts = np.ones(edge[-1], bool)
     before = np.maximum(lead - 1, 2)
     skipped = np.repeat(edge[:-1], before) + np.arange(before.sum()) - np.repeat(np.cumsum(before) - before, before)
     counts[skipped] = False
-    wide = ids.astype(np.uint64)
-    pair = (wide[:-1] << np.uint64(16)) | wide[1:]
-    with np.errstate(over="ignore"):
-        high = (pair * SPREAD) & np.uint64(0xFFFF << 48)
-    keys = np.empty((2, max(len(ids) - 2, 0)), np.uint64)
-    if len(ids) > 2:
-        keys[0] = high[1:] | pair[1:]
-        keys[0] |= np.uint64(0xFFFF << 32)
-        keys[1] = (pair[:-1] << np.uint64(16)) | wide[2:]
-        keys[1] |= high[:-1]
-    at = np.flatnonzero(counts)
-    return at, np.concatenate([keys[0][at - 2], keys[1][at - 2]])
+    return np.flatnonzero(counts)
+
+
+def id_keys(ids: np.ndarray, edge: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The counted places, and the keys of their pairs, then of their triples."""
+    at = counted_places(edge, lead)
+    if len(ids) < 3:
+        return at, np.zeros(0, np.uint64)
+    triples = triple_keys(ids)[at - 2]
+    return at, np.concatenate([pair_keys(triples & np.uint64(0xFFFFFFFF)), triples])
 
 
 def id_words(ids: np.ndarray, edge: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,12 +254,27 @@ def id_words(ids: np.ndarray, edge: np.ndarray, begins: np.ndarray) -> tuple[np.
 def ascending(keys: np.ndarray, kind: str = "quicksort") -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in ascending order and how many there are of each."""
     k = np.sort(keys, kind=kind)
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
-    at = np.flatnonzero(new)
+    at = starts(k)
     return k[at], np.diff(at, append=len(k))
 
 
+def starts(keys: np.ndarray) -> np.ndarray:
+    """Where each distinct one of ascending keys begins."""
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return np.flatnonzero(new)
+
+
+def spots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in ascending order and the place of each, equal ones by their places; short keys are sorted with their places below."""
+    bits = len(keys).bit_length()
+    if not len(keys) or int(keys.max()).bit_length() + bits > 64:
+        order = np.argsort(keys, kind="stable")
+        return keys[order], order
+    both = np.sort((keys << np.uint64(bits)) | np.arange(len(keys), dtype=np.uint64))
+    return both >> np.uint64(bits), (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
 def distinct(keys: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in ascending order, and how many of each are counted."""
     if counted.all():
@@ -288,56 +319,102 @@ def places(u: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
+class Kinds:
+    """The distinct pairs and triples of ids in a block's streams, in the order of their keys.
+
+    Places are sorted by their pairs, then by the number of the pair before and their own id, so a
+    triple knows its pair and the pair before it. ``order`` merges both kinds of keys.
+    """
+
+    def __init__(self, ids: np.ndarray, edge: np.ndarray) -> None:
+        wide = ids.astype(np.uint64)
+        key, spot = spots((wide[:-1] << np.uint64(16)) | wide[1:])  # the ends between two texts are a pair END END
+        start = starts(key)
+        keys = pair_keys(key[start])
+        order = np.argsort(keys)
+        self.pairs = keys[order]
+        number = np.empty(len(order), np.int32)
+        number[order] = np.arange(len(order), dtype=np.int32)
+        pair = np.empty(len(ids), np.int32)  # the pair that ends at a place
+        pair[spot + 1] = np.repeat(number, np.diff(start, append=len(key)))
+        at = counted_places(edge, np.full(len(edge) - 1, 2))
+        key, spot = spots((pair[at - 1].astype(np.uint64) << np.uint64(16)) | wide[at])
+        self.start, self.at = starts(key), at[spot]
+        self.many = np.diff(self.start, append=len(key))
+        self.pair = pair[self.at[self.start]]
+        self.seen = (key[self.start] >> np.uint64(16)).astype(np.int32)
+        self.z = (key[self.start] & np.uint64(0xFFFF)).astype(np.int32)
+        xy = self.pairs[self.seen]
+        triples = (xy & np.uint64(0xFFFF << 48)) | ((xy & np.uint64(0xFFFFFFFF)) << np.uint64(16)) | self.z.astype(np.uint64)
+        self.order = np.argsort(np.concatenate([self.pairs, triples]), kind="stable")  # two ascending runs are merged
+        self.triples = triples
+
+    def keys(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All distinct keys in ascending order, and how many of each stand at places that count."""
+        n = np.add.reduceat(counts[self.at].astype(np.int64), self.start) if len(self.at) else np.zeros(0, np.int64)
+        pairs = np.bincount(self.pair, weights=n, minlength=len(self.pairs)).astype(np.int64)
+        return np.concatenate([self.pairs, self.triples])[self.order], np.concatenate([pairs, n])[self.order]
+
+    def values(self, uni: np.ndarray, sums: np.ndarray) -> Iterator[np.ndarray]:
+        """``after`` of every distinct triple, of the sums of all distinct keys in ascending order."""
+        n = np.empty(len(sums))
+        n[self.order] = sums
+        pair, triple = n[: len(self.pairs)], n[len(self.pairs) :]
+        out = np.empty(len(triple), np.float32), np.empty(len(triple), np.float32), np.empty(len(triple), np.uint8)
+        for a in range(0, len(triple), CHUNK):
+            part = slice(a, a + CHUNK)
+            xy = (self.pairs[self.seen[part]] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            for to, v in zip(out, after(xy >> 16, xy & 0xFFFF, self.z[part], uni, pair[self.pair[part]], pair[self.seen[part]], triple[part])):
+                to[part] = v
+        return iter(out)
+
+
 class Block:
     """A block's streams with its distinct keys: the same when they are sent and when their sums come back.
 
-    Without ``begins`` its words are left out, without ``sends`` how often its training texts have each key.
+    Without ``begins`` its words are left out.
     """
 
-    def __init__(self, rows: pa.Table, begins: np.ndarray | None, sends: bool = False) -> None:
+    def __init__(self, rows: pa.Table, begins: np.ndarray | None) -> None:
         parts = list(streams(rows.column("ids"), 1 << 62))
         _, self.ids, self.edge = parts[0] if parts else (0, np.zeros(0, np.int32), np.zeros(1, np.int64))
         self.held = np.asarray(rows.column("held_out"), bool)
-        self.at, keys = id_keys(self.ids, self.edge, np.full(len(self.edge) - 1, 2))
-        self.keys = {ID_KEYS: keys}
         if begins is not None:
-            self.text, self.keys[WORD_KEYS] = id_words(self.ids, self.edge, begins)
-        if sends:
-            counted = np.repeat(~self.held, np.diff(self.edge))[self.at]
-            self.kinds = {ID_KEYS: distinct(keys, np.concatenate([counted, counted]))}
-            if begins is not None:
-                self.kinds[WORD_KEYS] = distinct(self.keys[WORD_KEYS], ~self.held[self.text])
-
-    def each(self, kind: int, sums: np.ndarray) -> np.ndarray:
-        """The sum of every key, of the sums of the distinct ones; once for a kind, whose keys are let go."""
-        keys = self.keys.pop(kind)
-        return sums[places(ascending(keys)[0], keys)] if len(sums) else sums
+            self.text, self.words = id_words(self.ids, self.edge, begins)
+
+    def kinds(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Distinct keys of each kind and how often the block's training texts have them."""
+        return {ID_KEYS: Kinds(self.ids, self.edge).keys(np.repeat(~self.held, np.diff(self.edge))), WORD_KEYS: distinct(self.words, ~self.held[self.text])}
+
+    def word_sums(self, sums: np.ndarray) -> np.ndarray:
+        """The sum of every word, of the sums of the distinct ones."""
+        return sums[places(ascending(self.words)[0], self.words)] if len(sums) else sums
 
     def values(self, uni: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``next_id`` at every place from the third on, of the sums of this block's distinct keys."""
-        n = self.each(ID_KEYS, sums)
-        pair, triple = np.zeros(len(self.ids)), np.zeros(len(self.ids))
-        pair[self.at], triple[self.at] = n[: len(self.at)], n[len(self.at) :]
-        del n, self.at
-        many = max(len(self.ids) - 2, 0)
-        out = np.empty(many, np.float32), np.empty(many, np.float32), np.empty(many, np.uint8)
-        for a in range(0, many, CHUNK):
-            part = slice(a, a + CHUNK + 2)
-            for to, x in zip(out, next_id(self.ids[part], uni, pair[part], triple[part])):
-                to[a : a + CHUNK] = x
-        return out
+        kinds = Kinds(self.ids, self.edge)
+        out = []
+        for v in kinds.values(uni, sums):
+            each = np.zeros(max(len(self.ids) - 2, 0), v.dtype)
+            each[kinds.at - 2] = np.repeat(v, kinds.many)
+            out.append(each)
+        return tuple(out)
 
 
-def next_id(ids: np.ndarray, uni: np.ndarray, pair: np.ndarray, triple: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """P(z | y), P(z | x y) and the bucket of how often x y was counted, at every place from the third on."""
+def after(x: np.ndarray, y: np.ndarray, z: np.ndarray, uni: np.ndarray, pair: np.ndarray, seen: np.ndarray, triple: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P(z | y), P(z | x y) and the bucket of how often x y was counted, of the counts of y z, x y and x y z."""
     one = (uni + 0.5) / (uni.sum() + 0.5 * IDS)
-    x, y, z = ids[:-2], ids[1:-1], ids[2:]
-    two = (pair[2:] + 10 * one[z]) / (uni[y] + 10)
-    seen = np.where((x == END) & (y == END), uni[END], pair[1:-1])  # a pair is counted where its second id stands
-    three = (triple[2:] + 5 * two) / (seen + 5)
+    two = (pair + 10 * one[z]) / (uni[y] + 10)
+    seen = np.where((x == END) & (y == END), uni[END], seen)
+    three = (triple + 5 * two) / (seen + 5)
     return two.astype(np.float32), three.astype(np.float32), np.minimum(np.log2(seen + 1).astype(np.int64), BUCKETS - 1)
 
 
+def next_id(ids: np.ndarray, uni: np.ndarray, pair: np.ndarray, triple: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``after`` at every place from the third on, of the counts at every place."""
+    return after(ids[:-2], ids[1:-1], ids[2:], uni, pair[2:], pair[1:-1], triple[2:])  # a pair is counted where its second id stands
+
+
 def packed() -> pa.Codec:
     return pa.Codec("zstd", 1)
 
@@ -359,11 +436,13 @@ SUMS = "block long, kind int, bucket int, first boolean, sums binary, total long
 def sent(blocks: DataFrame, buckets: int, path: str | None) -> DataFrame:
     """Each block's distinct keys and how often its training texts have them, by the bucket they fall in; one piece is its first."""
 
+    begins = np.packbits(word_starts(path))  # made once, small
+
     def run(rows: pa.Table) -> pa.Table:
-        b = Block(rows, word_starts(path), sends=True)
+        b = Block(rows, np.unpackbits(begins, count=IDS).astype(bool))
         cuts = np.array([(-(-i * 65536 // buckets)) << 48 for i in range(1, buckets)], np.uint64)
         out: list[tuple[int, int, bool, bytes, bytes]] = []
-        for kind, (keys, n) in b.kinds.items():
+        for kind, (keys, n) in b.kinds().items():
             ends = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
             out += [(kind, i, kind == ID_KEYS and s == 0, planes(keys[s:e]), planes(n[s:e])) for i, (s, e) in enumerate(zip(ends, ends[1:])) if e > s]
         block = rows.column("block")[0].as_py()
@@ -399,10 +478,16 @@ def joined(right: pa.Table, kind: int) -> np.ndarray:
     return np.concatenate([unplanes(s, np.int64) for _, s in rows]) if rows else np.zeros(0, np.int64)
 
 
-def embedding() -> np.ndarray:
-    """Fixed random signs of each id: a table for the last id and one for the one before."""
-    bits = hashed(np.arange(IDS * 2 * WIDTH, dtype=np.uint64), 21) >> np.uint64(63)
-    return ((bits.astype(np.float32) * 2 - 1) / np.float32(WIDTH**0.5)).reshape(2, IDS, WIDTH)
+def signs() -> np.ndarray:
+    """Fixed random signs of each id, as bits: for the last id and for the one before."""
+    return np.packbits((hashed(np.arange(IDS * 2 * WIDTH, dtype=np.uint64), 21) >> np.uint64(63)).astype(np.uint8))
+
+
+def embedding(bits: np.ndarray | None = None) -> np.ndarray:
+    """The signs as numbers: a table for the last id and one for the one before."""
+    each = np.unpackbits(signs() if bits is None else bits, count=IDS * 2 * WIDTH)
+    unit = np.float32(WIDTH**0.5)
+    return np.array([-1 / unit, 1 / unit], np.float32).take(each).reshape(2, IDS, WIDTH)
 
 
 def start_weights() -> dict[str, np.ndarray]:
@@ -410,25 +495,38 @@ def start_weights() -> dict[str, np.ndarray]:
     return {"form": form, "distance": np.full(SPAN + STEP, -6.0, np.float32), "sinks": np.stack([np.zeros(BUCKETS), np.linspace(0, 3, BUCKETS)]).astype(np.float32)}
 
 
-#: Place minus key of each scored place and key of a window, and as an index of the distances.
+#: Place minus key of each scored place and key of a window, as an index of the distances, and which keys are known there.
 FAR = np.arange(STEP)[:, None] + (SPAN - STEP + 1) - np.arange(SPAN)[None, :]
 CLIPPED = np.clip(FAR, 0, SPAN + STEP - 1)
+KNOWN = FAR >= 2
+
+
+def last_same(ids: np.ndarray) -> np.ndarray:
+    """The last place before each one with the same id, else -1."""
+    key, spot = spots(ids.astype(np.uint64))
+    out = np.full(len(ids), -1, np.int32)
+    out[spot[1:]] = np.where(key[1:] == key[:-1], spot[:-1], -1)
+    return out
 
 
 class Windows:
-    """All windows of a stream of ids: ``STEP`` scored places and ``SPAN`` keys in each.
+    """All windows of a stream of ids: ``STEP`` scored places and ``SPAN`` keys in each, those of the block before and its own.
 
-    ``value`` is what ``next_id`` gives; with ``lead`` each stream is one window that scores from there.
+    A key stands at the place whose id followed it. ``value`` is what ``next_id`` gives; with ``lead`` each
+    stream is one window that scores from there.
     """
 
     def __init__(self, z: np.ndarray, edge: np.ndarray, value: tuple[np.ndarray, np.ndarray, np.ndarray], table: np.ndarray, lead: np.ndarray | None = None) -> None:
-        self.z, self.value, self.table = z, value, table
-        self.short = z.astype(np.uint16)
+        self.z, self.value, self.table = z, value, table.reshape(2 * IDS, WIDTH)
+        self.most = float(np.abs(table).max()) ** 2  # of a product of two embedded numbers
         many = -(-(np.diff(edge) - 2) // STEP) if lead is None else np.ones(len(edge) - 1, np.int64)
         self.text = np.repeat(np.arange(len(many)), many)
         nth = np.arange(len(self.text)) - np.repeat(np.cumsum(many) - many, many)
         self.first = edge[self.text] + 2 + nth * STEP if lead is None else edge[:-1] + lead
         self.low, self.high = edge[self.text], edge[self.text + 1]
+        self.hop = 1 if lead is None else 2  # blocks of a window: those of one text share theirs
+        self.ready = range(0)
+        self.room = np.empty((0, STEP, SPAN), np.float32)
 
     def keep(self, texts: np.ndarray) -> Windows:
         """Only the windows of these texts (a mask)."""
@@ -436,69 +534,102 @@ class Windows:
         self.text, self.first, self.low, self.high = (x[kept] for x in (self.text, self.first, self.low, self.high))
         return self
 
+    def prepare(self, a: int, b: int) -> None:
+        """What the batches of windows ``a`` to ``b`` share: their places' ids and values, and the keys that copy an id."""
+        first, low = self.first[a:b], self.low[a:b]
+        begin, floor = first - STEP, np.maximum(first - STEP, low + 2)
+        start = np.append(begin[0], first) if self.hop == 1 else np.stack([begin, first], 1).ravel()
+        place = np.clip(start[:, None] + np.arange(STEP), 2, len(self.z) - 1)
+        at = place[1 :: self.hop]  # scored places
+        self.real = first[:, None] + np.arange(STEP) < self.high[a:b, None]
+        self.inside = begin[:, None] + np.arange(STEP) >= low[:, None] + 2  # keys of the block before that are in the text
+        self.begins = ~self.inside[:, 0]
+        self.rows = np.empty((*place.shape, 2), np.int64)
+        self.rows[..., 0], self.rows[..., 1] = self.z.take(place - 1), self.z.take(place - 2)
+        self.rows[..., 1] += IDS
+        self.values = [v.take(at - 2) for v in self.value]
+        self.values[2] = self.values[2].astype(np.int64)
+        # of each place the earlier ones with its id, one after the other
+        base = max(int(begin[0]), 0)
+        last = last_same(self.z[base : int(at[-1, -1]) + 1])
+        key = np.where(self.real, last.take(at - base), -1).ravel()
+        least = np.repeat((floor - base).astype(np.int32), STEP)
+        code = np.arange(0, len(key) * SPAN, SPAN, dtype=np.int32) - np.repeat((begin - base).astype(np.int32), STEP)
+        hits = [np.zeros(0, np.int32)]
+        while len(key):
+            kept = np.flatnonzero(key >= least)
+            key, least, code = key.take(kept), least.take(kept), code.take(kept)
+            hits.append(code + key)
+            key = last.take(key)
+        self.hits = np.sort(np.concatenate(hits))
+        self.ends = np.searchsorted(self.hits, np.arange(0, (b - a + 1) * STEP * SPAN, STEP * SPAN))
+        self.ready = range(a, b)
+
     def batch(self, w: slice, m: dict[str, np.ndarray], learn: bool) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray] | None]:
         """Each place's probability (1 where a window goes beyond its text), and the gradient's sums."""
-        first, z = self.first[w], self.z
-        at = first[:, None] + np.arange(STEP)[None, :]  # scored places
-        real = at < self.high[w][:, None]
-        at = np.minimum(at, len(z) - 1)
-        key = first[:, None] + (np.arange(SPAN) - (SPAN - STEP + 1))[None, :]  # keys: places whose next id is known
-        inside = key > self.low[w][:, None]
-        key = np.clip(key, 1, len(z) - 2)
-        # the batch's windows follow each other: the stretch of the stream that they cover, embedded once
-        low, high = int(key[0, 0]), int(max(at[-1, -1], key[-1, -1] + 1)) + 1
-        near = z[low - 1 : high]
-        one = np.ones((high - low, 2 * WIDTH + 1), np.float32)
-        e = one[:, :-1]
-        e[:, :WIDTH] = self.table[0].take(near[1:], axis=0)
-        e[:, WIDTH:] = self.table[1].take(near[:-1], axis=0)
-        asks = np.empty((len(e), 2 * WIDTH + 1), np.float32)
-        for i in range(0, len(e), 1024):
-            np.matmul(e[i : i + 1024], m["form"], out=asks[i : i + 1024, :-1])
-        two, three, bucket = (v[at - 2] for v in self.value)
-        sink = m["sinks"][:, bucket]
-        sinks = np.maximum(sink[0], sink[1])
-        # scores less a bound of the greatest one (the embedding's rows have a norm of sqrt 2 at most):
-        # that difference is one more column of the product
-        asks[:, -1] = np.sqrt(2 * np.einsum("ij,ij->i", asks[:, :-1], asks[:, :-1])) + m["distance"].max()
-        q = asks.take(at - 1 - low, axis=0)
-        bound = q[..., -1]
-        loose = bool((bound - sinks).max() > 40)  # far from all scores: their own maximum is taken
-        top = np.zeros_like(sinks) if loose else np.maximum(sinks, bound)
-        q[..., -1] = -top
-        k = one.take(key - low, axis=0)
-        weight = q @ k.transpose(0, 2, 1)
-        weight += np.where(FAR >= 2, m["distance"][CLIPPED], np.float32(-1e9))
-        begins = np.flatnonzero(~inside[:, 0])  # windows that reach back to before their text
-        weight[begins] += np.where(inside[begins], 0, -1e9).astype(np.float32)[:, None, :]
-        if loose:
-            top = np.maximum(sinks, weight.max(axis=2))
+        start, stop, hop = w.start, min(w.stop, len(self.first)), self.hop
+        if start < self.ready.start or stop > self.ready.stop:
+            self.prepare(start, min(max(stop, start + STRETCH), len(self.first)))
+        n, at = stop - start, slice(start - self.ready.start, stop - self.ready.start)
+        if len(self.room) < n:
+            self.room = np.empty((n, STEP, SPAN), np.float32)
+            self.asked = np.empty((2 * WIDTH, 2 * (n + 1) * STEP + STEP // 2), np.float32)  # rows of no round length: they fall on other lines of the cache
+        weight, real, (two, three, bucket) = self.room[:n], self.real[at], (v[at] for v in self.values)
+        # blocks of ``STEP`` embedded places; a window's keys are the block before it and its own
+        e = self.table.take(self.rows[hop * at.start : hop * at.stop + 2 - hop], axis=0).reshape(-1, STEP, 2 * WIDTH)
+        asked = self.asked[:, : e.shape[0] * STEP]
+        np.matmul(m["form"], e.reshape(-1, 2 * WIDTH).T, out=asked)
+        wide, size = hop * STEP, e.itemsize
+        np.matmul(e[1::hop], np.lib.stride_tricks.as_strided(asked, (n, 2 * WIDTH, SPAN), (wide * size, asked.strides[0], size)), out=weight)
+        begins = np.flatnonzero(self.begins[at])  # windows that reach back to before their text
+        sinks, distance = m["sinks"], m["distance"]
+        if self.most * np.abs(m["form"]).sum() + max(distance.max(), 0) > 60 or np.abs(sinks).max() > 60:  # exp may leave its range: less the maximum
+            weight += np.where(KNOWN, distance[CLIPPED], np.float32(-1e9))
+            weight[begins, :, :STEP] += np.where(self.inside[at][begins], 0, -1e9).astype(np.float32)[:, None, :]
+            sink = sinks.take(bucket, axis=1)
+            top = np.maximum(sink.max(axis=0), weight.max(axis=2))
             weight -= top[..., None]
+            s0, s1 = np.exp(sink - top)
+            near = KNOWN.astype(np.float32)
+        else:
+            s0, s1 = (np.exp(s).take(bucket) for s in sinks)
+            near = np.where(KNOWN, np.exp(distance)[CLIPPED], np.float32(0))
         np.exp(weight, out=weight)
-        s0, s1 = np.exp(sink[0] - top), np.exp(sink[1] - top)
-        total = weight @ np.ones(SPAN, np.float32) + s0 + s1
-        copies = self.short[key + 1][:, None, :] == self.short[at][..., None]
-        hits = np.flatnonzero(copies)  # few of the keys
-        places_hit, weight_hit = hits // SPAN, weight.ravel()[hits]
-        copied = np.bincount(places_hit, weights=weight_hit, minlength=at.size).reshape(at.shape)
+        if len(begins):
+            weight[begins, :, :STEP] *= self.inside[at][begins][:, None, :]
+        low, high = self.ends[at.start], self.ends[at.stop]
+        hits = self.hits[low:high] - at.start * STEP * SPAN  # few of the keys
+        places_hit = hits // SPAN
+        if learn:
+            weight *= near
+            weight_hit = weight.ravel().take(hits)
+            total = (weight.reshape(-1, SPAN) @ np.ones(SPAN, np.float32)).reshape(n, STEP)
+        else:
+            weight_hit = weight.ravel().take(hits) * near.ravel().take(hits % (STEP * SPAN))
+            total = (weight.transpose(1, 0, 2) @ near[..., None])[..., 0].T
+        total = total + s0 + s1
+        copied = np.bincount(places_hit, weights=weight_hit, minlength=n * STEP).reshape(n, STEP)
         good = s0 * two + s1 * three + copied
         p = np.where(real, good / total, 1.0)
         if not learn:
             return p, real, None
-        scale = real / len(first)
-        # share of the outcome (of the few keys that copy it) minus share of the attention, for each key and sink
-        g = weight
-        g *= (-scale / total).astype(np.float32)[..., None]
-        g.ravel()[hits] += (weight_hit * (scale / np.maximum(good, 1e-30)).ravel()[places_hit]).astype(np.float32)
-        g0 = s0 * scale * (two / np.maximum(good, 1e-30) - 1 / total)
-        g1 = s1 * scale * (three / np.maximum(good, 1e-30) - 1 / total)
-        sinks = np.stack([np.bincount(bucket.ravel(), weights=x.ravel(), minlength=BUCKETS) for x in (g0, g1)])
-        distance = np.bincount(CLIPPED.ravel(), weights=g.sum(axis=0).ravel(), minlength=SPAN + STEP)
-        form = e.take(at - 1 - low, axis=0).reshape(-1, 2 * WIDTH).T @ (g @ k)[..., :-1].reshape(-1, 2 * WIDTH)
+        good = np.maximum(good, 1e-30)
+        # share of the outcome (of the few keys that copy it) minus share of the attention, for each key; both over ``share``
+        share = real * np.float32(-1 / n) / total
+        gain = (total / good).astype(np.float32)
+        each = bucket.ravel()
+        sinks = np.stack([np.bincount(each, weights=(s * share * (1 - v * gain)).ravel(), minlength=BUCKETS) for s, v in ((s0, two), (s1, three))])
+        weight.ravel()[hits] = weight_hit - weight_hit * gain.ravel().take(places_hit)
+        far = (share.T[:, None, :] @ weight.transpose(1, 0, 2))[:, 0]
+        distance = np.bincount(CLIPPED.ravel(), weights=far.ravel(), minlength=SPAN + STEP)
+        pulled = weight @ np.lib.stride_tricks.as_strided(e, (n, SPAN, 2 * WIDTH), (wide * e.strides[1], *e.strides[1:]))
+        pulled *= share[..., None]
+        form = (e[1::hop].transpose(0, 2, 1) @ pulled).sum(axis=0)
         return p, real, {"form": form, "distance": distance, "sinks": sinks}
 
 
-BATCH = 64  # windows scored at once: their scores stay in the processor's cache
+STRETCH = 4096  # windows whose places are prepared at once
+BATCH = 64  # windows worked on at once: their scores stay in the processor's cache
 LEARN_BATCH = 256  # windows of a gradient step
 
 
@@ -506,8 +637,10 @@ def learn(w: Windows, m: dict[str, np.ndarray], squares: dict[str, np.ndarray])
     """One pass of gradient ascent over the windows, with rates by coordinate."""
     n = len(w.first)
     for a in range(0, n, LEARN_BATCH):
-        _, _, grad = w.batch(slice(a, a + LEARN_BATCH), m, True)
-        for name, g in grad.items():
+        step = range(a, min(a + LEARN_BATCH, n), BATCH)
+        parts = [(w.batch(slice(i, min(i + BATCH, step.stop)), m, True)[2], min(BATCH, step.stop - i) / (step.stop - a)) for i in step]
+        for name in m:
+            g = sum(part[name] * share for part, share in parts)
             squares[name] += g * g
             m[name] += (RATE * g / (np.sqrt(squares[name]) + 1e-6)).astype(np.float32)
     return n
@@ -529,6 +662,8 @@ def unflat(v: np.ndarray) -> dict[str, np.ndarray]:
 def train(dealt: DataFrame, sums: DataFrame, uni) -> DataFrame:  # noqa: ANN001
     """(weights): each block learns on all windows of its training texts, the results are averaged by windows; one row."""
 
+    bits = signs()
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["i", "v", "n"]
         if not len(left) or np.asarray(left.column("held_out"), bool).all():  # nothing to learn from
@@ -536,7 +671,7 @@ def train(dealt: DataFrame, sums: DataFrame, uni) -> DataFrame:  # noqa: ANN001
         m = start_weights()
         squares = {k: np.zeros(v.shape) for k, v in m.items()}
         b = Block(left.take(np.argsort(np.asarray(left.column("h")), kind="stable")), None)  # equal hashes: equal rows
-        n = learn(Windows(b.ids, b.edge, b.values(uni.value, joined(right, ID_KEYS)), embedding()).keep(~b.held), m, squares)
+        n = learn(Windows(b.ids, b.edge, b.values(uni.value, joined(right, ID_KEYS)), embedding(bits)).keep(~b.held), m, squares)
         v = flat(m)
         return pa.table([pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v * n), pa.array(np.full(len(v), float(n)))], names=names)
 
@@ -555,12 +690,12 @@ def weights_of(row: list[float] | None) -> dict[str, np.ndarray]:
 def score_texts(ids: np.ndarray, edge: np.ndarray, value: tuple[np.ndarray, np.ndarray, np.ndarray], m: dict[str, np.ndarray], table: np.ndarray) -> np.ndarray:
     """log10 probability of each text of a stream."""
     w = Windows(ids, edge, value, table)
-    out = np.zeros(len(edge) - 1)
+    each = np.zeros(len(w.first))
     for a in range(0, len(w.first), BATCH):
         s = slice(a, a + BATCH)
         p, _, _ = w.batch(s, m, False)
-        np.add.at(out, w.text[s], np.log10(p.astype(np.float64)).sum(axis=1))
-    return out
+        each[s] = np.log(p).sum(axis=1)
+    return np.bincount(w.text, weights=each, minlength=len(edge) - 1) / np.log(10)
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_sum double, score double, train_words long, train_kinds long"
@@ -584,22 +719,24 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     learned = train(dealt, sums, uni).select(F.lit(True).alias("first"), "weights")
     come_back = sums.join(F.broadcast(learned), "first", "left")  # one row of about 1,100 numbers
 
+    begins, bits = np.packbits(word_starts(path)), signs()
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         names = [f.split()[0] for f in RESULT.split(", ")]
         if not len(left):  # a block that no text fell in
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())], names=names)
-        b = Block(left, word_starts(path))
+        b = Block(left, np.unpackbits(begins, count=IDS).astype(bool))
         m = weights_of(right.filter(right.column("first")).column("weights")[0].as_py())
         many = len(left)
-        n = b.each(WORD_KEYS, joined(right, WORD_KEYS))
+        n = b.word_sums(joined(right, WORD_KEYS))
         words = np.array([k == WORD_KEYS for k in right.column("kind").to_pylist()])
         # what the block's pieces know of N and V goes with its first row
         total, kinds = np.zeros(many, np.int64), np.zeros(many, np.int64)
         total[0], kinds[0] = (int(np.asarray(right.column(c))[words].sum()) for c in ("total", "kinds"))
         counts = [np.bincount(b.text, minlength=many), np.bincount(b.text[n > 0], minlength=many), np.bincount(b.text, weights=np.log10(n + 0.1), minlength=many)]
-        del n
+        del n, b.text, b.words
         value = b.values(uni.value, joined(right, ID_KEYS))
-        columns = [left.column("doc_id"), left.column("held_out"), *counts, score_texts(b.ids, b.edge, value, m, embedding()), total, kinds]
+        columns = [left.column("doc_id"), left.column("held_out"), *counts, score_texts(b.ids, b.edge, value, m, embedding(bits)), total, kinds]
         return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c) for c in columns], names=names)
 
     out = cut(dealt.groupBy("block").cogroup(come_back.groupBy("block")).applyInArrow(lambda left, right: run(left, right), RESULT))
