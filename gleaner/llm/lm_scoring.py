@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import cut, text_id
-from gleaner.llm.textarrays import NOT_SPACE, SLICE_BYTES, Texts, hashed, polynomial, slices
+from gleaner.llm.textarrays import NOT_SPACE, SLICE_BYTES, Texts, hashed, slices
 
 IDS = 50257
 END = 50256  # stands for the end of a text, and before its beginning
@@ -244,13 +244,30 @@ def id_keys(ids: np.ndarray, edge: np.ndarray, lead: np.ndarray) -> tuple[np.nda
 
 def id_words(ids: np.ndarray, edge: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Text numbers and hashes of all words, by their ids, and of an end for each text."""
-    start = np.flatnonzero(begins[ids])
-    text = np.searchsorted(edge, start, "right") - 1
-    end = np.minimum(np.append(start[1:], len(ids)), edge[text + 1] - 1)
-    h = polynomial(hashed(ids.astype(np.uint64), 31), start, end)
+    start = np.flatnonzero(begins.take(ids))
+    text = np.repeat(np.arange(len(edge) - 1), np.diff(np.searchsorted(start, edge)))
+    size = np.diff(start, append=len(ids))  # ends of texts are worth nothing
+    code = hashed(np.arange(IDS, dtype=np.uint64), 31)
+    code[END] = 0
+    h = np.zeros(0, np.uint64)
+    if len(start):
+        nth = np.arange(start[0], len(ids), dtype=np.int32)
+        nth -= np.repeat(start.astype(np.int32), size)
+        with np.errstate(over="ignore"):
+            part = code.take(ids[start[0] :])
+            part *= powers(int(size.max())).take(nth)
+            h = np.add.reduceat(part, start - start[0])
+        h = hashed(h ^ (np.minimum(start + size, edge[text + 1] - 1) - start).astype(np.uint64) * SPREAD, 32)
     return np.concatenate([text, np.arange(len(edge) - 1)]), np.concatenate([h, np.full(len(edge) - 1, END_WORD)])
 
 
+def powers(n: int) -> np.ndarray:
+    """The first ``n`` powers of an odd number, modulo 2**64."""
+    x = np.full(n, 0xD1342543DE82EF95, np.uint64)
+    x[:1] = 1
+    return np.multiply.accumulate(x)
+
+
 def ascending(keys: np.ndarray, kind: str = "quicksort") -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in ascending order and how many there are of each."""
     k = np.sort(keys, kind=kind)
@@ -271,8 +288,12 @@ def spots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(keys) or int(keys.max()).bit_length() + bits > 64:
         order = np.argsort(keys, kind="stable")
         return keys[order], order
-    both = np.sort((keys << np.uint64(bits)) | np.arange(len(keys), dtype=np.uint64))
-    return both >> np.uint64(bits), (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+    both = keys << np.uint64(bits)
+    both |= np.arange(len(keys), dtype=np.uint64)
+    both.sort()
+    place = both & np.uint64((1 << bits) - 1)
+    both >>= np.uint64(bits)
+    return both, place.view(np.int64)
 
 
 def distinct(keys: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -327,8 +348,10 @@ class Kinds:
     """
 
     def __init__(self, ids: np.ndarray, edge: np.ndarray) -> None:
-        wide = ids.astype(np.uint64)
-        key, spot = spots((wide[:-1] << np.uint64(16)) | wide[1:])  # the ends between two texts are a pair END END
+        wide = np.append(np.uint64(END), ids.astype(np.uint64))
+        key = wide[:-1] << np.uint64(16)
+        key |= wide[1:]  # the ends between two texts are a pair END END
+        key, spot = spots(key)
         start = starts(key)
         keys = pair_keys(key[start])
         order = np.argsort(keys)
@@ -336,11 +359,17 @@ class Kinds:
         number = np.empty(len(order), np.int32)
         number[order] = np.arange(len(order), dtype=np.int32)
         pair = np.empty(len(ids), np.int32)  # the pair that ends at a place
-        pair[spot + 1] = np.repeat(number, np.diff(start, append=len(key)))
-        at = counted_places(edge, np.full(len(edge) - 1, 2))
-        key, spot = spots((pair[at - 1].astype(np.uint64) << np.uint64(16)) | wide[at])
-        self.start, self.at = starts(key), at[spot]
-        self.many = np.diff(self.start, append=len(key))
+        pair[spot] = np.repeat(number, np.diff(start, append=len(key)))
+        key = np.append(np.int32(0), pair[:-1]).astype(np.uint64)
+        key <<= np.uint64(16)
+        key |= wide[1:]
+        for begin in (edge[:-1], edge[:-1] + 1):
+            key[begin] = len(order) << 16  # no triple ends here: behind all others
+        key, spot = spots(key)
+        many = len(ids) - 2 * (len(edge) - 1)
+        key, self.at = key[:many], spot[:many]
+        self.start = starts(key)
+        self.many = np.diff(self.start, append=many)
         self.pair = pair[self.at[self.start]]
         self.seen = (key[self.start] >> np.uint64(16)).astype(np.int32)
         self.z = (key[self.start] & np.uint64(0xFFFF)).astype(np.int32)
@@ -420,13 +449,16 @@ def packed() -> pa.Codec:
 
 
 def planes(x: np.ndarray) -> bytes:
-    """64-bit numbers byte by byte, so that their equal high bytes stand together, compressed."""
-    return packed().compress(x.view(np.uint8).reshape(-1, 8).T.tobytes(), asbytes=True) + len(x).to_bytes(4, "little")
+    """64-bit numbers byte by byte, so that their equal high bytes stand together, compressed; high bytes that all are 0 are left out."""
+    many = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    return packed().compress(x.view(np.uint8).reshape(-1, 8).T[:many].tobytes(), asbytes=True) + bytes([many]) + len(x).to_bytes(4, "little")
 
 
 def unplanes(x: bytes, kind: type) -> np.ndarray:
-    n = int.from_bytes(x[-4:], "little")
-    return np.ascontiguousarray(np.frombuffer(packed().decompress(x[:-4], 8 * n), np.uint8).reshape(8, -1).T).view(kind).ravel()
+    many, n = x[-5], int.from_bytes(x[-4:], "little")
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :many] = np.frombuffer(packed().decompress(x[:-5], many * n), np.uint8).reshape(many, n).T
+    return out.view(kind).ravel()
 
 
 SENT = "block long, kind int, bucket int, first boolean, keys binary, n binary"
@@ -565,7 +597,13 @@ class Windows:
         self.ends = np.searchsorted(self.hits, np.arange(0, (b - a + 1) * STEP * SPAN, STEP * SPAN))
         self.ready = range(a, b)
 
-    def batch(self, w: slice, m: dict[str, np.ndarray], learn: bool) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray] | None]:
+    def factors(self, m: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray] | None:
+        """What distances and sinks multiply; nothing where an exponential may leave its range."""
+        if self.most * np.abs(m["form"]).sum() + max(m["distance"].max(), 0) > 60 or np.abs(m["sinks"]).max() > 60:
+            return None
+        return np.where(KNOWN, np.exp(m["distance"])[CLIPPED], np.float32(0)), np.exp(m["sinks"])
+
+    def batch(self, w: slice, m: dict[str, np.ndarray], learn: bool, factors: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray] | None]:
         """Each place's probability (1 where a window goes beyond its text), and the gradient's sums."""
         start, stop, hop = w.start, min(w.stop, len(self.first)), self.hop
         if start < self.ready.start or stop > self.ready.stop:
@@ -582,18 +620,18 @@ class Windows:
         wide, size = hop * STEP, e.itemsize
         np.matmul(e[1::hop], np.lib.stride_tricks.as_strided(asked, (n, 2 * WIDTH, SPAN), (wide * size, asked.strides[0], size)), out=weight)
         begins = np.flatnonzero(self.begins[at])  # windows that reach back to before their text
-        sinks, distance = m["sinks"], m["distance"]
-        if self.most * np.abs(m["form"]).sum() + max(distance.max(), 0) > 60 or np.abs(sinks).max() > 60:  # exp may leave its range: less the maximum
-            weight += np.where(KNOWN, distance[CLIPPED], np.float32(-1e9))
+        factors = factors or self.factors(m)
+        if factors is None:  # less the maximum
+            weight += np.where(KNOWN, m["distance"][CLIPPED], np.float32(-1e9))
             weight[begins, :, :STEP] += np.where(self.inside[at][begins], 0, -1e9).astype(np.float32)[:, None, :]
-            sink = sinks.take(bucket, axis=1)
+            sink = m["sinks"].take(bucket, axis=1)
             top = np.maximum(sink.max(axis=0), weight.max(axis=2))
             weight -= top[..., None]
             s0, s1 = np.exp(sink - top)
             near = KNOWN.astype(np.float32)
         else:
-            s0, s1 = (np.exp(s).take(bucket) for s in sinks)
-            near = np.where(KNOWN, np.exp(distance)[CLIPPED], np.float32(0))
+            near, sinks = factors
+            s0, s1 = sinks[0].take(bucket), sinks[1].take(bucket)
         np.exp(weight, out=weight)
         if len(begins):
             weight[begins, :, :STEP] *= self.inside[at][begins][:, None, :]
@@ -629,7 +667,7 @@ class Windows:
 
 
 STRETCH = 4096  # windows whose places are prepared at once
-BATCH = 64  # windows worked on at once: their scores stay in the processor's cache
+BATCH = 128  # windows worked on at once: their scores (1 MB) stay in the processor's cache
 LEARN_BATCH = 256  # windows of a gradient step
 
 
@@ -638,7 +676,8 @@ def learn(w: Windows, m: dict[str, np.ndarray], squares: dict[str, np.ndarray])
     n = len(w.first)
     for a in range(0, n, LEARN_BATCH):
         step = range(a, min(a + LEARN_BATCH, n), BATCH)
-        parts = [(w.batch(slice(i, min(i + BATCH, step.stop)), m, True)[2], min(BATCH, step.stop - i) / (step.stop - a)) for i in step]
+        factors = w.factors(m)
+        parts = [(w.batch(slice(i, min(i + BATCH, step.stop)), m, True, factors)[2], min(BATCH, step.stop - i) / (step.stop - a)) for i in step]
         for name in m:
             g = sum(part[name] * share for part, share in parts)
             squares[name] += g * g
@@ -691,9 +730,10 @@ def score_texts(ids: np.ndarray, edge: np.ndarray, value: tuple[np.ndarray, np.n
     """log10 probability of each text of a stream."""
     w = Windows(ids, edge, value, table)
     each = np.zeros(len(w.first))
+    factors = w.factors(m)
     for a in range(0, len(w.first), BATCH):
         s = slice(a, a + BATCH)
-        p, _, _ = w.batch(s, m, False)
+        p, _, _ = w.batch(s, m, False, factors)
         each[s] = np.log(p).sum(axis=1)
     return np.bincount(w.text, weights=each, minlength=len(edge) - 1) / np.log(10)
 

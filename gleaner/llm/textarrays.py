@@ -150,16 +150,6 @@ class Texts:
         return total[self.offsets[1:]] - total[self.offsets[:-1]]
 
 
-def polynomial(code: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each [start, end) of a sequence of codes."""
-    n = len(code)
-    with np.errstate(over="ignore"):
-        up, down = _POWERS.get(n + 1)
-        prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(code * up[:n], out=prefix[1:])
-        return mix((prefix[end] - prefix[start]) * down[start] ^ ((end - start).astype(np.uint64) * _GOLDEN))
-
-
 #: Bytes that begin a code point.
 POINT = ~byte_table("", ((0x80, 0xBF),))
 

@@ -719,3 +719,57 @@ def test_attention_learns_from_every_window(spark):
     sums = lm_scoring.summed(lm_scoring.sent(dealt, 3, None))
     got = lm_scoring.train(dealt, sums, spark.sparkContext.broadcast(uni)).first()["weights"]
     assert np.allclose(got, lm_scoring.flat(m), rtol=1e-3, atol=1e-3)
+
+
+def test_windows_match_a_plain_loop(small_model):
+    """Each place's probability by a loop over its keys, for weights that exponentials hold and for those they do not."""
+    rng = np.random.default_rng(8)
+    ids, edge = id_streams([rng.integers(1, 9, n).tolist() for n in (150, 0, 1, 40, 64)])
+    w = small_model(ids, edge)
+    start = lm_scoring.start_weights()
+    mixed = {k: (v + rng.normal(0, 0.2, v.shape)).astype(np.float32) for k, v in start.items()}
+    table, two, three, bucket = lm_scoring.embedding(), *w.value
+    e = [np.concatenate([table[0][ids[j]], table[1][ids[j - 1]]]).astype(float) for j in range(len(ids))]
+    for m, range_holds in ((start, True), (mixed, True), ({k: v * 20 for k, v in mixed.items()}, False)):
+        assert (w.factors(m) is not None) == range_holds
+        p, real, _ = w.batch(slice(0, len(w.first)), m, False)
+        assert real.sum() == len(ids) - 2 * (len(edge) - 1)
+        for k, first in enumerate(w.first.tolist()):
+            for i in range(first, min(first + lm_scoring.STEP, int(edge[w.text[k] + 1]))):
+                keys = range(max(first - lm_scoring.SPAN + lm_scoring.STEP - 1, int(edge[w.text[k]]) + 1), i - 1)
+                logs = [e[i - 1] @ m["form"].astype(float) @ e[j] + m["distance"][i - j] for j in keys]
+                sinks = m["sinks"][:, bucket[i - 2]].astype(float)
+                top = max([*logs, *sinks])
+                each = [math.exp(x - top) for x in logs]
+                good = math.exp(sinks[0] - top) * two[i - 2] + math.exp(sinks[1] - top) * three[i - 2] + sum(x for x, j in zip(each, keys) if ids[j + 1] == ids[i])
+                assert math.isclose(p[k, i - first], good / (sum(each) + np.exp(sinks - top).sum()), rel_tol=2e-3)
+
+
+def test_distinct_keys_by_sorted_places():
+    """Kinds give the keys, counts and values that single places have, whether sorted with their places or not."""
+    rng = np.random.default_rng(9)
+    ids, edge = id_streams([rng.integers(0, 30, n).tolist() for n in (400, 0, 1, 300)])
+    counted = np.repeat([True, True, False, True], np.diff(edge))
+    at, keys = lm_scoring.id_keys(ids, edge, np.full(4, 2))
+    n = collections.Counter(keys[np.tile(counted[at], 2)].tolist())
+    kinds = lm_scoring.Kinds(ids, edge)
+    u, got = kinds.keys(counted)
+    assert u.tolist() == sorted(set(keys.tolist())) and got.tolist() == [n[k] for k in u.tolist()]
+    uni = np.bincount(ids, minlength=lm_scoring.IDS).astype(float)
+    pair, triple = np.zeros(len(ids)), np.zeros(len(ids))
+    pair[at], triple[at] = np.split(np.array([n[k] for k in keys.tolist()], float), 2)
+    for v, want in zip(kinds.values(uni, got), lm_scoring.next_id(ids, uni, pair, triple)):
+        assert np.allclose(np.repeat(v, kinds.many)[np.argsort(kinds.at)], want[at - 2])
+    wide = rng.integers(0, 5, 50).astype(np.uint64) << np.uint64(60)
+    for k in (wide, wide >> np.uint64(60), wide[:0]):
+        order = np.argsort(k, kind="stable")
+        key, spot = lm_scoring.spots(k)
+        assert (key == k[order]).all() and (spot == order).all()
+
+
+def test_packed_numbers_come_back():
+    for x in ([], [0, 0], [1, 255], [0, 2**63 - 1, 7], list(range(1000, 3000))):
+        a = np.array(x, np.int64)
+        assert (lm_scoring.unplanes(lm_scoring.planes(a), np.int64) == a).all()
+        b = a.astype(np.uint64) * np.uint64(2)
+        assert (lm_scoring.unplanes(lm_scoring.planes(b), np.uint64) == b).all()
