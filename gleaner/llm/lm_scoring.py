@@ -415,9 +415,11 @@ class Block:
         """Distinct keys of each kind and how often the block's training texts have them."""
         return {ID_KEYS: Kinds(self.ids, self.edge).keys(np.repeat(~self.held, np.diff(self.edge))), WORD_KEYS: distinct(self.words, ~self.held[self.text])}
 
-    def word_sums(self, sums: np.ndarray) -> np.ndarray:
-        """The sum of every word, of the sums of the distinct ones."""
-        return sums[places(ascending(self.words)[0], self.words)] if len(sums) else sums
+    def word_counts(self, sums: np.ndarray) -> list[np.ndarray]:
+        """How many words each text has, how many of them are counted, and the sum of the counts' logarithms, of the distinct words' sums."""
+        which = places(ascending(self.words)[0], self.words)
+        each = [None, (sums > 0).astype(float).take(which), np.log10(sums + 0.1).take(which)]
+        return [np.bincount(self.text, weights=x, minlength=len(self.held)) for x in each]
 
     def values(self, uni: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``next_id`` at every place from the third on, of the sums of this block's distinct keys."""
@@ -535,7 +537,12 @@ KNOWN = FAR >= 2
 
 def last_same(ids: np.ndarray) -> np.ndarray:
     """The last place before each one with the same id, else -1."""
-    key, spot = spots(ids.astype(np.uint64))
+    if len(ids) > 1 << 16:
+        key, spot = spots(ids.astype(np.uint64))
+    else:  # both in 32 bits
+        key = np.sort((ids.astype(np.uint32) << np.uint32(16)) | np.arange(len(ids), dtype=np.uint32))
+        spot = (key & np.uint32(0xFFFF)).astype(np.int32)
+        key >>= np.uint32(16)
     out = np.full(len(ids), -1, np.int32)
     out[spot[1:]] = np.where(key[1:] == key[:-1], spot[:-1], -1)
     return out
@@ -666,7 +673,7 @@ class Windows:
         return p, real, {"form": form, "distance": distance, "sinks": sinks}
 
 
-STRETCH = 4096  # windows whose places are prepared at once
+STRETCH = 1024  # windows whose places are prepared at once
 BATCH = 128  # windows worked on at once: their scores (1 MB) stay in the processor's cache
 LEARN_BATCH = 256  # windows of a gradient step
 
@@ -768,13 +775,13 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
         b = Block(left, np.unpackbits(begins, count=IDS).astype(bool))
         m = weights_of(right.filter(right.column("first")).column("weights")[0].as_py())
         many = len(left)
-        n = b.word_sums(joined(right, WORD_KEYS))
+        counts = b.word_counts(joined(right, WORD_KEYS))
         words = np.array([k == WORD_KEYS for k in right.column("kind").to_pylist()])
         # what the block's pieces know of N and V goes with its first row
         total, kinds = np.zeros(many, np.int64), np.zeros(many, np.int64)
         total[0], kinds[0] = (int(np.asarray(right.column(c))[words].sum()) for c in ("total", "kinds"))
-        counts = [np.bincount(b.text, minlength=many), np.bincount(b.text[n > 0], minlength=many), np.bincount(b.text, weights=np.log10(n + 0.1), minlength=many)]
-        del n, b.text, b.words
+        counts[1] = counts[1].astype(np.int64)
+        del b.text, b.words
         value = b.values(uni.value, joined(right, ID_KEYS))
         columns = [left.column("doc_id"), left.column("held_out"), *counts, score_texts(b.ids, b.edge, value, m, embedding(bits)), total, kinds]
         return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c) for c in columns], names=names)
