@@ -63,6 +63,10 @@ _ARROW_NODE = pa.struct(
 )
 
 
+# A row group of stored pages, as the writer counts it before encoding: some 70,000 to 120,000 nodes.
+ROW_GROUP_BYTES = 4 << 20
+
+
 def text_slice(text, node):
     """The text of a node: its bytes of the page's, whatever stands before them."""
     return text.substr(node["t0"] + 1, node["t1"] - node["t0"]).cast("string")
@@ -207,8 +211,13 @@ def parse_dom(
 
 
 def write_dom(dom: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Parsed pages as Parquet, once; :func:`read_dom` feeds every selector, extraction and inference from them."""
-    dom.write.mode(mode).parquet(path)
+    """Parsed pages as Parquet, once; :func:`read_dom` feeds every selector, extraction and inference from them.
+
+    Readers take up to 4,096 rows of a row group at once, and a row is a whole page: so row groups are closed by their
+    bytes, looked at after every page, and a reader holds the nodes of few pages however many the table has.
+    """
+    bounds = {"parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}  # the writer's group checks follow the page's
+    dom.write.mode(mode).options(**bounds).parquet(path)
 
 
 def read_dom(spark: SparkSession, path: str) -> DataFrame:

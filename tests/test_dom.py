@@ -113,3 +113,25 @@ def test_stored_pages(spark, make_dom, tmp_path):
     plan = explode_nodes(stored)._jdf.queryExecution().optimizedPlan().toString()
     gen = [x for x in plan.splitlines() if "Generate" in x]
     assert gen and all("text#" not in x.split("], ")[-1] for x in gen)
+
+
+def test_row_groups_hold_few_nodes(make_dom, spark, tmp_path):
+    """A reader takes up to 4,096 rows of a row group at once: with whole pages as rows, groups are bounded by nodes, not pages."""
+    import pyarrow.parquet as pq
+
+    from gleaner.sources.dom import read_dom, write_dom
+
+    table = "<table>" + "<tr><td>a</td><td><a href=/p>b</a></td></tr>" * 100 + "</table>"
+    dom = make_dom(*["<p>y"] * 50, *["<p>" + "<b>x</b>" * 30_000] * 3, *[table] * 150).cache()
+    write_dom(dom, str(tmp_path / "dom"))
+    groups = []
+    for path in (tmp_path / "dom").glob("*.parquet"):
+        with pq.ParquetFile(path) as f:
+            for g in (f.metadata.row_group(i) for i in range(f.metadata.num_row_groups)):
+                parent = next(c for c in map(g.column, range(g.num_columns)) if c.path_in_schema.endswith("element.parent"))
+                groups.append((g.num_rows, parent.num_values))
+    assert sum(r for r, _ in groups) == 203 and sum(n for _, n in groups) == dom.selectExpr("sum(size(nodes))").first()[0] > 270_000
+    assert max(n for _, n in groups) < 160_000 and len(groups) > 2, groups
+    shown = lambda d: sorted(map(tuple, d.selectExpr("page_id", "url", "md5(text)", "md5(to_json(nodes))").collect()))
+    assert shown(read_dom(spark, str(tmp_path / "dom"))) == shown(dom)
+    dom.unpersist()
