@@ -16,7 +16,7 @@ from gleaner.plans import presets as P
 from gleaner.operators import infer as G
 from gleaner.sources import render as R
 from gleaner.session import ensure_checkpoint_dir
-from gleaner.sources.dom import parse_dom, read_dom, write_dom
+from gleaner.sources.dom import html_parts, parse_dom, read_dom, write_dom
 
 _STORED: dict[tuple[str, str], str] = {}
 
@@ -30,8 +30,9 @@ def _stored(spark: SparkSession, sf_dir: str, kind: str, pages: Callable[[], Dat
     'source' with their source."""
     key = (spark.sparkContext.applicationId, f"{sf_dir}#{kind}")
     if key not in _STORED:
-        path = _folder(spark, "dom")
-        write_dom(parse_dom(pages(), min_partitions=spark.sparkContext.defaultParallelism, source=kind == "source"), path)
+        path, raw = _folder(spark, "dom"), pages()
+        parts = max(spark.sparkContext.defaultParallelism, html_parts(raw))
+        write_dom(parse_dom(raw, min_partitions=parts, source=kind == "source"), path)
         _STORED[key] = path
     return read_dom(spark, _STORED[key])
 

@@ -156,14 +156,11 @@ def _make_parser(html_col: str, extra_names: list[str], chunk: int):
         for batch in batches:
             if extra_types is None:
                 extra_types = [batch.schema.field(nm).type for nm in extra_names]
-            ids = batch.column("page_id").to_pylist()
-            htmls = batch.column(html_col).to_pylist()
-            extras_all = {nm: batch.column(nm).to_pylist() for nm in extra_names}
-            for s in range(0, len(ids), chunk):
-                e = s + chunk
-                parsed = [parse_html(h) for h in htmls[s:e]]
-                extras = {nm: v[s:e] for nm, v in extras_all.items()}
-                yield _arrow_batch(ids[s:e], extras, parsed, extra_names, extra_types)
+            for s in range(0, batch.num_rows, chunk):
+                part = batch.slice(s, chunk)  # a batch is as long as the session says; only a chunk's strings are made
+                parsed = [parse_html(h) for h in part.column(html_col).to_pylist()]
+                extras = {nm: part.column(nm).to_pylist() for nm in extra_names}
+                yield _arrow_batch(part.column("page_id").to_pylist(), extras, parsed, extra_names, extra_types)
 
     return parse_batches
 
@@ -231,6 +228,12 @@ def parts_of(dom: DataFrame, nodes_per_part: int = 50_000) -> int:
     return max(1, -(-(dom.agg(F.sum(F.size("nodes.pre"))).first()[0] or 0) // nodes_per_part))
 
 
+def html_parts(pages: DataFrame, html_col: str = "html", bytes_per_part: int = 16 << 20) -> int:
+    """Into how many partitions pages go to be parsed: as many as their bytes ask for. What a task hands to its Python
+    worker at once is counted in rows by the session and never more than the task has, so its bytes do not grow with the table."""
+    return max(1, -(-(pages.agg(F.sum(F.octet_length(html_col))).first()[0] or 0) // bytes_per_part))
+
+
 def explode_nodes(dom: DataFrame) -> DataFrame:
     """S3: one row per node ``(page_id, pre, parent, depth, tag, attrs, ..., text)``."""
     n = F.col("n")

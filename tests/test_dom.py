@@ -135,3 +135,38 @@ def test_row_groups_hold_few_nodes(make_dom, spark, tmp_path):
     shown = lambda d: sorted(map(tuple, d.selectExpr("page_id", "url", "md5(text)", "md5(to_json(nodes))").collect()))
     assert shown(read_dom(spark, str(tmp_path / "dom"))) == shown(dom)
     dom.unpersist()
+
+
+def test_parse_takes_a_batch_in_chunks():
+    """A batch has as many pages as the session says; the parser makes the strings of a chunk only."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from gleaner.sources.dom import _make_parser
+
+    html = ["<p>" + chr(97 + i % 26) * 20_000 for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), pa.array([f"u{i}" for i in range(1000)]), pa.array(html)], names=["page_id", "url", "html"])
+    tracemalloc.start()
+    parsed = _make_parser("html", ["url"], 10)(iter([batch]))
+    first = next(parsed)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5e6, peak  # the batch has 20 MB of html
+    got = pa.Table.from_batches([first, *parsed])
+    assert got["page_id"].to_pylist() == [*range(1000)] and got["url"].to_pylist() == batch["url"].to_pylist()
+    assert [t.decode() for t in got["text"].to_pylist()] == [h[3:] for h in html]
+
+
+def test_pages_are_parsed_in_parts_by_their_bytes(spark, tmp_path, monkeypatch):
+    from gleaner.plans import queries as Q
+    from gleaner.sources.dom import html_parts
+
+    pages = spark.createDataFrame([(i, f"u{i}", "<p>" + "é" * 499 if i else None) for i in range(41)], "page_id long, url string, html string")
+    assert html_parts(pages) == 1 and html_parts(pages.filter("html is null")) == 1
+    assert html_parts(pages, bytes_per_part=1001) == 40 and html_parts(pages, bytes_per_part=2000) == 21
+    few = sorted(map(tuple, Q._stored(spark, str(tmp_path / "few"), "pages", lambda: pages).selectExpr("page_id", "url", "to_json(nodes)").collect()))
+    monkeypatch.setattr(Q, "html_parts", lambda p: html_parts(p, bytes_per_part=1001))
+    many = Q._stored(spark, str(tmp_path / "many"), "pages", lambda: pages)
+    assert len(many.inputFiles()) > 2 * spark.sparkContext.defaultParallelism
+    assert sorted(map(tuple, many.selectExpr("page_id", "url", "to_json(nodes)").collect())) == few and len(few) == 41
